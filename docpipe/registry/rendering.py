@@ -195,7 +195,7 @@ SELECT doc_id, row_index, part, note, coalesce(flag, '') AS flag, row_index = 5
 
 def grid_sql(row: str, head: str, tail: str, sep: str = "chr(10)") -> str:
     return (
-        f"SELECT doc_id, concat({head}, string_agg({row}, {sep} ORDER BY row_index, part, note), {tail}) AS content "
+        f"SELECT doc_id, concat({head}, string_agg({row}, {sep} ORDER BY row_index, part, note, flag), {tail}) AS content "
         f"FROM ({ROWS}) GROUP BY doc_id"
     )
 

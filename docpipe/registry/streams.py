@@ -1 +1,91 @@
-"""Streaming queries."""
+"""Streaming queries, run over the files present and then stopped."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from docpipe.fixtures import view_text
+from docpipe.functions.scalars import map_as_text
+from docpipe.registry import query
+from docpipe.registry.conversion import CONVERTED_SQL
+from docpipe.registry.jobs import FOLD_SQL
+from docpipe.registry.limits import FIXED, MAX, SLIDING, WINDOW
+from docpipe.registry.text import MAX_MB
+from docpipe.session import scratch_path
+from docpipe.streaming.jobs import latest_job_state, stream_convert, stream_job_state
+from docpipe.streaming.limits import stream_rate_fixed, stream_rate_sliding
+from docpipe.streaming.sink import read_batches, write_batches
+from docpipe.streaming.usage import stream_usage_metrics
+
+
+def stream_view(x, view: str, table: str, files_per_trigger: int = 1):
+    """A fixture view over a stream of one table's files."""
+    # A glob, as a stream source takes a folder or a pattern, not one file.
+    path = f"{x.sf_dir}/{table}.parque[t]"
+    schema = x.table(table).schema
+    source = x.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    source.createOrReplaceTempView(f"stream_{table}")
+    text = view_text(view, "spark").replace(f"FROM {table}", f"FROM stream_{table}")
+    return x.spark.sql(text)
+
+
+def finish(stream_query):
+    stream_query.awaitTermination()
+
+
+def run(x, stream, label: str, output_mode: str = "append"):
+    path = scratch_path(x.spark, label)
+    finish(write_batches(stream, f"{path}/out", f"{path}/checkpoint", output_mode))
+    return f"{path}/out"
+
+
+@query("stream_convert", CONVERTED_SQL)
+def convert(x):
+    view = stream_view(x, "fx_files", "documents")
+    files = view.selectExpr(
+        "doc_id", "path", "CAST(octet_length(body) AS BIGINT) AS size", "modified", "encode(body, 'UTF-8') AS content"
+    )
+    path = scratch_path(x.spark, "convert")
+    finish(stream_convert(
+        files, f"{path}/out", f"{path}/checkpoint", output_format="text",
+        counters={"whitespace": "whitespace"}, lines_per_page=5, max_size_mb=MAX_MB,
+    ))
+    return read_batches(x.spark, f"{path}/out").select(
+        "doc_id", "path", "status", "error_message", "source_hash", "page_count",
+        map_as_text(F.col("tokens")).alias("tokens"), "content",
+    )
+
+
+@query("stream_rate_fixed", f"SELECT id, token_id, request_rank <= {MAX} AS allowed FROM ({FIXED})")
+def rate_fixed(x):
+    usage = stream_view(x, "fx_usage", "events")
+    path = run(x, stream_rate_fixed(usage, MAX, WINDOW), "fixed")
+    return read_batches(x.spark, path).select("id", "token_id", "allowed")
+
+
+@query("stream_rate_sliding", SLIDING)
+def rate_sliding(x):
+    usage = stream_view(x, "fx_usage", "events")
+    path = run(x, stream_rate_sliding(usage, MAX, WINDOW), "sliding")
+    return read_batches(x.spark, path).select("token_id", "id", "allowed")
+
+
+@query("stream_job_state", FOLD_SQL)
+def job_state(x):
+    events = stream_view(x, "fx_job_events", "events")
+    path = run(x, stream_job_state(events), "jobs", "update")
+    return latest_job_state(x.spark, path)
+
+
+@query("stream_usage_metrics", """
+SELECT date_trunc('hour', timestamp) AS bucket, endpoint, count(*) AS requests,
+  round(avg(response_time_ms), 6) AS avg_ms, max(response_time_ms) AS max_ms,
+  count(*) FILTER (WHERE status_code >= 400) AS errors
+FROM fx_usage
+WHERE date_trunc('hour', timestamp) + INTERVAL '1' HOUR <=
+  (SELECT max(timestamp) - INTERVAL '1' MINUTE FROM fx_usage) GROUP BY ALL""")
+def usage_metrics(x):
+    usage = stream_view(x, "fx_usage", "events")
+    path = run(x, stream_usage_metrics(usage), "usage")
+    found = read_batches(x.spark, path).drop("batch")
+    return found.withColumn("avg_ms", F.round("avg_ms", 6))

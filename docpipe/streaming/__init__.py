@@ -1,0 +1 @@
+"""Structured Streaming forms of conversion, limits, job state and metrics."""
