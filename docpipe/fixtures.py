@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docpipe.plans.layout import spread
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -188,7 +190,9 @@ class Inputs:
         self.sf_dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        scan = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        # Documents feed the per-row costly queries.
+        return spread(scan, "doc_id") if name == "documents" else scan
 
     def sql(self, text: str) -> DataFrame:
         """A query over tables and views."""

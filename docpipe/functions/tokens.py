@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docpipe.functions.scalars import WHITESPACE
+
 # Output keys of the standard encodings.
 ENCODING_KEYS = {
     "cl100k_base": "openai_cl100k",
@@ -21,8 +23,16 @@ ESTIMATE_FACTOR = 1.1
 
 
 def whitespace_tokens(text: Column) -> Column:
-    """Number of maximal runs of non-space characters."""
-    return F.regexp_count(text, F.lit(r"\S+")).cast("bigint")
+    """Number of words as ``len(text.split())`` counts them.
+
+    All white space becomes a blank and each word one letter; what is left
+    without the blanks is counted. No array of words is built, and the pattern
+    stays a single-character class, which is several times faster than one of
+    all white space.
+    """
+    blanked = F.translate(text, WHITESPACE, " " * len(WHITESPACE))
+    marks = F.regexp_replace(blanked, "[^ ]++", "w")
+    return F.length(F.replace(marks, F.lit(" "), F.lit(""))).cast("bigint")
 
 
 def estimate_tokens(base: Column, factor: float = ESTIMATE_FACTOR) -> Column:

@@ -37,7 +37,11 @@ def _definitions() -> dict[str, tuple[str, str, str]]:
             f"try_cast(regexp_replace({digits}, '^(....)(..)(..)(..)(..)(..)$', '$1-$2-$3 $4:$5:$6') "
             "AS TIMESTAMP_NTZ) END",
         ),
-        "count_tokens_whitespace": ("t STRING", "BIGINT", r"CAST(regexp_count(t, '\\S+') AS BIGINT)"),
+        "count_tokens_whitespace": (
+            "t STRING", "BIGINT",
+            f"CAST(length(replace(regexp_replace(translate(t, {spaces}, "
+            f"'{' ' * len(WHITESPACE)}'), '[^ ]++', 'w'), ' ', '')) AS BIGINT)",
+        ),
         "estimate_tokens": (
             "base BIGINT", "BIGINT", f"CAST(floor(CAST(base AS DOUBLE) * {ESTIMATE_FACTOR}D) AS BIGINT)",
         ),

@@ -58,18 +58,19 @@ def decoded(backend: str, content: Column) -> Column:
     return content.cast("string") if backend == "utf8" else F.decode(content, "ISO-8859-1")
 
 
-def split_pages(text: Column, lines_per_page: int | None = None) -> Column:
-    """Page texts: cut at form feeds, or every ``lines_per_page`` lines."""
+def split_pages(df: DataFrame, text_col: str, out: str, lines_per_page: int | None = None) -> DataFrame:
+    """Adds the array of page texts: cut at form feeds, or every
+    ``lines_per_page`` lines. The lines are a column of their own, so that the
+    text is split once and not again for each page."""
     if lines_per_page is None:
-        return F.split(text, "\f")
-    lines = F.split(text, "\n")
-    last = F.floor((F.size(lines) - 1) / F.lit(lines_per_page)).cast("int")
-    return F.transform(
+        return df.withColumn(out, F.split(text_col, "\f"))
+    step, lines = F.lit(lines_per_page), F.col("__lines")
+    last = F.floor((F.size(lines) - 1) / step).cast("int")
+    pages = F.transform(
         F.sequence(F.lit(0), last),
-        lambda p: F.array_join(
-            F.slice(lines, p * F.lit(lines_per_page) + F.lit(1), F.lit(lines_per_page)), "\n"
-        ),
+        lambda p: F.array_join(F.slice(lines, p * step + F.lit(1), step), "\n"),
     )
+    return df.withColumn("__lines", F.split(text_col, "\n")).withColumn(out, pages).drop("__lines")
 
 
 def page_structs(texts: Column) -> Column:
@@ -136,17 +137,16 @@ def _chain_error(names: Sequence[str], errors: Sequence[str]) -> str:
 
 
 def _extract_native(files: DataFrame, chain: list[str], lines_per_page: int | None) -> DataFrame:
-    content = F.col("content")
+    content, used = F.col("content"), F.col("method")
     method, text = F.lit(None).cast("string"), F.lit(None).cast("string")
     for name in reversed(chain):
-        readable = can_read(name, content)
-        method = F.when(readable, F.lit(name)).otherwise(method)
-        text = F.when(readable, decoded(name, content)).otherwise(text)
+        method = F.when(can_read(name, content), F.lit(name)).otherwise(method)
+        text = F.when(used == name, decoded(name, content)).otherwise(text)
     no_warning = F.array().cast("array<string>")
     warnings = no_warning
     for name in chain[1:]:
         notice = F.array(F.lit(fallback_warning(chain[0], name)))
-        warnings = F.when(F.col("method") == name, notice).otherwise(warnings)
+        warnings = F.when(used == name, notice).otherwise(warnings)
     failure = _chain_error(chain, [f"PDF extraction failed: content is not {name} text" for name in chain])
     given = {
         "page_count": F.size("pages"),
@@ -156,10 +156,12 @@ def _extract_native(files: DataFrame, chain: list[str], lines_per_page: int | No
     metadata = F.struct(
         *[given.get(name, F.lit(None).cast(dtype)).cast(dtype).alias(name) for name, dtype in PDF_FIELDS]
     )
+    texts = files.withColumn("method", method).withColumn("__text", text)
     return (
-        files.withColumn("method", method)
-        .withColumn("error", F.when(F.col("method").isNull(), F.lit(failure)))
-        .withColumn("pages", page_structs(split_pages(text, lines_per_page)))
+        split_pages(texts, "__text", "__pages", lines_per_page)
+        .withColumn("error", F.when(used.isNull(), F.lit(failure)))
+        .withColumn("pages", page_structs(F.col("__pages")))
+        .drop("__text", "__pages")
         .withColumn("metadata", F.when(F.col("error").isNull(), metadata))
         .withColumn("warnings", warnings)
     )

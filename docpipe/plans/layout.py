@@ -1,0 +1,20 @@
+"""Spreading small inputs over the cores."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """A table scan in at least as many partitions as there are cores.
+
+    A table in few splits (small files, one row group) would run costly per-row
+    work on few cores; it is hashed by ``keys``, which later groupings by the
+    same keys reuse. A table with enough splits is returned as it is: large
+    inputs are not shuffled. Meant for plain scans, whose partitions are known
+    without running anything.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, *keys)
