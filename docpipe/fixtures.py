@@ -33,7 +33,7 @@ SELECT doc_id, CAST(p + 1 AS INT) AS page_number,
 FROM (SELECT doc_id, transform(sequence(0, (size(lines) - 1) DIV 5),
                                i -> array_join(slice(lines, CAST(i * 5 + 1 AS INT), 5), chr(10))) AS parts
       FROM (SELECT doc_id, split(text, chr(10)) AS lines FROM documents))
-LATERAL VIEW posexplode(parts) t AS p, page""",
+LATERAL VIEW OUTER posexplode(parts) t AS p, page""",
         "duckdb": """
 SELECT doc_id, page_number,
   CASE WHEN (doc_id + page_number) % 9 = 0 THEN '  '

@@ -12,6 +12,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docpipe.functions.scalars import WHITESPACE
+from docpipe.operators.assemble import assemble_text, joined_text
 
 # Output keys of the standard encodings.
 ENCODING_KEYS = {
@@ -148,3 +149,19 @@ def counts_map(counts: dict[str, Column]) -> Column:
         return F.create_map().cast("map<string,bigint>")
     pairs = [part for name, count in counts.items() for part in (F.lit(name), count)]
     return F.map_filter(F.create_map(*pairs), lambda _, count: count.isNotNull())
+
+
+def token_map(pages: DataFrame, counters: dict[str, Counter], estimate_from: str | None = None,
+              key: str = "doc_id") -> DataFrame:
+    """``key, tokens``: map of all counters that succeeded over the joined
+    raw page texts of a document."""
+    text = assemble_text(pages, key=key)
+    columns = token_columns(F.col("text"), counters, estimate_from)
+    return text.select(key, counts_map(columns).alias("tokens"))
+
+
+def with_token_map(docs: DataFrame, counters: dict[str, Counter], estimate_from: str | None = None) -> DataFrame:
+    """The same for documents that carry their ``pages``: no second gathering."""
+    columns = token_columns(F.col("__text"), counters, estimate_from)
+    joined = docs.withColumn("__text", joined_text(F.col("pages")))
+    return joined.withColumn("tokens", counts_map(columns)).drop("__text")

@@ -131,11 +131,16 @@ def job_detail_outcome(requests: DataFrame, jobs: DataFrame, grants: DataFrame)
 
 def result_outcome(requests: DataFrame, jobs: DataFrame, grants: DataFrame, files: DataFrame) -> DataFrame:
     """Can the result be downloaded; ``files`` lists existing paths as ``path``."""
-    present = files.select(F.col("path").alias("__result_path")).distinct().withColumn(
-        "__on_disk", F.lit(True)
+    # Paths are looked up from the jobs that have one: joining requests by path
+    # would send all those without a result to the task of the null key.
+    on_disk = (
+        jobs.filter(F.col("result_path").isNotNull())
+        .select("job_id", "result_path")
+        .join(files.select(F.col("path").alias("result_path")), "result_path", "left_semi")
+        .select("job_id", F.lit(True).alias("__on_disk"))
     )
-    joined = _with_grant(_with_job(requests, jobs, "status", "result_path"), grants)
-    joined = joined.join(present, "__result_path", "left")
+    joined = _with_job(requests, jobs, "status", "result_path").join(on_disk, "job_id", "left")
+    joined = _with_grant(joined, grants)
     status = F.col("__status")
     decided = decide(
         joined,

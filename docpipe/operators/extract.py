@@ -88,19 +88,34 @@ def page_structs(texts: Column) -> Column:
     )
 
 
+def _numbered(df: DataFrame, array_col: str, number: str, out: str) -> DataFrame:
+    """One row per array element with its 1-based position.
+
+    Outer, then filtered on the position: for a plain explode Spark infers a
+    filter on the array and computes the whole array a second time for it.
+    """
+    others = [c for c in df.columns if c != array_col]
+    rows = df.select(*others, F.posexplode_outer(array_col).alias("__pos", out))
+    return rows.filter(F.col("__pos").isNotNull()).select(
+        *others, (F.col("__pos") + 1).cast("int").alias(number), out
+    )
+
+
 def number_pages(docs: DataFrame, pages_col: str = "pages") -> DataFrame:
     """One row per page text with its 1-based ``page_number``."""
-    others = [c for c in docs.columns if c != pages_col]
-    return docs.select(*others, F.posexplode(pages_col).alias("__pos", "text")).select(
-        *others, (F.col("__pos") + 1).cast("int").alias("page_number"), "text"
-    )
+    return _numbered(docs, pages_col, "page_number", "text")
 
 
 def number_items(pages: DataFrame, items_col: str, out: str = "item") -> DataFrame:
     """One row per image or table of a page with its 1-based ``item_index``."""
-    others = [c for c in pages.columns if c != items_col]
-    return pages.select(*others, F.posexplode(items_col).alias("__pos", out)).select(
-        *others, (F.col("__pos") + 1).cast("int").alias("item_index"), out
+    return _numbered(pages, items_col, "item_index", out)
+
+
+def page_rows(extracted: DataFrame, *keys: str) -> DataFrame:
+    """``keys, page_number, text, images, tables, width, height`` per page of
+    extracted documents."""
+    return _numbered(extracted.select(*keys, "pages"), "pages", "__number", "__page").select(
+        *keys, "__page.*"
     )
 
 

@@ -115,7 +115,10 @@ def rate_limit_sliding(
     )
     tagged = rows.join(slices, ["token_id", "__slice"])
     columns = [*requests.columns, "rate_limit", "allowed"]
-    calm = tagged.filter(F.col("__run").isNull()).withColumn("allowed", F.lit(True)).select(*columns)
+    # True for every row (times are not null). Reading __us gives both branches
+    # the same columns, so they share one scan and one shuffle of the requests.
+    certain = F.col("__us").isNotNull()
+    calm = tagged.filter(F.col("__run").isNull()).withColumn("allowed", certain).select(*columns)
     replay_input = (
         tagged.filter(F.col("__run").isNotNull() | F.col("__warms").isNotNull())
         .withColumn("__history", F.col("__run").isNull())

@@ -134,7 +134,7 @@ def validation_report(files: DataFrame, backends: dict[str, Column], key: str =
     ).otherwise(F.array().cast("array<struct<check:string,result:string>>"))
     failed = F.array(row("File Validation", F.concat(F.lit("FAIL: "), error)))
     report = F.when(error == "", F.concat(facts, metadata)).otherwise(failed)
-    return files.select(key, F.posexplode(report).alias("position", "entry")).select(
+    return files.select(key, F.posexplode_outer(report).alias("position", "entry")).select(
         key, F.col("position"), F.col("entry.check").alias("check"), F.col("entry.result").alias("result")
     )
 

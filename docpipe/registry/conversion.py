@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docpipe.functions.scalars import map_as_text
-from docpipe.operators.extract import Page, extract_pages, extract_with_fallback
+from docpipe.operators.extract import Page, extract_pages, extract_with_fallback, page_rows
 from docpipe.plans.convert import assign_job_ids, conversion_ledger, convert_corpus, submit_jobs
 from docpipe.registry import query
 from docpipe.registry.text import AS_OF, MAX_MB, file_error, hash_id, page_list, shown_text, words
@@ -17,7 +17,7 @@ FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i
       FROM (SELECT doc_id, {page_list('body')} AS p FROM fx_files))""")
 def extract(x):
     found = extract_pages(x.files(), "utf8", lines_per_page=5)
-    return found.select("doc_id", F.explode("pages").alias("p")).select("doc_id", "p.page_number", "p.text")
+    return page_rows(found, "doc_id").select("doc_id", "page_number", "text")
 
 
 class HeaderBackend:

@@ -108,7 +108,7 @@ FROM (SELECT doc_id, unnest([
     {'k': 'content_type', 'v': 'application/pdf'}, {'k': 'query', 'v': 'a=b'},
     {'k': 'owner', 'v': CASE WHEN doc_id % 2 = 0 THEN 'second' ELSE 'first' END}]) AS n FROM fx_sidecars)""")
 def parse_sidecar(x):
-    return x("fx_sidecars").select("doc_id", F.explode(scalars.parse_sidecar(F.col("meta"))))
+    return x("fx_sidecars").select("doc_id", F.explode_outer(scalars.parse_sidecar(F.col("meta"))))
 
 
 @query("render_sidecar", """

@@ -11,6 +11,12 @@ from docpipe.registry.credentials import LIMIT
 WINDOW = 86_400
 MAX = 2
 
+
+def requests(x):
+    """The columns a limiter needs; replayed rows carry no others to Python."""
+    return x("fx_usage").select("id", "token_id", "timestamp")
+
+
 FIXED = f"""
 SELECT u.*, epoch_us(timestamp) // {WINDOW * 1_000_000} AS window_id,
   row_number() OVER (PARTITION BY token_id, epoch_us(timestamp) // {WINDOW * 1_000_000} ORDER BY timestamp, id) AS request_rank
@@ -41,7 +47,7 @@ SELECT token_id, id, allowed FROM f"""
 
 @query("rate_limit_sliding", SLIDING)
 def rate_limit_sliding(x):
-    decided = ratelimit.rate_limit_sliding(x("fx_usage"), MAX, WINDOW)
+    decided = ratelimit.rate_limit_sliding(requests(x), MAX, WINDOW)
     return decided.select("token_id", "id", "allowed")
 
 
@@ -69,4 +75,4 @@ def rejections(x):
 @query("rejections_sliding", SLIDING.replace("SELECT token_id, id, allowed FROM f", """
 SELECT token_id, count(*) AS requests, count(*) FILTER (WHERE NOT allowed) AS rejected FROM f GROUP BY token_id"""))
 def rejections_sliding(x):
-    return ratelimit.rejections(ratelimit.rate_limit_sliding(x("fx_usage"), MAX, WINDOW))
+    return ratelimit.rejections(ratelimit.rate_limit_sliding(requests(x), MAX, WINDOW))

@@ -62,10 +62,7 @@ def doc_result(x):
     from docpipe.functions.scalars import map_as_text
 
     pages = x("fx_pages")
-    text = assemble.assemble_text(pages)
-    counts = text.select(
-        "doc_id", tokens.counts_map({"whitespace": tokens.whitespace_tokens(F.col("text"))}).alias("tokens")
-    ).join(assemble.page_count(pages), "doc_id")
+    counts = tokens.token_map(pages, WORDS).join(assemble.page_count(pages), "doc_id")
     result = assemble.doc_result(x("fx_docs"), counts, assemble.collect_warnings(x.sql(WARNINGS)))
     return result.withColumns(
         {"tokens": map_as_text(F.col("tokens")), "warnings": F.array_join("warnings", ";")}
@@ -110,16 +107,16 @@ FROM fx_docs d LEFT JOIN (SELECT doc_id AS k, sum({words('text')}) AS n FROM fx_
   ON k = d.doc_id"""
 
 
+WORDS = {"whitespace": "whitespace"}
+
+
 def described(x):
-    """fx_docs with tokens and warnings."""
-    text = assemble.assemble_text(x("fx_pages"))
-    counts = text.select(
-        "doc_id", tokens.counts_map({"whitespace": tokens.whitespace_tokens(F.col("text"))}).alias("tokens")
-    )
+    """fx_docs with pages, tokens and warnings; pages are gathered once."""
     notice = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("Page 1 was blank"))).otherwise(
         F.array().cast("array<string>")
     )
-    return x("fx_docs").join(counts, "doc_id", "left").withColumn("warnings", notice)
+    docs = x("fx_docs").withColumn("warnings", notice)
+    return tokens.with_token_map(render.with_pages(docs, x("fx_pages")), WORDS)
 
 
 @query("frontmatter", f"SELECT doc_id, front AS frontmatter FROM ({FRONT})")
@@ -132,7 +129,7 @@ SELECT f.doc_id, concat('---', chr(10), front, chr(10), '---', chr(10),
   CASE WHEN b.content = '' THEN '' ELSE concat(chr(10), b.content) END) AS content
 FROM ({FRONT}) f JOIN ({BODY_SQL}) b ON b.doc_id = f.doc_id""")
 def render_markdown(x):
-    return render.render_markdown(described(x), x("fx_pages"), converted_at=CONVERTED_AT)
+    return render.render_markdown(described(x), converted_at=CONVERTED_AT)
 
 
 JSON_SQL = f"""
@@ -153,12 +150,12 @@ FROM fx_docs d LEFT JOIN (SELECT doc_id AS k, sum({words('text')}) AS n,
 
 @query("render_json", JSON_SQL)
 def render_json(x):
-    return render.render_json(described(x), x("fx_pages"), converted_at=CONVERTED_AT)
+    return render.render_json(described(x), converted_at=CONVERTED_AT)
 
 
 @query("render_yaml")
 def render_yaml(x):
-    return render.render_yaml(described(x), x("fx_pages"), converted_at=CONVERTED_AT)
+    return render.render_yaml(described(x), converted_at=CONVERTED_AT)
 
 
 @query("render_documents", f"""
@@ -170,7 +167,7 @@ FROM fx_docs d JOIN ({TEXT_SQL}) t ON t.doc_id = d.doc_id JOIN ({JSON_SQL}) j ON
 JOIN ({BODY_SQL}) m ON m.doc_id = d.doc_id""")
 def render_documents(x):
     rendered = render.render_documents(
-        described(x), x("fx_pages"), converted_at=CONVERTED_AT, include_frontmatter=False
+        described(x), converted_at=CONVERTED_AT, include_frontmatter=False
     )
     # YAML text has no SQL counterpart: `render_yaml` covers it.
     return rendered.withColumn("content", F.when(F.col("output_format") != "yaml", F.col("content")))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from docpipe.functions import tokens
 from docpipe.functions.scalars import map_as_text
 from docpipe.functions.udfs import register_udfs
-from docpipe.operators.assemble import assemble_text
 from docpipe.registry import query
 from docpipe.registry.rendering import MARKDOWN_TABLE, grids
 from docpipe.registry.text import strip, words
@@ -65,10 +64,9 @@ FROM (SELECT doc_id, CAST(sum({words('text')}) AS BIGINT) AS n FROM fx_pages GRO
 def token_map(x):
     # The whitespace counter stands in for the standard encoding, so that SQL
     # can follow; the failing counter must be absent.
-    text = assemble_text(x("fx_pages"))
     counters = {"openai_cl100k": "whitespace", "words": split_words, "failing": failing}
-    columns = tokens.token_columns(F.col("text"), counters, estimate_from="openai_cl100k")
-    return text.select("doc_id", map_as_text(tokens.counts_map(columns)).alias("tokens"))
+    found = tokens.token_map(x("fx_pages"), counters, estimate_from="openai_cl100k")
+    return found.withColumn("tokens", map_as_text(F.col("tokens")))
 
 
 @query("register_udfs", f"""
