@@ -1,7 +1,8 @@
 """Times the headline queries and prints one JSON line.
 
 BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_RUNS (default 3, median after one warm-up), BENCH_ALL=1 for every query.
+BENCH_RUNS (default 3, median after one warm-up), BENCH_ALL=1 for every query,
+BENCH_QUERIES for a comma-separated choice.
 """
 
 from __future__ import annotations
@@ -70,6 +71,9 @@ def main() -> None:
     work = {name: found[name] for name in names}
     for name in ("rate_limit_fixed", "rate_limit_sliding", "fold_job_state"):
         work[f"{name}_half_on_one_key"] = skewed(name)
+    chosen = os.environ.get("BENCH_QUERIES")
+    if chosen:
+        work = {name: query for name, query in work.items() if name in chosen.split(",")}
     times = {}
     for name, query in work.items():
         try:

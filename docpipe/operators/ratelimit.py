@@ -21,7 +21,7 @@ from docpipe.plans.ordered import sliced_row_number
 #: Limit of a token that the limits table does not list.
 UNLISTED_LIMIT = 60
 #: A clock window is ranked in at most this many slices of a minute or more.
-MAX_SLICES = 64
+MAX_SLICES = 1440
 
 
 def _with_limit(df: DataFrame, limits: int | DataFrame) -> DataFrame:

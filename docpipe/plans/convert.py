@@ -131,13 +131,28 @@ def assign_job_ids(df: DataFrame, key_cols: Sequence[str], existing: DataFrame |
     raise RuntimeError(f"Failed to generate unique job ID after {ID_ATTEMPTS} attempts")
 
 
+def upload_outcome(requests: DataFrame) -> DataFrame:
+    """Adds ``status_code, detail``: 403 without the right to create jobs, then
+    the rules of `check_upload`."""
+    checked = check_upload(requests)
+    allowed = has_permission(F.col("role"), "create_job")
+    refusal = F.concat(
+        F.lit("Role '"), F.coalesce("role", F.lit("None")), F.lit("' does not have permission to create jobs")
+    )
+    return checked.withColumns(
+        {
+            "status_code": F.when(~allowed, F.lit(403)).otherwise(F.col("status_code")),
+            "detail": F.when(~allowed, refusal).otherwise(F.col("detail")),
+        }
+    )
+
+
 def submit_jobs(requests: DataFrame, as_of, key_cols: Sequence[str] = ("request_id",),
                 existing: DataFrame | None = None, uploads_dir: str = "data/uploads") -> DataFrame:
     """PENDING job rows for accepted uploads ``user_id, role, filename,
     output_format, extractor[, include_metadata]``. Returns the job columns
     plus ``key_cols``."""
-    may_create = has_permission(F.col("role"), "create_job")
-    accepted = check_upload(requests).filter(may_create & (F.col("status_code") == 200))
+    accepted = upload_outcome(requests).filter(F.col("status_code") == 200)
     with_metadata = F.col("include_metadata") if "include_metadata" in requests.columns else F.lit(True)
     options = F.format_string(
         '{"output_format": "%s", "extractor": "%s", "include_metadata": %s}',

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from docpipe.functions.scalars import map_as_text
 from docpipe.operators.extract import Page, extract_pages, extract_with_fallback, page_rows
-from docpipe.plans.convert import assign_job_ids, conversion_ledger, convert_corpus, submit_jobs
+from docpipe.plans.convert import (
+    assign_job_ids, conversion_ledger, convert_corpus, submit_jobs, upload_outcome,
+)
 from docpipe.registry import query
 from docpipe.registry.text import AS_OF, MAX_MB, file_error, hash_id, page_list, shown_text, words
 
@@ -135,3 +137,20 @@ def submit(x):
     return submit_jobs(requests, AS_OF).select(
         "request_id", "job_id", "owner_user_id", "pdf_path", "status", "created_at", "throttled", "options"
     )
+
+
+@query("upload_outcome", """
+SELECT request_id, CASE WHEN role NOT IN ('admin','job_manager','job_writer') THEN 403
+    WHEN detail = '' THEN 200 ELSE 400 END AS status_code,
+  CASE WHEN role NOT IN ('admin','job_manager','job_writer')
+    THEN concat('Role \'\'', role, '\'\' does not have permission to create jobs') ELSE detail END AS detail
+FROM (SELECT u.request_id, t.role, CASE WHEN filename = '' THEN 'File name is required'
+  WHEN NOT ends_with(filename, '.pdf') THEN 'Only PDF files are supported'
+  WHEN output_format NOT IN ('markdown','json','yaml','text')
+    THEN 'Invalid output format. Must be one of: markdown, json, yaml, text'
+  WHEN extractor NOT IN ('pdfplumber','pymupdf')
+    THEN 'Invalid extractor. Must be one of: pdfplumber, pymupdf' ELSE '' END AS detail
+  FROM fx_uploads u JOIN fx_tokens t ON t.user_id = u.user_id)""")
+def uploads(x):
+    requests = x("fx_uploads").join(x("fx_tokens").select("user_id", "role"), "user_id")
+    return upload_outcome(requests).select("request_id", "status_code", "detail")
