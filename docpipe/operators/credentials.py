@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docpipe.functions.scalars import as_timestamp, has_permission, hash_id, iso_format, mask_token, role_limit
+from docpipe.plans.lookup import lookup
 from docpipe.schemas import PUBLIC_PATHS, ROLES
 
 TOKEN_PREFIX = "tok_"
@@ -72,7 +73,7 @@ def mask_tokens(tokens: DataFrame) -> DataFrame:
 
 def get_tokens(tokens: DataFrame, ids: DataFrame) -> DataFrame:
     """One row per wanted id with the token's columns, null if there is none."""
-    return ids.select("token_id").join(tokens, "token_id", "left")
+    return lookup(ids, tokens, "token_id")
 
 
 def set_token_active(tokens: DataFrame, changes: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docpipe.functions.scalars import all_of, as_timestamp, epoch_micros, floor_div
+from docpipe.plans.lookup import lookup
 from docpipe.schemas import CANCELLABLE_STATUSES, STATUSES, TERMINAL_STATUSES
 
 
@@ -55,7 +56,8 @@ def next_pending(jobs: DataFrame, policy: str = "reference", n: int = 1) -> Data
 
 
 def get_jobs(jobs: DataFrame, ids: DataFrame) -> DataFrame:
-    return ids.select("job_id").join(jobs, "job_id", "left")
+    """One row per wanted id, nulls if there is no such job."""
+    return lookup(ids, jobs, "job_id")
 
 
 def fold_job_state(events: DataFrame, slice_seconds: int = 600) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from docpipe.functions import tables, tokens
@@ -158,6 +161,26 @@ def render_yaml(x):
     return render.render_yaml(described(x), converted_at=CONVERTED_AT)
 
 
+def parse_yaml(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    import json
+
+    import yaml
+
+    loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+    for texts in batches:
+        yield texts.map(
+            lambda t: json.dumps(yaml.load(t, loader), ensure_ascii=False, separators=(",", ":"))
+        )
+
+
+@query("render_yaml_parsed", JSON_SQL)
+def render_yaml_parsed(x):
+    """The YAML read back: it must hold what the JSON holds."""
+    parse = F.pandas_udf(parse_yaml, "string")
+    text = render.render_yaml(described(x), converted_at=CONVERTED_AT)
+    return text.withColumn("content", parse("content"))
+
+
 @query("render_documents", f"""
 SELECT d.doc_id, d.output_format,
   CASE d.output_format WHEN 'text' THEN t.content WHEN 'json' THEN j.content

@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from docpipe.functions.scalars import as_timestamp, blob_url, parse_sidecar, render_sidecar
 from docpipe.operators.checks import check_primary_key, violating_rows
+from docpipe.plans.lookup import lookup
 from docpipe.schemas import LEDGER, PRIMARY_KEYS
 
 SIDECAR_SUFFIX = ".meta"
@@ -24,8 +25,10 @@ def scan_files(spark: SparkSession, path: str | None = None, glob: str | None =
     """File table ``path, size, modified, content``.
 
     Spark's binary reader leaves out empty files and names that start with an
-    underscore. A manifest ``(path, size, modified[, content])`` brings those
-    back: it sets the rows, and bytes are joined to it where it has none.
+    underscore. A manifest ``(path, size[, modified, content])`` adds those:
+    entries the reader did not return become rows with null content. Only paths
+    are compared, so no bytes are shuffled. A manifest with content is the file
+    table itself.
     """
     found = None
     if path is not None:
@@ -46,7 +49,8 @@ def scan_files(spark: SparkSession, path: str | None = None, glob: str | None =
         return manifest
     if found is None:
         raise ValueError("A manifest without content needs a path")
-    return manifest.join(found.select("path", "content"), "path", "left")
+    unread = manifest.join(found.select("path"), "path", "left_anti")
+    return found.unionByName(unread, allowMissingColumns=True)
 
 
 def _is_blob(name: Column) -> Column:
@@ -65,7 +69,7 @@ def list_blobs(files: DataFrame, prefix: str | None = None, limit: int = 1000) -
 def fetch_blobs(names: DataFrame, files: DataFrame) -> DataFrame:
     """``name, outcome, content`` per wanted name; missing ones are rows."""
     stored = files.select("name", "content", F.lit(True).alias("__hit"))
-    return names.select("name").join(stored, "name", "left").select(
+    return lookup(names, stored, "name").select(
         "name",
         F.when(F.col("__hit"), F.lit("ok")).otherwise(F.lit("not_found")).alias("outcome"),
         "content",

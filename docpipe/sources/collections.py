@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from docpipe.functions.scalars import all_of, hash_id
+from docpipe.plans.lookup import lookup
 
 
 def collection_insert(coll: DataFrame, rows: DataFrame, id_col: str, key_cols: Sequence[str]) -> DataFrame:
@@ -20,7 +21,7 @@ def collection_insert(coll: DataFrame, rows: DataFrame, id_col: str, key_cols: S
 
 def collection_get(coll: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """One row per wanted id, nulls if missing."""
-    return ids.select(id_col).join(coll, id_col, "left")
+    return lookup(ids, coll, id_col)
 
 
 def collection_update(coll: DataFrame, updates: DataFrame, fields: Sequence[str], id_col: str) -> DataFrame:

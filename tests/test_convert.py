@@ -170,7 +170,7 @@ def test_binary_files_and_manifest(spark, tmp_path):
     assert [r.path.rsplit("/", 1)[1] for r in found.collect()] == ["a.pdf"]
     names = [(f"file:{tmp_path}/{n}", s) for n, s in (("a.pdf", 6), ("empty.pdf", 0))]
     manifest = spark.createDataFrame(names, "path string, size bigint")
-    rows = validate_files(scan_files(spark, str(tmp_path), manifest=manifest)).orderBy("path").collect()
+    rows = validate_files(scan_files(spark, str(tmp_path), "*.pdf", manifest=manifest)).orderBy("path").collect()
     assert [r.error for r in rows] == ["", "File is empty"]
 
 
