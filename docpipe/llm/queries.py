@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docpipe.llm.ann import nearest
 from docpipe.llm.bpe import encode_documents
+from docpipe.llm.embedding_dedup import embedding_groups
 from docpipe.llm.jaccard import jaccard_components
+from docpipe.llm.licenses import scan_licenses
 from docpipe.llm.mixing import SQL as MIXING_SQL
 from docpipe.llm.mixing import mix_sizes
 from docpipe.llm.quality import quality_scores
 from docpipe.llm.secrets import secret_digest
 from docpipe.llm.shared import table
 from docpipe.llm.toxicity import toxicity_scores
+from docpipe.llm.url_filter import filter_urls, labelled_urls
 
 
 def tokenizer_path() -> str:
@@ -35,6 +39,25 @@ def op3_mixing(spark, sf_dir):
     return mix_sizes(table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark, sf_dir):
+    rows = scan_licenses(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses.name", ",").alias("licenses"))
+
+
+def op5_ann(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def op6_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return filter_urls(pages, labelled_urls(pages)).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_embedding_dedup(spark, sf_dir):
+    return embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op8_quality(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,7 +71,9 @@ def op10_secrets(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_jaccard_join, op3_mixing, op8_quality, op9_toxicity, op10_secrets)}
+    found = (op1_bpe, op2_jaccard_join, op3_mixing, op4_licenses, op5_ann, op6_url_filter, op7_embedding_dedup, op8_quality,
+             op9_toxicity, op10_secrets)
+    return {f.__name__: f for f in found}
 
 
 def sql() -> dict[str, str]:
