@@ -8,10 +8,12 @@
 3. Small sets enumerate all 2-subsets of their prefix as keys; large sets scan
    the inverted lists of single shingles, in which small sets near the boundary
    also stand. The boundary is the size with the least estimated cost.
-4. Candidates that one list brings together are first compared with a centre
-   of the list only; then all pairs that are still in different components are
-   compared. So a large group of near copies costs its size, not its square,
-   as long as it hangs together, and no component is missed.
+4. Candidates that one list brings together are first compared with two
+   centres of the list. Then the sets of a list that are not in its largest
+   component are compared with two members of it, twice with other members.
+   Last, of every two components that still meet in a list of single shingles,
+   all sets are compared, in packs. So a large group of near copies costs its
+   size, not its square, as long as it hangs together; no component is missed.
 
 Frequencies are counted by blocks: a block of documents names a shingle once
 with its count, however many of its documents hold it, so a shingle of a third
@@ -253,29 +255,37 @@ def boundary(sets: DataFrame) -> int:
     return at
 
 
+#: Kinds of keys: single shingles for the proof only or for all, and 2-subsets.
+SINGLE, MAIN, SUBSET = range(3)
+#: Sets that are compared at once, on either side.
+PACK = 256
+
+
 def _postings(limit: Threshold, small: int):
     """Keys under which sets meet: 2-subsets of small sets; single shingles of
-    large sets and of small ones that a large one could match."""
+    all sets, ``main`` for large ones and small ones that a large one could
+    match, others for the proof at the end only."""
     def work(batches):
         for batch in batches:
-            keys, reps, sizes = [], [], []
+            keys, reps, sizes, kinds = [], [], [], []
             for rep, n, prefix in zip(*(batch.column(c).to_pylist() for c in ("rep", "n", "prefix"))):
                 prefix = np.frombuffer(prefix, np.uint64)
-                mine = []
+                mine = [prefix[:-1]]
                 if n <= small:
                     i, j = np.triu_indices(len(prefix), 1)
                     low, high = np.minimum(prefix[i], prefix[j]), np.maximum(prefix[i], prefix[j])
                     mine.append(mix(low * np.uint64(3) + high))
-                if n > small or n * 100 >= (small + 1) * limit.percent:
-                    mine.append(prefix[:-1])
+                main = n > small or n * 100 >= (small + 1) * limit.percent
+                kinds += [np.full(len(mine[0]), MAIN if main else SINGLE, np.int32), np.full(sum(map(len, mine[1:])), SUBSET, np.int32)]
                 mine = np.concatenate(mine)
                 keys.append(mine)
                 reps.append(np.full(len(mine), rep, np.int64))
                 sizes.append(np.full(len(mine), n, np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(reps)), pa.array(np.concatenate(sizes))],
-                    ["key", "rep", "n"])
+                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(reps)), pa.array(np.concatenate(sizes)),
+                     pa.array(np.concatenate(kinds))],
+                    ["key", "rep", "n", "kind"])
 
     return work
 
@@ -288,8 +298,7 @@ def _verify(limit: Threshold):
                 both = len(np.intersect1d(np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64), assume_unique=True))
                 keep.append(100 * both >= limit.percent * (n + m - both))
                 shared.append(both)
-            found = pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "la", "lb")] + [pa.array(shared, pa.int64())],
-                                               ["a", "b", "la", "lb", "shared"])
+            found = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64())], ["a", "b", "shared"])
             yield found.filter(pa.array(keep, pa.bool_()))
 
     return work
@@ -300,43 +309,108 @@ def _links(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
     left = keys.select(F.col("rep").alias("a"), F.col("keys").alias("ka"), F.col("n").alias("na"))
     right = keys.select(F.col("rep").alias("b"), F.col("keys").alias("kb"), F.col("n").alias("nb"))
     both = pairs.join(left, "a").join(right, "b")
-    return materialize(both.mapInArrow(_verify(limit), "a long, b long, la long, lb long, shared long"), "links")
+    return materialize(both.mapInArrow(_verify(limit), "a long, b long, shared long"), "links")
 
 
 def _fits(n: str, m: str, limit: Threshold):
     return F.least(n, m) * 100 >= F.greatest(n, m) * limit.percent
 
 
-def _pair(met: DataFrame) -> DataFrame:
-    first = F.col("rep") < F.col("c")
-    return met.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b"),
-                      F.when(first, F.col("label")).otherwise(F.col("cl")).alias("la"),
-                      F.when(first, F.col("cl")).otherwise(F.col("label")).alias("lb"))
+def _drawn(turn: int):
+    """Two sets of a list. In the first turn the same ones for all lists that
+    hold them, so that few different pairs come out; later, when few sets are
+    left to compare, others for each list, so that those meet many."""
+    def draw(seed: int):
+        order = F.xxhash64("rep", F.lit(seed)) if turn == 0 else F.xxhash64("rep", "key", F.lit(seed))
+        return F.min(F.struct(order.alias("o"), F.col("rep").alias("c"), F.col("n").alias("cn")))
 
+    return F.array(draw(2 * turn), draw(2 * turn + 1)).alias("s")
 
-def _central_pairs(postings: DataFrame, limit: Threshold) -> DataFrame:
-    """Each set with two sets of each of its lists: one that is drawn alike
-    for all lists, so that few different pairs come out, and one drawn anew for
-    each list, so that a set meets many others."""
-    def drawn(order):
-        return F.min(F.struct(order.alias("o"), F.col("rep").alias("c"), F.col("n").alias("cn")))
 
-    centres = postings.groupBy("key").agg(F.array(drawn(F.xxhash64("rep")), drawn(F.xxhash64("rep", "key"))).alias("s"),
-                                          F.count("*").alias("sets")).where("sets > 1")
-    met = postings.join(centres.select("key", "s"), "key").select("rep", "n", F.explode(F.array_distinct("s")).alias("s"))
-    met = met.select("rep", "n", "s.c", "s.cn").where((F.col("rep") != F.col("c")) & _fits("n", "cn", limit))
-    return _pair(met.withColumns({"label": F.col("rep"), "cl": F.col("c")})).distinct()
+def _pairs_with(met: DataFrame, limit: Threshold) -> DataFrame:
+    met = met.select("rep", "n", F.explode(F.array_distinct("s")).alias("s")).select("rep", "n", "s.c", "s.cn")
+    met = met.where((F.col("rep") != F.col("c")) & _fits("n", "cn", limit))
+    return met.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
 
 
-def _other_pairs(postings: DataFrame, roots: DataFrame, limit: Threshold) -> DataFrame:
-    """All pairs that meet in a list and are not known to hang together."""
+def _central_pairs(postings: DataFrame, limit: Threshold) -> DataFrame:
+    """Each set with two sets of each of its lists."""
+    lists = postings.where(F.col("kind") >= MAIN)
+    centres = lists.groupBy("key").agg(_drawn(0), F.count("*").alias("sets")).where("sets > 1").select("key", "s")
+    return _pairs_with(lists.join(centres, "key"), limit)
+
+
+def _labelled(postings: DataFrame, roots: DataFrame) -> DataFrame:
     roots = roots.select(F.col("node").alias("rep"), "root")
-    postings = postings.join(roots, "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("label"))
-    mixed = postings.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    left = materialize(postings.join(mixed.select("key"), "key", "left_semi"), "mixed")
-    right = left.select("key", F.col("rep").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl"))
-    met = left.join(right, "key").where((F.col("label") < F.col("cl")) & _fits("n", "cn", limit))
-    return _pair(met).distinct()
+    singles = postings.where(F.col("kind") != SUBSET)
+    return singles.join(roots, "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("label"))
+
+
+def _outer_pairs(lists: DataFrame, turn: int, limit: Threshold) -> DataFrame:
+    """The sets of a list that are not in its largest component, with two
+    members of that component."""
+    by_label = lists.groupBy("key", "label").agg(_drawn(turn), F.count("*").alias("sets"))
+    most = by_label.groupBy("key").agg(F.max(F.struct("sets", "label", "s")).alias("m"), F.count("*").alias("labels")).where("labels > 1")
+    most = most.select("key", F.col("m.label").alias("major"), "m.s")
+    return _pairs_with(lists.join(most, "key").where("label <> major"), limit)
+
+
+def _pack(group: pa.Table) -> pa.Table:
+    one = lambda values: pa.array([values], pa.binary())
+    return pa.table({"label": group["label"][:1], "reps": one(np.asarray(group["rep"]).astype(np.int64).tobytes()),
+                     "sizes": one(np.asarray(group["n"]).astype(np.int64).tobytes()),
+                     "counts": one(np.array([len(k) // 8 for k in group["keys"].to_pylist()], np.int64).tobytes()),
+                     "keys": one(b"".join(group["keys"].to_pylist()))})
+
+
+def _verify_packs(limit: Threshold):
+    """Every set of one pack with every set of the other."""
+    def work(batches):
+        for batch in batches:
+            out = []
+            names = ("reps", "sizes", "counts", "keys", "reps2", "sizes2", "counts2", "keys2")
+            for row in zip(*(batch.column(c).to_pylist() for c in names)):
+                reps, sizes, counts, reps2, sizes2, counts2 = (np.frombuffer(row[k], np.int64) for k in (0, 1, 2, 4, 5, 6))
+                keys, keys2 = np.frombuffer(row[3], np.uint64), np.frombuffer(row[7], np.uint64)
+                owner, end = np.repeat(np.arange(len(reps2)), counts2), np.cumsum(counts)
+                for rep, n, count, stop in zip(reps.tolist(), sizes.tolist(), counts.tolist(), end.tolist()):
+                    own = keys[stop - count : stop]
+                    at = np.minimum(np.searchsorted(own, keys2), count - 1)
+                    both = np.bincount(owner[own[at] == keys2], minlength=len(reps2))
+                    hit = np.flatnonzero(100 * both >= limit.percent * (n + sizes2 - both))
+                    out += [(min(rep, r), max(rep, r), int(k)) for r, k in zip(reps2[hit].tolist(), both[hit].tolist()) if r != rep]
+            columns = [list(c) for c in zip(*out)] if out else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "shared"])
+
+    return work
+
+
+def _other_links(lists: DataFrame, sets: DataFrame, roots: DataFrame, limit: Threshold) -> DataFrame:
+    """Links between components that meet in a list: all their sets."""
+    here = lists.groupBy("key", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    there = here.select("key", F.col("label").alias("label2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    fits = (F.col("high") * 100 >= F.col("low2") * limit.percent) & (F.col("high2") * 100 >= F.col("low") * limit.percent)
+    pairs = materialize(here.join(there, "key").where((F.col("label") < F.col("label2")) & fits).select("label", "label2").distinct(), "meetings")
+    named = sets.select("rep", "n", "keys").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn(
+        "label", F.coalesce("root", "rep")).drop("root")
+    asked = pairs.select("label").unionByName(pairs.select(F.col("label2").alias("label"))).distinct()
+    named = materialize(named.join(asked, "label", "left_semi").select("label", "rep", "n", "keys"), "meeting-sets")
+    size = named.groupBy("label").agg(F.count("*").alias("size"))
+    sized = pairs.join(size, "label").join(size.select(F.col("label").alias("label2"), F.col("size").alias("size2")), "label2")
+    first = (F.col("size") > F.col("size2")) | ((F.col("size") == F.col("size2")) & (F.col("label") < F.col("label2")))
+    sized = materialize(sized.select(F.when(first, F.col("label")).otherwise(F.col("label2")).alias("big"),
+                                     F.when(first, F.col("label2")).otherwise(F.col("label")).alias("label"),
+                                     F.least("size", "size2").alias("rows")), "meeting-sizes")
+    packs = F.ceil(F.col("rows") / PACK).cast("long")
+    kind = "label long, reps binary, sizes binary, counts binary, keys binary"
+    part = F.pmod(F.xxhash64("rep"), packs).alias("part")
+    small = sized.join(sized.groupBy("big").agg(F.sum("rows").alias("total")), "big").select("big", "label", F.col("total").alias("rows"))
+    small = small.join(named, "label").select(F.col("big").alias("label"), "rep", "n", "keys", part)
+    small = small.groupBy("label", "part").applyInArrow(_pack, kind)
+    large = named.join(sized.select(F.col("big").alias("label")).distinct(), "label", "left_semi").join(size.withColumnRenamed("size", "rows"), "label")
+    large = large.select("label", "rep", "n", "keys", part).groupBy("label", "part").applyInArrow(_pack, kind)
+    large = large.select("label", *(F.col(c).alias(f"{c}2") for c in ("reps", "sizes", "counts", "keys")))
+    return materialize(small.join(large, "label").mapInArrow(_verify_packs(limit), "a long, b long, shared long"), "links")
 
 
 def shingle_links(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -366,17 +440,32 @@ def shingle_links(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFr
     shared = shared.groupBy("block").agg(F.collect_list("keys").alias("found"), F.collect_list("df").alias("df"))
     ordered = materialize(blocks.join(shared, "block").mapInArrow(
         _order(limit), "rep long, n long, keys binary, prefix binary, p long, scan long"), "ordered")
-    postings = materialize(ordered.mapInArrow(_postings(limit, boundary(ordered)), "key long, rep long, n long"), "postings")
+    postings = materialize(ordered.mapInArrow(_postings(limit, boundary(ordered)), "key long, rep long, n long, kind int"), "postings")
     links = _links(_central_pairs(postings, limit), ordered, limit)
     copies = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     roots = components(links.select("a", "b").unionByName(copies))
-    rest = _links(_other_pairs(postings, roots, limit), ordered, limit)
-    if not rest.isEmpty():
-        upper = components(rest.select(F.col("la").alias("a"), F.col("lb").alias("b")))
-        known = roots.unionByName(upper.select("node", F.col("node").alias("root"))).groupBy("node").agg(F.min("root").alias("low"))
-        upper = upper.select(F.col("node").alias("low"), "root")
-        roots = materialize(known.join(upper, "low", "left").select("node", F.coalesce("root", "low").alias("root")), "roots")
-    return sizes.select("doc_id", "n_shingles"), links.unionByName(rest).select("a", "b", "shared"), roots
+    for turn in range(1, OUTER_TURNS + 1):
+        found = _links(_outer_pairs(_labelled(postings, roots), turn, limit), ordered, limit)
+        links, roots = links.unionByName(found), _merged(roots, found)
+    found = _other_links(_labelled(postings, roots), ordered, roots, limit)
+    return sizes.select("doc_id", "n_shingles"), links.unionByName(found), _merged(roots, found)
+
+
+#: Rounds with members of the largest component of each list.
+OUTER_TURNS = 2
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Roots after more links: those of the roots that the links join."""
+    if links.isEmpty():
+        return roots
+    known = roots.select("node", "root")
+    ends = links.join(known.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(
+        known.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    upper = components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    every = known.unionByName(upper.select("node", F.col("node").alias("root"))).groupBy("node").agg(F.min("root").alias("low"))
+    upper = upper.select(F.col("node").alias("low"), "root")
+    return materialize(every.join(upper, "low", "left").select("node", F.coalesce("root", "low").alias("root")), "roots")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
