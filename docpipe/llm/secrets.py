@@ -131,9 +131,12 @@ def secret_digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
     base = [r.kind for r in BASE]
     joined = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
     found = scan_secrets(docs, rules)
-    counts = [F.size(F.filter("spans", lambda x, k=k: x.kind == k)).cast("long").alias(f"n_{k}") for k in base]
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
+
     kept = F.filter("spans", lambda x: x.kind.isin(base))
-    return found.select("doc_id", *counts, F.sha2(joined(kept), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(count, base), F.sha2(joined(kept), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
 def checksum(spans: list[tuple[str, int, int]]) -> str:
