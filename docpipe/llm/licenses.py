@@ -95,7 +95,7 @@ class LicenseFinder:
             for odd, by_min, quick in tables:
                 low = np.minimum.reduceat(((shingles * odd) >> np.uint64(32)).astype(np.uint32), starts)
                 best = low.copy()
-                for k in range(1, parts):
+                for k in range(1, min(parts, len(low))):
                     np.minimum(best[: len(low) - k], low[k:], out=best[: len(low) - k])
                 for at in np.flatnonzero(quick[best & np.uint32(0xFFFF)]).tolist():
                     for t in by_min.get(int(best[at]), ()):
