@@ -3,6 +3,10 @@
 Two policies with different answers. *Fixed*: every request of a clock window
 counts, rejected ones too. *Sliding*: only requests that were allowed count,
 for exactly one window length (a request that is a full window old is out).
+
+Every request is kept, whatever the window's length. Requests without a token
+share one, with the limit of a token that is not listed. A request without a
+time has no place in a window: it is allowed, has no rank and counts for none.
 """
 
 from __future__ import annotations
@@ -51,7 +55,8 @@ def _ranked(requests: DataFrame, window_seconds: int, ts: str, tie: str) -> Data
         ranked = sliced_row_number(
             timed, ["token_id", "window_id"], order, floor_div(F.col("__us"), slice_us), "request_rank"
         )
-    return ranked.drop("__us")
+    timed_rank = F.when(F.col("__us").isNotNull(), F.col("request_rank"))
+    return ranked.withColumn("request_rank", timed_rank).drop("__us")
 
 
 def rate_limit_fixed(
@@ -60,7 +65,8 @@ def rate_limit_fixed(
 ) -> DataFrame:
     """Adds ``window_id, request_rank, rate_limit, allowed``."""
     ranked = _ranked(requests, window_seconds, ts, tie)
-    return _with_limit(ranked, limits).withColumn("allowed", F.col("request_rank") <= F.col("rate_limit"))
+    return _with_limit(ranked, limits).withColumn(
+        "allowed", F.coalesce(F.col("request_rank") <= F.col("rate_limit"), F.lit(True)))
 
 
 def rate_limit_headroom(
@@ -69,7 +75,7 @@ def rate_limit_headroom(
 ) -> DataFrame:
     """`rate_limit_fixed` plus ``remaining`` and ``reset_epoch`` (seconds)."""
     decided = rate_limit_fixed(requests, limits, window_seconds, ts, tie)
-    left = F.greatest(F.col("rate_limit") - F.col("request_rank"), F.lit(0)).cast("bigint")
+    left = F.when(F.col("request_rank").isNotNull(), F.greatest(F.col("rate_limit") - F.col("request_rank"), F.lit(0))).cast("bigint")
     return decided.withColumn("remaining", left).withColumn(
         "reset_epoch", (F.col("window_id") + 1) * F.lit(window_seconds)
     )
@@ -92,9 +98,11 @@ def rate_limit_sliding(
     timestamps.
     """
     window_us = window_seconds * 1_000_000
-    rows = requests.withColumn("__us", epoch_micros(F.col(ts))).withColumn(
+    placed = requests.withColumn("__us", epoch_micros(F.col(ts))).withColumn(
         "__slice", floor_div(F.col("__us"), window_us)
     )
+    rows = placed.filter(F.col("__us").isNotNull())
+    untimed = _with_limit(placed.filter(F.col("__us").isNull()), limits).withColumn("allowed", F.lit(True))
     counts = rows.groupBy("token_id", "__slice").agg(F.count(F.lit(1)).alias("__n"))
     order = Window.partitionBy("token_id").orderBy("__slice")
     follows = F.coalesce(F.lag("__slice").over(order) == F.col("__slice") - 1, F.lit(False))
@@ -113,12 +121,11 @@ def rate_limit_sliding(
     slices = slices.select(
         "token_id", "__slice", "rate_limit", run.alias("__run"), warms.alias("__warms")
     )
-    tagged = rows.join(slices, ["token_id", "__slice"])
+    slices = slices.withColumnRenamed("token_id", "__token").withColumnRenamed("__slice", "__of_slice")
+    same = F.col("token_id").eqNullSafe(F.col("__token")) & (F.col("__slice") == F.col("__of_slice"))
+    tagged = rows.join(slices, same).drop("__token", "__of_slice")
     columns = [*requests.columns, "rate_limit", "allowed"]
-    # True for every row (times are not null). Reading __us gives both branches
-    # the same columns, so they share one scan and one shuffle of the requests.
-    certain = F.col("__us").isNotNull()
-    calm = tagged.filter(F.col("__run").isNull()).withColumn("allowed", certain).select(*columns)
+    calm = tagged.filter(F.col("__run").isNull()).withColumn("allowed", F.lit(True)).select(*columns)
     replay_input = (
         tagged.filter(F.col("__run").isNotNull() | F.col("__warms").isNotNull())
         .withColumn("__history", F.col("__run").isNull())
@@ -130,7 +137,7 @@ def rate_limit_sliding(
     kept = [f for f in replay_input.schema if f.name not in ("__us", "__run", "__history")]
     schema = StructType([*kept, StructField("allowed", BooleanType())])
     replayed = replay_input.mapInArrow(_replay(window_us), schema).select(*columns)
-    return calm.unionByName(replayed)
+    return calm.unionByName(replayed).unionByName(untimed.select(*columns))
 
 
 def _replay(window_us: int):

@@ -9,6 +9,8 @@ are added from a small pre-aggregated count.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -18,8 +20,8 @@ def sliced_row_number(
 ) -> DataFrame:
     """1-based position of each row in its group (BIGINT).
 
-    ``slice_id`` must grow with ``order`` (rows of a lower slice come first);
-    keys and slice must not be null. The sort work of a group is spread over
+    ``slice_id`` must grow with ``order`` (rows of a lower slice come first).
+    Null keys and slices are values like others; every row is kept. The sort work of a group is spread over
     its slices; only one count per (group, slice) meets in one task.
     """
     sliced = df.withColumn("__slice", slice_id)
@@ -29,10 +31,12 @@ def sliced_row_number(
         Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = counts.select(*group, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    named = offsets.select(*(F.col(c).alias(f"__of_{c}") for c in group), "__before")
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in group))
     local = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     return (
         sliced.withColumn("__local", local)
-        .join(offsets, group)
+        .join(named, same)
         .withColumn(out, F.col("__before") + F.col("__local"))
-        .drop("__slice", "__local", "__before")
+        .drop("__slice", "__local", "__before", *(f"__of_{c}" for c in group))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 #: Settings every docpipe session wants. AQE sizes the shuffles and splits
 #: skewed join partitions at run time, so no partition count is fixed here.
@@ -31,25 +31,21 @@ def build_session(app_name: str = "docpipe", master: str | None = None, **conf:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: ``spark.checkpoint.dir`` when the
-    cluster names one; a temporary folder only where nothing is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="docpipe-")
-        spark.sparkContext.setCheckpointDir(base)
+    """Folder that the driver and all executors can reach: the one the cluster
+    names in ``spark.checkpoint.dir``, or the session's checkpoint folder. Only
+    a local master, which has one machine, gets a temporary folder where none
+    is set; elsewhere that is an error, as executors could not read each
+    other's part."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base:
+        return base
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base = tempfile.mkdtemp(prefix="docpipe-")
+    spark.sparkContext.setCheckpointDir(base)
     return base
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/docpipe-{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write once to the shared folder and read back: cuts lineage and, unlike
-    cached blocks, survives the loss of executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

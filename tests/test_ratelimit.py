@@ -111,3 +111,14 @@ def test_calm_tokens_skip_python(spark):
     rows = [(i, f"t{i % 5}", START + timedelta(seconds=30 * i)) for i in range(100)]
     decided = rate_limit_sliding(spark.createDataFrame(rows, SCHEMA), 10)
     assert decided.filter(~F.col("allowed")).count() == 0
+
+
+def test_null_tokens_and_times_are_kept_by_every_window(spark):
+    rows = [(i, None if i % 2 else "a", START + timedelta(seconds=i) if i > 3 else None) for i in range(12)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for window in (60, 3_600, 86_400):
+        fixed = {r.id: (r.request_rank, r.allowed) for r in rate_limit_fixed(df, 3, window).collect()}
+        assert len(fixed) == 12 and all(fixed[i] == (None, True) for i in range(4))
+        assert [fixed[i] for i in range(4, 12, 2)] == [fixed[i] for i in range(5, 12, 2)] == [(1, True), (2, True), (3, True), (4, False)]
+        sliding = {r.id: r.allowed for r in rate_limit_sliding(df, 3, window).collect()}
+        assert sliding == {i: i not in (10, 11) for i in range(12)}
