@@ -14,6 +14,11 @@
    Last, of every two components that still meet in a list of single shingles,
    all sets are compared, in packs. So a large group of near copies costs its
    size, not its square, as long as it hangs together; no component is missed.
+5. Every entry of a list knows the largest partner that its set could have if
+   the list's shingle were the first one both share: only what comes after it
+   in the common order can be shared too. Components meet in a list only where
+   each has a set within reach of the other. A linked pair passes at the first
+   shingle it shares, so this loses none.
 
 Frequencies are counted by blocks: a block of documents names a shingle once
 with its count, however many of its documents hold it, so a shingle of a third
@@ -50,6 +55,11 @@ class Threshold:
         """Shingles that any partner shares with a set of ``n``, at least."""
         return -(-n * self.percent // 100)
 
+    def reach(self, shared, n):
+        """Size of the largest partner of a set of ``n``, if the two share
+        ``shared`` shingles at most."""
+        return shared * (100 + self.percent) // self.percent - n
+
     def slack(self, n: int) -> int:
         """Shared shingles asked of the first filter's prefix: more of them
         tell near copies from texts that share one passage."""
@@ -226,11 +236,11 @@ def _order(limit: Threshold):
                     need = limit.overlap(n)
                     if len(mine) >= need:
                         first = np.lexsort((mine, own_df))[: len(mine) - need + 2]
-                        out.append((rep, n, mine.tobytes(), mine[first].tobytes(), len(first), int(own_df[first].sum())))
-            columns = zip(*out) if out else [[]] * 6
+                        out.append((rep, n, mine.tobytes(), mine[first].tobytes(), len(mine), len(first), int(own_df[first].sum())))
+            columns = zip(*out) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()))],
-                ["rep", "n", "keys", "prefix", "p", "scan"])
+                [pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))],
+                ["rep", "n", "keys", "prefix", "m", "p", "scan"])
 
     return work
 
@@ -264,28 +274,32 @@ PACK = 256
 def _postings(limit: Threshold, small: int):
     """Keys under which sets meet: 2-subsets of small sets; single shingles of
     all sets, ``main`` for large ones and small ones that a large one could
-    match, others for the proof at the end only."""
+    match, others for the proof at the end only. ``reach`` is the size of the
+    largest partner that shares nothing rarer than the key."""
     def work(batches):
         for batch in batches:
-            keys, reps, sizes, kinds = [], [], [], []
-            for rep, n, prefix in zip(*(batch.column(c).to_pylist() for c in ("rep", "n", "prefix"))):
+            keys, reps, sizes, kinds, reaches = [], [], [], [], []
+            for rep, n, m, prefix in zip(*(batch.column(c).to_pylist() for c in ("rep", "n", "m", "prefix"))):
                 prefix = np.frombuffer(prefix, np.uint64)
-                mine = [prefix[:-1]]
+                mine = [prefix[: m - limit.overlap(n) + 1]]
+                left = [m - np.arange(len(mine[0]))]
                 if n <= small:
                     i, j = np.triu_indices(len(prefix), 1)
                     low, high = np.minimum(prefix[i], prefix[j]), np.maximum(prefix[i], prefix[j])
                     mine.append(mix(low * np.uint64(3) + high))
+                    left.append(m - j + 1)
                 main = n > small or n * 100 >= (small + 1) * limit.percent
                 kinds += [np.full(len(mine[0]), MAIN if main else SINGLE, np.int32), np.full(sum(map(len, mine[1:])), SUBSET, np.int32)]
                 mine = np.concatenate(mine)
                 keys.append(mine)
                 reps.append(np.full(len(mine), rep, np.int64))
                 sizes.append(np.full(len(mine), n, np.int64))
+                reaches.append(limit.reach(np.concatenate(left), n).astype(np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(reps)), pa.array(np.concatenate(sizes)),
-                     pa.array(np.concatenate(kinds))],
-                    ["key", "rep", "n", "kind"])
+                     pa.array(np.concatenate(kinds)), pa.array(np.concatenate(reaches))],
+                    ["key", "rep", "n", "kind", "reach"])
 
     return work
 
@@ -343,16 +357,19 @@ def _central_pairs(postings: DataFrame, limit: Threshold) -> DataFrame:
 def _labelled(postings: DataFrame, roots: DataFrame) -> DataFrame:
     roots = roots.select(F.col("node").alias("rep"), "root")
     singles = postings.where(F.col("kind") != SUBSET)
-    return singles.join(roots, "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("label"))
+    return singles.join(roots, "rep", "left").select("key", "rep", "n", "reach", F.coalesce("root", "rep").alias("label"))
 
 
 def _outer_pairs(lists: DataFrame, turn: int, limit: Threshold) -> DataFrame:
-    """The sets of a list that are not in its largest component, with two
-    members of that component."""
-    by_label = lists.groupBy("key", "label").agg(_drawn(turn), F.count("*").alias("sets"))
-    most = by_label.groupBy("key").agg(F.max(F.struct("sets", "label", "s")).alias("m"), F.count("*").alias("labels")).where("labels > 1")
-    most = most.select("key", F.col("m.label").alias("major"), "m.s")
-    return _pairs_with(lists.join(most, "key").where("label <> major"), limit)
+    """The sets of a list that are not in its largest component but within
+    reach of it, with two members of that component."""
+    by_label = lists.groupBy("key", "label").agg(
+        _drawn(turn), F.count("*").alias("sets"), F.min("n").alias("low"), F.max("reach").alias("high"))
+    most = by_label.groupBy("key").agg(
+        F.max(F.struct("sets", "label", "s", "low", "high")).alias("m"), F.count("*").alias("labels")).where("labels > 1")
+    most = most.select("key", F.col("m.label").alias("major"), "m.s", "m.low", "m.high")
+    near = (F.col("label") != F.col("major")) & (F.col("n") <= F.col("high")) & (F.col("low") <= F.col("reach"))
+    return _pairs_with(lists.join(most, "key").where(near), limit)
 
 
 def _pack(group: pa.Table) -> pa.Table:
@@ -387,9 +404,9 @@ def _verify_packs(limit: Threshold):
 
 def _other_links(lists: DataFrame, sets: DataFrame, roots: DataFrame, limit: Threshold) -> DataFrame:
     """Links between components that meet in a list: all their sets."""
-    here = lists.groupBy("key", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    here = lists.groupBy("key", "label").agg(F.min("n").alias("low"), F.max("reach").alias("high"))
     there = here.select("key", F.col("label").alias("label2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    fits = (F.col("high") * 100 >= F.col("low2") * limit.percent) & (F.col("high2") * 100 >= F.col("low") * limit.percent)
+    fits = (F.col("low2") <= F.col("high")) & (F.col("low") <= F.col("high2"))
     pairs = materialize(here.join(there, "key").where((F.col("label") < F.col("label2")) & fits).select("label", "label2").distinct(), "meetings")
     named = sets.select("rep", "n", "keys").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn(
         "label", F.coalesce("root", "rep")).drop("root")
@@ -439,8 +456,8 @@ def shingle_links(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFr
     shared = counted.groupBy("bucket").applyInArrow(_frequencies, "block long, keys binary, df binary")
     shared = shared.groupBy("block").agg(F.collect_list("keys").alias("found"), F.collect_list("df").alias("df"))
     ordered = materialize(blocks.join(shared, "block").mapInArrow(
-        _order(limit), "rep long, n long, keys binary, prefix binary, p long, scan long"), "ordered")
-    postings = materialize(ordered.mapInArrow(_postings(limit, boundary(ordered)), "key long, rep long, n long, kind int"), "postings")
+        _order(limit), "rep long, n long, keys binary, prefix binary, m long, p long, scan long"), "ordered")
+    postings = materialize(ordered.mapInArrow(_postings(limit, boundary(ordered)), "key long, rep long, n long, kind int, reach long"), "postings")
     links = _links(_central_pairs(postings, limit), ordered, limit)
     copies = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     roots = components(links.select("a", "b").unionByName(copies))
