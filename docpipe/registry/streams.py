@@ -13,17 +13,25 @@ from docpipe.registry.limits import FIXED, MAX, SLIDING, WINDOW
 from docpipe.registry.text import MAX_MB
 from docpipe.session import scratch_path
 from docpipe.streaming.jobs import latest_job_state, stream_convert, stream_job_state
-from docpipe.streaming.limits import stream_rate_fixed, stream_rate_sliding
+from docpipe.streaming.limits import latest_decisions, stream_rate_fixed, stream_rate_sliding
 from docpipe.streaming.sink import read_batches, write_batches
 from docpipe.streaming.usage import stream_usage_metrics
 
 
-def stream_view(x, view: str, table: str, files_per_trigger: int = 1):
-    """A fixture view over a stream of one table's files."""
+#: Covers all disorder of the replayed tables.
+DELAY = "36500 days"
+
+
+def stream_view(x, view: str, table: str, shuffled_by: str | None = None, files: int = 3):
+    """A fixture view over a stream of one table, one file a micro-batch; with
+    ``shuffled_by``, of its rows dealt over several files by that column."""
     # A glob, as a stream source takes a folder or a pattern, not one file.
     path = f"{x.sf_dir}/{table}.parque[t]"
+    if shuffled_by:
+        path = scratch_path(x.spark, table)
+        x.table(table).repartition(files, F.xxhash64(shuffled_by)).write.parquet(path)
     schema = x.table(table).schema
-    source = x.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    source = x.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     source.createOrReplaceTempView(f"stream_{table}")
     text = view_text(view, "spark").replace(f"FROM {table}", f"FROM stream_{table}")
     return x.spark.sql(text)
@@ -41,7 +49,7 @@ def run(x, stream, label: str, output_mode: str = "append"):
 
 @query("stream_convert", CONVERTED_SQL)
 def convert(x):
-    view = stream_view(x, "fx_files", "documents")
+    view = stream_view(x, "fx_files", "documents", "doc_id")
     files = view.selectExpr(
         "doc_id", "path", "CAST(octet_length(body) AS BIGINT) AS size", "modified", "encode(body, 'UTF-8') AS content"
     )
@@ -58,21 +66,21 @@ def convert(x):
 
 @query("stream_rate_fixed", f"SELECT id, token_id, request_rank <= {MAX} AS allowed FROM ({FIXED})")
 def rate_fixed(x):
-    usage = stream_view(x, "fx_usage", "events")
-    path = run(x, stream_rate_fixed(usage, MAX, WINDOW), "fixed")
-    return read_batches(x.spark, path).select("id", "token_id", "allowed")
+    usage = stream_view(x, "fx_usage", "events", "event_id")
+    path = run(x, stream_rate_fixed(usage, MAX, WINDOW, delay=DELAY), "fixed")
+    return latest_decisions(x.spark, path).select("id", "token_id", "allowed")
 
 
 @query("stream_rate_sliding", SLIDING)
 def rate_sliding(x):
-    usage = stream_view(x, "fx_usage", "events")
-    path = run(x, stream_rate_sliding(usage, MAX, WINDOW), "sliding")
-    return read_batches(x.spark, path).select("token_id", "id", "allowed")
+    usage = stream_view(x, "fx_usage", "events", "event_id")
+    path = run(x, stream_rate_sliding(usage, MAX, WINDOW, delay=DELAY), "sliding")
+    return latest_decisions(x.spark, path).select("token_id", "id", "allowed")
 
 
 @query("stream_job_state", FOLD_SQL)
 def job_state(x):
-    events = stream_view(x, "fx_job_events", "events")
+    events = stream_view(x, "fx_job_events", "events", "event_id")
     path = run(x, stream_job_state(events), "jobs", "update")
     return latest_job_state(x.spark, path)
 

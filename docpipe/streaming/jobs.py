@@ -15,32 +15,56 @@ from docpipe.streaming.sink import read_batches, write_batches
 STATE = "status string, started_at timestamp_ntz, completed_at timestamp_ntz, result_path string, error_message string"
 
 
+def _order(event: tuple) -> tuple:
+    """Place of an event in its job's log: (event_time, seq), nulls first."""
+    at, seq = event[:2]
+    return (at is not None, at), (seq is not None, seq)
+
+
+def _fold(state: tuple, events: list[tuple]) -> tuple:
+    """State of a job after more events, which are in order."""
+    status, started, completed, result, error = state
+    for at, _, event, path, message in events:
+        if event == "CANCEL":
+            if status not in CANCELLABLE_STATUSES:
+                continue
+            event = "CANCELLED"
+        status = event
+        if event == "RUNNING":
+            started = at
+        elif event in TERMINAL_STATUSES:
+            completed, result, error = at, path, message
+    return status, started, completed, result, error
+
+
 class _JobState(StatefulProcessor):
-    """Current row of one job; the state knows the status a CANCEL meets."""
+    """Current row and log of one job. Events after all known ones are folded
+    into the row; an event that comes late is put in its place in the log, and
+    the whole log, which is short for a job, is folded anew."""
+
+    def __init__(self, seq_type: str):
+        self.seq_type = seq_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.job = handle.getValueState("job", STATE)
+        place = f"event_time timestamp_ntz, seq {self.seq_type}"
+        self.job = handle.getValueState("job", f"{STATE}, {place}")
+        self.log = handle.getListState("log", f"{place}, event string, result_path string, error_message string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        status, started, completed, result, error = (
-            tuple(self.job.get()) if self.job.exists() else (None,) * 5
+        new = sorted(
+            ((r.event_time, r.seq, r.event, r.result_path, r.error_message) for r in rows), key=_order
         )
-        changed = False
-        for at, _, event, path, message in sorted(
-            ((r.event_time, r.seq, r.event, r.result_path, r.error_message) for r in rows),
-            key=lambda r: r[:2],
-        ):
-            if event == "CANCEL":
-                if status not in CANCELLABLE_STATUSES:
-                    continue
-                event = "CANCELLED"
-            status, changed = event, True
-            if event == "RUNNING":
-                started = at
-            elif event in TERMINAL_STATUSES:
-                completed, result, error = at, path, message
-        if changed:
-            self.job.update((status, started, completed, result, error))
+        known = tuple(self.job.get()) if self.job.exists() else None
+        before = known[:5] if known else (None,) * 5
+        if known is None or _order(new[0]) >= _order(known[5:]):
+            after, last = _fold(before, new), new[-1]
+        else:
+            every = sorted([*map(tuple, self.log.get()), *new], key=_order)
+            after, last = _fold((None,) * 5, every), every[-1]
+        self.log.appendList(new)
+        self.job.update((*after, *last[:2]))
+        if after != before:
+            status, started, completed, result, error = after
             yield Row(
                 job_id=key[0], status=status, started_at=started, completed_at=completed,
                 result_path=result, error_message=error,
@@ -51,9 +75,11 @@ class _JobState(StatefulProcessor):
 
 
 def stream_job_state(events: DataFrame) -> DataFrame:
-    """Changed job rows per micro-batch (update mode)."""
+    """Changed job rows per micro-batch (update mode), in whatever order and
+    batches the events arrive."""
     schema = StructType([events.schema["job_id"], *StructType.fromDDL(STATE).fields])
-    return events.groupBy("job_id").transformWithState(_JobState(), schema, "update", "none")
+    processor = _JobState(events.schema["seq"].dataType.simpleString())
+    return events.groupBy("job_id").transformWithState(processor, schema, "update", "none")
 
 
 def latest_job_state(spark, path: str) -> DataFrame:
@@ -66,8 +92,10 @@ def latest_job_state(spark, path: str) -> DataFrame:
 def stream_convert(files: DataFrame, path: str, checkpoint: str, available_now: bool = True,
                    **options) -> StreamingQuery:
     """Converts each micro-batch of a file-table stream with `convert_corpus`.
-    Bad files are FAILED rows; they do not stop the stream."""
+    Bad files are FAILED rows; they do not stop the stream. An outcome is
+    keyed by (path, source_hash): a file that is delivered again in a later
+    batch adds no row."""
     return write_batches(
         files, path, checkpoint, transform=lambda batch: convert_corpus(batch, **options),
-        available_now=available_now,
+        available_now=available_now, unique=("path", "source_hash"),
     )

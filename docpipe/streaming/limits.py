@@ -1,13 +1,22 @@
 """Rate limits on a request stream.
 
-Requests are decided in order of arrival; inside a micro-batch by (time, id).
-State is dropped once the watermark has passed the end of its window.
+Requests may arrive in any order. A request is decided when it arrives; one that
+arrives out of order may change decisions on others, which are then written
+again, so the last decision of a request counts (`latest_decisions`). While
+nothing is late, the last decisions are those of the batch operators.
+
+Each request gets a row. One behind the watermark is ``late``: what it would
+have changed is closed, so ``allowed`` is null and it counts for nothing.
+Without a time a request is allowed and counts for none; requests without a
+token share one. State is dropped once the watermark has passed its window.
 """
 
 from __future__ import annotations
 
-from collections import deque
+from bisect import insort
+from collections import Counter, deque
 from collections.abc import Iterator
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -15,50 +24,81 @@ from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from docpipe.functions.scalars import epoch_micros, floor_div
 from docpipe.operators.ratelimit import _with_limit
+from docpipe.streaming.sink import read_batches
 
 
 def _decision_schema(requests: DataFrame) -> StructType:
     """Output rows keep the types of the key columns of the input."""
     return StructType(
         [
-            requests.schema["token_id"], requests.schema["id"],
-            StructField("us", LongType()), StructField("allowed", BooleanType()),
+            requests.schema["token_id"], requests.schema["id"], StructField("us", LongType()),
+            StructField("allowed", BooleanType()), StructField("late", BooleanType()),
         ]
     )
 
 
 def _prepared(requests: DataFrame, limits: int | DataFrame, ts: str, delay: str) -> DataFrame:
+    """The event time itself goes no further than the watermark: Spark would
+    drop late rows from an operator that can see it."""
     slim = requests.select("token_id", "id", F.col(ts).alias("at"))
     return (
         _with_limit(slim, limits)
         .withColumn("us", epoch_micros(F.col("at")))
         .withColumn("event_time", F.col("at").cast("timestamp"))
         .withWatermark("event_time", delay)
+        .select("token_id", "id", "us", "rate_limit")
     )
 
 
+def _entry(row) -> tuple:
+    """Place of a request in the order of its token; null ids come first."""
+    return row.us, (row.id is not None, row.id)
+
+
 class _FixedWindow(StatefulProcessor):
-    """Counts all requests of one (token, clock window)."""
+    """The first requests of one (token, clock window), at most its limit of
+    them: those are allowed."""
 
-    def __init__(self, window_us: int):
-        self.window_us = window_us
+    def __init__(self, window_us: int, id_type: str):
+        self.window_us, self.id_type = window_us, id_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.count = handle.getValueState("count", "n bigint")
+        self.first = handle.getListState("first", f"us bigint, id {self.id_type}")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        known = self.count.get() if self.count.exists() else None
-        n = known[0] if known is not None else 0
-        if known is None:
-            self.handle.registerTimer((key[1] + 1) * self.window_us // 1000)
-        for us, request_id, limit in sorted((r.us, r.id, r.rate_limit) for r in rows):
-            n += 1
-            yield Row(token_id=key[0], id=request_id, us=us, allowed=n <= limit)
-        self.count.update((n,))
+        token, window = key
+        if window is None:
+            for r in rows:
+                yield Row(token_id=token, id=r.id, us=None, allowed=True, late=False)
+            return
+        end_ms = (window + 1) * self.window_us // 1000
+        if end_ms <= timerValues.getCurrentWatermarkInMs():
+            for r in rows:
+                yield Row(token_id=token, id=r.id, us=r.us, allowed=None, late=True)
+            return
+        if self.first.exists():
+            first = [(us, (name is not None, name)) for us, name in self.first.get()]
+        else:
+            first = []
+            self.handle.registerTimer(end_ms)
+        new = Counter()
+        for r in rows:
+            insort(first, _entry(r))
+            new[_entry(r)] += 1
+            while len(first) > r.rate_limit:
+                out = first.pop()
+                new[out] -= 1
+                if new[out] <= 0:
+                    del new[out]
+                yield Row(token_id=token, id=out[1][1], us=out[0], allowed=False, late=False)
+        for us, (_, name) in new.elements():
+            yield Row(token_id=token, id=name, us=us, allowed=True, late=False)
+        if first:
+            self.first.put([(us, name) for us, (_, name) in first])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.count.clear()
+        self.first.clear()
         return iter(())
 
     def close(self) -> None:
@@ -66,59 +106,103 @@ class _FixedWindow(StatefulProcessor):
 
 
 class _SlidingLog(StatefulProcessor):
-    """Times of the allowed requests of one token, at most its limit of them."""
+    """Of one token, the allowed times before the watermark that still count,
+    and the decided requests after it, which are replayed in order when one
+    arrives among them."""
 
-    def __init__(self, window_us: int):
-        self.window_us = window_us
+    def __init__(self, window_us: int, id_type: str):
+        self.window_us, self.id_type = window_us, id_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.allowed = handle.getListState("allowed", "us bigint")
+        self.closed = handle.getListState("closed", "us bigint")
+        self.open = handle.getListState("open", f"us bigint, id {self.id_type}, rate_limit int, allowed boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        history = deque(r[0] for r in self.allowed.get()) if self.allowed.exists() else deque()
-        for us, request_id, limit in sorted((r.us, r.id, r.rate_limit) for r in rows):
+        token, mark = key[0], timerValues.getCurrentWatermarkInMs() * 1000
+        log = [(us, (name is not None, name), limit, allowed)
+               for us, name, limit, allowed in self.open.get()] if self.open.exists() else []
+        for r in rows:
+            if r.us is None:
+                yield Row(token_id=token, id=r.id, us=None, allowed=True, late=False)
+            elif mark > 0 and r.us < mark:
+                yield Row(token_id=token, id=r.id, us=r.us, allowed=None, late=True)
+            else:
+                log.append((*_entry(r), r.rate_limit, None))
+        if not log:
+            return
+        log.sort(key=itemgetter(0, 1))
+        history = deque(r[0] for r in self.closed.get()) if self.closed.exists() else deque()
+        closed, still_open = list(history), []
+        for us, name, limit, before in log:
             while history and history[0] <= us - self.window_us:
                 history.popleft()
             allowed = len(history) < limit
             if allowed:
                 history.append(us)
-            yield Row(token_id=key[0], id=request_id, us=us, allowed=allowed)
-        if history:
-            self.allowed.put([(us,) for us in history])
-            self.handle.registerTimer((history[-1] + self.window_us) // 1000 + 1)
+            if allowed is not before:
+                yield Row(token_id=token, id=name[1], us=us, allowed=allowed, late=False)
+            if us < mark:
+                closed = list(history)
+            else:
+                still_open.append((us, name[1], limit, allowed))
+        self._keep(self.closed, [(us,) for us in closed if us > mark - self.window_us])
+        self._keep(self.open, still_open)
+        self.handle.registerTimer((log[-1][0] + self.window_us) // 1000 + 1)
+
+    @staticmethod
+    def _keep(state, values: list) -> None:
+        if values:
+            state.put(values)
+        else:
+            state.clear()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        last = max((r[0] for r in self.allowed.get()), default=None) if self.allowed.exists() else None
-        if last is not None and (last + self.window_us) // 1000 < expiredTimerInfo.getExpiryTimeInMs():
-            self.allowed.clear()
+        times = [r[0] for state in (self.closed, self.open) if state.exists() for r in state.get()]
+        if times and (max(times) + self.window_us) // 1000 < expiredTimerInfo.getExpiryTimeInMs():
+            self.closed.clear()
+            self.open.clear()
         return iter(())
 
     def close(self) -> None:
         pass
 
 
+def _id_type(requests: DataFrame) -> str:
+    return requests.schema["id"].dataType.simpleString()
+
+
 def stream_rate_fixed(requests: DataFrame, limits: int | DataFrame, window_seconds: int = 60,
                       ts: str = "timestamp", delay: str = "1 minute") -> DataFrame:
-    """``token_id, id, us, allowed`` per request. State is keyed by token and
-    window, so a hot token moves over the tasks as time goes on."""
+    """``token_id, id, us, allowed, late`` per request or changed decision.
+    State is keyed by token and window, so a hot token moves over the tasks as
+    time goes on, and holds at most the limit's number of requests."""
     window_us = window_seconds * 1_000_000
     prepared = _prepared(requests, limits, ts, delay)
     keyed = prepared.withColumn("window_id", floor_div(F.col("us"), window_us))
     return keyed.groupBy("token_id", "window_id").transformWithState(
-        _FixedWindow(window_us), _decision_schema(requests), "append", "eventTime"
+        _FixedWindow(window_us, _id_type(requests)), _decision_schema(requests), "append", "eventTime"
     )
 
 
 def stream_rate_sliding(requests: DataFrame, limits: int | DataFrame, window_seconds: int = 60,
                         ts: str = "timestamp", delay: str = "1 minute") -> DataFrame:
-    """``token_id, id, us, allowed`` per request, by the log of allowed ones."""
+    """``token_id, id, us, allowed, late`` per request or changed decision, by
+    the log of allowed ones. A token's state is its requests after the
+    watermark and at most its limit of earlier times."""
     prepared = _prepared(requests, limits, ts, delay)
     return prepared.groupBy("token_id").transformWithState(
-        _SlidingLog(window_seconds * 1_000_000), _decision_schema(requests), "append", "eventTime"
+        _SlidingLog(window_seconds * 1_000_000, _id_type(requests)), _decision_schema(requests),
+        "append", "eventTime",
     )
 
 
+def latest_decisions(spark, path: str) -> DataFrame:
+    """The last written decision of each request; ids identify requests."""
+    decided = F.max_by(F.struct("us", "allowed", "late"), "batch").alias("d")
+    return read_batches(spark, path).groupBy("token_id", "id").agg(decided).select("token_id", "id", "d.*")
+
+
 def stream_window_counts(requests: DataFrame, window: str = "60 seconds", ts: str = "timestamp",
                          delay: str = "1 minute") -> DataFrame:
     """Requests per token and closed window."""

@@ -10,7 +10,7 @@ from docpipe.operators.ledger import fold_job_state
 from docpipe.operators.ratelimit import rate_limit_fixed, rate_limit_sliding
 from docpipe.plans.convert import convert_corpus
 from docpipe.streaming.jobs import latest_job_state, stream_convert, stream_job_state
-from docpipe.streaming.limits import stream_rate_fixed, stream_rate_sliding, stream_window_counts
+from docpipe.streaming.limits import latest_decisions, stream_rate_fixed, stream_rate_sliding, stream_window_counts
 from docpipe.streaming.sink import read_batches, write_batches
 from docpipe.streaming.usage import stream_usage_metrics
 
@@ -54,11 +54,68 @@ def test_limits(spark, usage, tmp_path, policy):
     stream_of = stream_rate_fixed if policy == "fixed" else stream_rate_sliding
     batch_of = rate_limit_fixed if policy == "fixed" else rate_limit_sliding
     path = run(stream_of(source(spark, f"{tmp_path}/in", schema), 3), str(tmp_path))
-    got = {r.id: r.allowed for r in read_batches(spark, path).collect()}
+    got = {r.id: r.allowed for r in latest_decisions(spark, path).collect()}
     want = {r.id: r.allowed for r in batch_of(spark.createDataFrame(usage, USAGE), 3).collect()}
     assert got == want and False in got.values()
 
 
+@pytest.mark.parametrize("policy", ["fixed", "sliding"])
+def test_limits_out_of_order(spark, usage, tmp_path, policy):
+    rows = usage + [(9000, None, START, "/a", 1, 200), (9001, None, START, "/a", 1, 200), (9002, "hot", None, "/a", 1, 200)]
+    random.Random(8).shuffle(rows)
+    schema = write_parts(spark, rows, USAGE, f"{tmp_path}/in", 4)
+    stream_of = stream_rate_fixed if policy == "fixed" else stream_rate_sliding
+    batch_of = rate_limit_fixed if policy == "fixed" else rate_limit_sliding
+    path = run(stream_of(source(spark, f"{tmp_path}/in", schema), 3, delay="1 hour"), str(tmp_path))
+    got = {r.id: (r.allowed, r.late) for r in latest_decisions(spark, path).collect()}
+    want = {r.id: (r.allowed, False) for r in batch_of(spark.createDataFrame(rows, USAGE), 3).collect()}
+    assert got == want and len(got) == len(rows)
+
+
+@pytest.mark.parametrize("policy", ["fixed", "sliding"])
+def test_late_requests_are_rows(spark, tmp_path, policy):
+    def request(i, seconds):
+        return i, "t", START + timedelta(seconds=seconds), "/a", 1, 200
+
+    for part in ([request(1, 0), request(2, 600)], [request(3, 605)], [request(4, 10), request(5, 610)]):
+        schema = write_parts(spark, part, USAGE, f"{tmp_path}/in", 1)
+    stream_of = stream_rate_fixed if policy == "fixed" else stream_rate_sliding
+    path = run(stream_of(source(spark, f"{tmp_path}/in", schema), 2), str(tmp_path))
+    got = {r.id: (r.allowed, r.late) for r in latest_decisions(spark, path).collect()}
+    assert got == {1: (True, False), 2: (True, False), 3: (True, False), 4: (None, True), 5: (False, False)}
+
+
+def test_job_state_out_of_order(spark, tmp_path):
+    rng = random.Random(7)
+    schema = ("job_id string, seq bigint, event_time timestamp_ntz, event string, result_path string, "
+              "error_message string")
+    rows = [
+        (f"j{rng.randrange(20)}", i, START + timedelta(seconds=i // 2),
+         rng.choice(["PENDING", "RUNNING", "COMPLETED", "FAILED", "CANCEL", "CANCEL"]), f"r{i}", None)
+        for i in range(200)
+    ]
+    rng.shuffle(rows)
+    declared = write_parts(spark, rows, schema, f"{tmp_path}/in", 4)
+    path = run(stream_job_state(source(spark, f"{tmp_path}/in", declared)), str(tmp_path), "update")
+    columns = ["job_id", "status", "started_at", "completed_at", "result_path", "error_message"]
+    got = sorted(map(repr, latest_job_state(spark, path).select(columns).collect()))
+    want = fold_job_state(spark.createDataFrame(rows, schema)).select(columns)
+    assert got == sorted(map(repr, want.collect()))
+
+
+def test_convert_same_file_again(spark, tmp_path):
+    schema = "path string, size bigint, modified timestamp_ntz, content binary"
+    first = [("a.pdf", 8, START, bytearray(b"%PDF-one")), ("b.pdf", 0, START, bytearray(b""))]
+    again = [*first, ("a.pdf", 8, START, bytearray(b"%PDF-two"))]
+    for part in (first, again):
+        declared = write_parts(spark, part, schema, f"{tmp_path}/in", 1)
+    stream_convert(
+        source(spark, f"{tmp_path}/in", declared), f"{tmp_path}/out", f"{tmp_path}/checkpoint", output_format="text"
+    ).awaitTermination()
+    found = read_batches(spark, f"{tmp_path}/out").select("path", "source_hash").collect()
+    assert sorted(r.path for r in found) == ["a.pdf", "a.pdf", "b.pdf"] and len(set(found)) == 3
+
+
 def test_job_state_and_restart(spark, tmp_path):
     rng = random.Random(6)
     schema = ("job_id string, seq bigint, event_time timestamp_ntz, event string, result_path string, "
