@@ -13,10 +13,18 @@ from docpipe.session import scratch_path
 from docpipe.sources import blobs
 
 
-@query("scan_files", "SELECT doc_id, path, strlen(body) AS size, modified, sha256(body) AS sha256 FROM fx_files")
+# Spark's reader returns no empty files: those come from the manifest.
+@query("scan_files", """
+SELECT doc_id, strlen(body) AS size, CASE WHEN body <> '' THEN sha256(body) END AS sha256 FROM fx_files""")
 def scan_files(x):
-    files = blobs.scan_files(x.spark, manifest=x.files())
-    return files.select("doc_id", "path", "size", "modified", F.sha2("content", 256).alias("sha256"))
+    folder = scratch_path(x.spark, "files")
+    bodies = x("fx_files").select(F.col("doc_id").alias("job_id"), F.col("body").alias("content"))
+    blobs.write_results(bodies, folder, layout="files")
+    manifest = bodies.select(
+        blobs.result_path(folder, F.col("job_id")).alias("path"), F.octet_length("content").cast("bigint").alias("size"))
+    files = blobs.scan_files(x.spark, folder, glob="*.md", manifest=manifest)
+    doc_id = F.regexp_extract("path", "([^/]+)[.]md$", 1).cast("bigint")
+    return files.select(doc_id.alias("doc_id"), "size", F.sha2("content", 256).alias("sha256"))
 
 
 @query("list_blobs", """

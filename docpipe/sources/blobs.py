@@ -7,12 +7,13 @@ metadata as a map. Bytes stay out of it unless an operator says otherwise.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from docpipe.functions.scalars import as_timestamp, blob_url, parse_sidecar, render_sidecar
-from docpipe.operators.checks import check_primary_key, violating_rows
 from docpipe.plans.lookup import lookup
 from docpipe.schemas import LEDGER, PRIMARY_KEYS
 
@@ -25,10 +26,11 @@ def scan_files(spark: SparkSession, path: str | None = None, glob: str | None =
     """File table ``path, size, modified, content``.
 
     Spark's binary reader leaves out empty files and names that start with an
-    underscore. A manifest ``(path, size[, modified, content])`` adds those:
-    entries the reader did not return become rows with null content. Only paths
-    are compared, so no bytes are shuffled. A manifest with content is the file
-    table itself.
+    underscore. A manifest ``(path, size[, modified])`` adds those: entries the
+    reader did not return become rows with null content. Paths are compared as
+    the file system qualifies them, so a plain path and a URI are one file, and
+    come out that way. Only paths are compared, so no bytes are shuffled. A
+    manifest with content is the file table itself and takes no path.
     """
     found = None
     if path is not None:
@@ -46,13 +48,30 @@ def scan_files(spark: SparkSession, path: str | None = None, glob: str | None =
             raise ValueError("A path or a manifest is needed")
         return found
     if "content" in manifest.columns:
+        if path is not None:
+            raise ValueError("A manifest with content takes no path")
         return manifest
     if found is None:
         raise ValueError("A manifest without content needs a path")
-    unread = manifest.join(found.select("path"), "path", "left_anti")
+    listed = manifest.withColumn("path", qualified_path(spark, F.col("path")))
+    unread = listed.join(found.select("path"), "path", "left_anti")
     return found.unionByName(unread, allowMissingColumns=True)
 
 
+def qualified_path(spark: SparkSession, path: Column) -> Column:
+    """A path as the binary reader writes it: with the scheme, and without an
+    empty authority. Plain and relative paths belong to the default file system."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    store = hadoop.FileSystem.get(spark.sparkContext._jsc.hadoopConfiguration())
+    root = store.makeQualified(hadoop.Path("/")).toString().rstrip("/")
+    here = store.makeQualified(store.getWorkingDirectory()).toString().rstrip("/")
+    return (
+        F.when(path.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.regexp_replace(path, "^([A-Za-z0-9+.-]+):///", "$1:/"))
+        .when(path.startswith("/"), F.concat(F.lit(root), path))
+        .otherwise(F.concat(F.lit(f"{here}/"), path))
+    )
+
+
 def _is_blob(name: Column) -> Column:
     return ~name.endswith(SIDECAR_SUFFIX)
 
@@ -203,13 +222,28 @@ class ConstraintError(ValueError):
 
 def append_rows(df: DataFrame, path: str, table: str | None = None) -> None:
     """Appends a batch. With a ledger ``table`` name its NOT NULL columns are
-    checked, and its primary key inside the batch."""
+    checked, and its primary key inside the batch and against the stored rows.
+    Rows that are stored already, equal in all columns, are left out, so a
+    batch that is tried again adds nothing. Two writers at once are not seen."""
     if table is not None:
+        keys = PRIMARY_KEYS[table]
         required = [f.name for f in LEDGER[table] if not f.nullable and f.name in df.columns]
-        if not violating_rows(df, required).isEmpty():
+        columns = [f for f in LEDGER[table] if f.name in df.columns]
+        row = F.sha2(F.to_json(F.struct(*(F.col(f.name).cast(f.dataType) for f in columns))), 256)
+        missing = reduce(or_, (F.col(c).isNull() for c in required), F.lit(False))
+        incoming = df.withColumn("__row", row).groupBy(*(F.col(k).cast("string") for k in keys)).agg(
+            F.count(F.lit(1)).alias("__n"), F.min("__row").alias("__row"), F.max(missing).alias("__missing"))
+        stored = _load_table(df.sparkSession, path, LEDGER[table])
+        known = stored.select(*(F.col(k).cast("string") for k in keys), row.alias("__stored"))
+        broken = incoming.join(known, keys, "left").agg(
+            F.max("__missing").alias("missing"),
+            F.max((F.col("__n") > 1) | F.coalesce(F.col("__row") != F.col("__stored"), F.lit(False))).alias("twice"),
+        ).first()
+        if broken.missing:
             raise ConstraintError(f"{table}: null in a required column")
-        if not check_primary_key(df, PRIMARY_KEYS[table]).isEmpty():
+        if broken.twice:
             raise ConstraintError(f"{table}: duplicate primary key")
+        df = df.join(stored.select(*keys), keys, "left_anti").select(*df.columns)
     df.write.mode("append").parquet(path)
 
 

@@ -1,6 +1,7 @@
 """Blob manifests, results, ledger tables, collections and checks."""
 
 from datetime import datetime
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from docpipe.functions.scalars import blob_url
 from docpipe.operators import checks, credentials
 from docpipe.plans.ordered import sliced_row_number
 from docpipe.schemas import LEDGER
-from docpipe.session import materialize
+from docpipe.session import shared_dir
 from docpipe.sources import blobs, collections
 
 NOW = datetime(2024, 1, 15)
@@ -99,6 +100,31 @@ def test_ledger(spark, tmp_path):
         blobs.append_rows(broken, f"{tmp_path}/x", "job_access_grants")
 
 
+def test_append_twice_leaves_one_copy(spark, tmp_path):
+    def grants(by):
+        row = spark.createDataFrame([("j", "u", by)], "job_id string, granted_to_user_id string, granted_by_user_id string")
+        return row.withColumn("granted_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+
+    path = f"{tmp_path}/job_access_grants"
+    for _ in range(2):
+        blobs.append_rows(grants("o"), path, "job_access_grants")
+    assert spark.read.parquet(path).count() == 1
+    with pytest.raises(blobs.ConstraintError, match="duplicate primary key"):
+        blobs.append_rows(grants("p"), path, "job_access_grants")
+
+
+def test_scan_plain_and_uri_paths(spark, tmp_path):
+    for name, content in (("a b.txt", b"one"), ("b.txt", b"two"), ("c.txt", b"")):
+        (tmp_path / name).write_bytes(content)
+    paths = [(f"{tmp_path}/a b.txt", 3), (f"file://{tmp_path}/b.txt", 3), (f"file:{tmp_path}/c.txt", 0)]
+    manifest = spark.createDataFrame(paths, "path string, size bigint")
+    rows = blobs.scan_files(spark, str(tmp_path), manifest=manifest).collect()
+    assert {r.path.rsplit("/", 1)[1]: r.content for r in rows} == {"a b.txt": b"one", "b.txt": b"two", "c.txt": None}
+    assert len(rows) == 3
+    with pytest.raises(ValueError, match="takes no path"):
+        blobs.scan_files(spark, str(tmp_path), manifest=manifest.withColumn("content", F.lit(b"x")))
+
+
 def test_collections(spark):
     coll = spark.createDataFrame([("1", "a", 1), ("2", "b", None)], "id string, name string, n int")
     updates = spark.createDataFrame([("1", None, 5), ("9", "x", 0)], "id string, name string, n int")
@@ -139,6 +165,11 @@ def test_sliced_rank_equals_window(spark):
         assert r.n == expected[r.k]
 
 
-def test_materialize(spark):
-    df = materialize(spark.range(10), "numbers")
-    assert df.count() == 10 and "Range" not in df._jdf.queryExecution().optimizedPlan().toString()
+def test_shared_folder_or_an_error():
+    def session(master, folder=None):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda path: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=context)
+
+    assert shared_dir(session("spark://host:7077", "hdfs://x/y")) == "hdfs://x/y"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session("spark://host:7077"))
