@@ -236,7 +236,8 @@ def _order(limit: Threshold):
                     need = limit.overlap(n)
                     if len(mine) >= need:
                         first = np.lexsort((mine, own_df))[: len(mine) - need + 2]
-                        out.append((rep, n, mine.tobytes(), mine[first].tobytes(), len(mine), len(first), int(own_df[first].sum())))
+                        out.append((rep, n, mine.tobytes(), mine[first].tobytes(), len(mine), len(first),
+                                    int(np.minimum(own_df[first] - 1, MET).sum())))
             columns = zip(*out) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))],
@@ -245,14 +246,19 @@ def _order(limit: Threshold):
     return work
 
 
+#: Rounds with members of the largest component of each list.
+OUTER_TURNS = 2
+#: Other sets of one list that a set is compared with at most, before the proof:
+#: two in every turn. This, not the list's length, is what a scan costs.
+MET = 2 * (1 + OUTER_TURNS)
 #: Steps of the cost table per doubling of the set size.
 STEPS = 8
 
 
 def boundary(sets: DataFrame) -> int:
     """The largest size of a small set: the least total of 2-subsets
-    enumerated by small sets and list entries scanned by large ones. The costs
-    are summed by size class, of which there are ``STEPS`` per doubling."""
+    enumerated by small sets and meetings of large ones in their lists. The
+    costs are summed by size class, of which there are ``STEPS`` per doubling."""
     step = F.floor(F.log2(F.col("n").cast("double")) * STEPS)
     rows = sets.groupBy(step.alias("step")).agg(
         F.max("n").alias("n"), F.sum(F.col("p") * (F.col("p") - 1) / 2).alias("subsets"), F.sum("scan").alias("scan"),
@@ -468,10 +474,6 @@ def shingle_links(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFr
     return sizes.select("doc_id", "n_shingles"), links.unionByName(found), _merged(roots, found)
 
 
-#: Rounds with members of the largest component of each list.
-OUTER_TURNS = 2
-
-
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     """Roots after more links: those of the roots that the links join."""
     if links.isEmpty():
