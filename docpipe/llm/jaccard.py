@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docpipe.llm.components import components
-from docpipe.llm.shared import materialize, shuffle_width, slices
+from docpipe.llm.shared import discard, materialize, shuffle_width, slices
 from docpipe.llm.shingles import mix, shingle_set
 
 #: Keys that a task gathers before it counts and sends them.
@@ -458,11 +458,13 @@ def shingle_links(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFr
     members = materialize(sets.select("doc_id", "sig").distinct().join(equal, "sig").select("doc_id", "sig", "rep"), "members")
     own = sets.join(members.where("doc_id = rep"), ["doc_id", "sig"], "left_semi")
     blocks = materialize(own.select("doc_id", "n", "keys").mapInArrow(_blocks, "block long, reps binary, sizes binary, keys binary"), "blocks")
+    discard(sets)
     counted = blocks.select("block", "keys").mapInArrow(_block_counts(4 * width), "bucket int, block long, keys binary, counts binary")
     shared = counted.groupBy("bucket").applyInArrow(_frequencies, "block long, keys binary, df binary")
     shared = shared.groupBy("block").agg(F.collect_list("keys").alias("found"), F.collect_list("df").alias("df"))
     ordered = materialize(blocks.join(shared, "block").mapInArrow(
         _order(limit), "rep long, n long, keys binary, prefix binary, m long, p long, scan long"), "ordered")
+    discard(blocks)
     postings = materialize(ordered.mapInArrow(_postings(limit, boundary(ordered)), "key long, rep long, n long, kind int, reach long"), "postings")
     links = _links(_central_pairs(postings, limit), ordered, limit)
     copies = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -471,6 +473,7 @@ def shingle_links(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFr
         found = _links(_outer_pairs(_labelled(postings, roots), turn, limit), ordered, limit)
         links, roots = links.unionByName(found), _merged(roots, found)
     found = _other_links(_labelled(postings, roots), ordered, roots, limit)
+    discard(postings, ordered)
     return sizes.select("doc_id", "n_shingles"), links.unionByName(found), _merged(roots, found)
 
 
