@@ -30,7 +30,7 @@ COPIES, BOUNDARY = 3, 1.05
 REACH = 0.985
 #: Vectors of one piece of a list, and of one task; queries of one task.
 PIECE, SHARD, QUERIES = 4_096, 16_384, 8_192
-#: Vectors in the taken lists at least, if there are so many.
+#: Different ids in the taken lists at least, if there are so many.
 LEAST = 400
 
 
@@ -84,9 +84,11 @@ class AnnIndex:
             out += [o[n <= BOUNDARY * n[0]] for o, n in zip(order, near)]
         return out
 
-    def walk(self, q: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    def walk(self, q: np.ndarray, sizes: np.ndarray, weights: np.ndarray, least: int) -> np.ndarray:
         """Lists for one query, nearest first, by best-first search. It ends
-        when what is left is beyond the ratio and enough vectors are held."""
+        when what is left is beyond the ratio and enough vectors are held:
+        ``least`` different ids, of which the sum of ``weights`` is a lower
+        bound, and ``COPIES`` times as many rows."""
         centres, seen = self.centres, np.zeros(len(self.centres), bool)
 
         def reach(names):
@@ -97,19 +99,20 @@ class AnnIndex:
 
         heap = list(reach(self.entries))
         heapq.heapify(heap)
-        best, found, held = np.inf, [], 0
+        enough = lambda names: weights[names].sum() >= least and sizes[names].sum() >= least * COPIES
+        best, found, held, ids = np.inf, [], 0, 0.0
         while heap:
             distance, name = heapq.heappop(heap)
             best = min(best, distance)
-            if distance > self.ratio * best and held >= LEAST * COPIES:
+            if distance > self.ratio * best and held >= least * COPIES and ids >= least:
                 break
             found.append((distance, name))
-            held += sizes[name]
+            held, ids = held + sizes[name], ids + weights[name]
             for item in reach(self.graph[name]):
                 heapq.heappush(heap, item)
         found.sort()
         inside = [n for d, n in found if d <= self.ratio * best]
-        return np.array(inside if sizes[inside].sum() >= LEAST * COPIES else [n for _, n in found], int)
+        return np.array(inside if enough(inside) else [n for _, n in found], int)
 
 
 def build_index(sample: np.ndarray, rows: int, length2: float, queries: int = 300, top: int = 20) -> AnnIndex:
@@ -147,12 +150,16 @@ def _shard(name: int, piece: int, shards: int) -> int:
 
 def _best(held, k: int):
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        index, _, _ = once(held)
+        index = once(held)[0]
         none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not left.num_rows or not right.num_rows:
             return none
         x, q = _rows(left["vector"].combine_chunks(), index.width), _rows(right["vector"].combine_chunks(), index.width)
         ids, names = np.asarray(left["vec_id"]), np.asarray(left["list"])
+        order = np.argsort(ids, kind="stable")
+        x, ids, names = x[order], ids[order], names[order]
+        starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        last = min(k, len(starts))
         taken = [np.frombuffer(t, np.int32) for t in right["lists"].to_pylist()]
         asked, out = np.asarray(right["query_id"]), []
         rows = max(1, (1 << 22) // len(x))
@@ -163,13 +170,15 @@ def _best(held, k: int):
                 chosen[r, t[t < chosen.shape[1]]] = True
             scores[~chosen[:, names]] = -np.inf
             scores[asked[low : low + rows, None] == ids] = -np.inf
-            cut = np.partition(scores, -min(k * COPIES, len(x)), axis=1)[:, -min(k * COPIES, len(x))]
+            # Rows of one id are one candidate, with its best row, before the cut.
+            cut = np.partition(np.maximum.reduceat(scores, starts, axis=1), -last, axis=1)[:, -last]
             for r, row in enumerate(scores):
                 at = np.flatnonzero((row >= cut[r] - 1e-9 * (1 + abs(cut[r]))) & np.isfinite(row)) if np.isfinite(cut[r]) else np.flatnonzero(np.isfinite(row))
                 if len(at):
-                    at = at[np.unique(ids[at], return_index=True)[1]]
                     exact = (x[at] * q[low + r]).sum(1)
-                    order = np.lexsort((ids[at], -exact))[:k]
+                    order = np.lexsort((-exact, ids[at]))
+                    order = order[np.unique(ids[at][order], return_index=True)[1]]
+                    order = order[np.lexsort((ids[at][order], -exact[order]))[:k]]
                     out.append((np.full(len(order), asked[low + r]), ids[at][order], exact[order]))
         if not out:
             return none
@@ -198,7 +207,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     if not rows or not n_asked:
         return spark.createDataFrame([], schema)
     bound = max(1, min(SAMPLE_ROWS, SAMPLE_NUMBERS // width))
-    sample = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(bound).select("vector").toArrow()["vector"].combine_chunks()
+    # One row an id, so that the ratio is measured to other ids, not to repeats.
+    drawn = data.select("vec_id").distinct().orderBy(F.xxhash64("vec_id"), "vec_id").limit(bound)
+    sample = data.join(drawn, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    sample = sample.orderBy(F.xxhash64("vec_id"), "vec_id").select("vector").toArrow()["vector"].combine_chunks()
     index = build_index(_rows(sample, width), rows, length2, top=k)
     first = share(spark, index)
 
@@ -212,14 +224,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                                               batch.column("vector").take(pa.array(at))], ["list", "vec_id", "vector"])
 
     placed = materialize(data.mapInArrow(place, "list int, vec_id long, vector array<double>"), "lists")
-    sizes = np.zeros(len(index.centres), np.int64)
-    for r in placed.groupBy("list").count().collect():
-        sizes[r[0]] = r[1]
+    sizes, weights = np.zeros(len(index.centres), np.int64), np.zeros(len(index.centres))
+    rows_of = placed.groupBy("vec_id", "list").agg(F.count("*").alias("rows"))
+    share_of = rows_of.withColumn("share", 1 / F.count("*").over(Window.partitionBy("vec_id")))
+    for r in share_of.groupBy("list").agg(F.sum("rows"), F.sum("share")).collect():
+        sizes[r[0]], weights[r[0]] = r[1], r[2] + 1e-6
+    least = max(LEAST, k + 1)
     pieces, shards, turns = -(-sizes // PIECE), int(-(-sizes.sum() // SHARD)), -(-n_asked // QUERIES)
-    held = share(spark, (index, sizes, pieces))
+    held = share(spark, (index, sizes, pieces, weights))
 
     def shard(batches):
-        _, _, pieces = once(held)
+        pieces = once(held)[2]
         for batch in batches:
             names, ids = np.asarray(batch.column("list")), np.asarray(batch.column("vec_id"))
             piece = (ids * 2_654_435_761 >> 8) % np.maximum(pieces[names], 1)
@@ -227,12 +242,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                                              ["shard", "list", "vec_id", "vector"])
 
     def ask(batches):
-        index, sizes, pieces = once(held)
+        index, sizes, pieces, weights = once(held)
         for batch in batches:
             q, rows = _rows(batch.column("vector"), index.width), []
             for r, vector in enumerate(q):
                 by_shard: dict[int, list[int]] = {}
-                for name in index.walk(np.append(vector, 0.0), sizes).tolist():
+                for name in index.walk(np.append(vector, 0.0), sizes, weights, least).tolist():
                     for s in {_shard(name, p, shards) for p in range(pieces[name])}:
                         by_shard.setdefault(s, []).append(name)
                 rows += [(s, r, np.array(names, np.int32).tobytes()) for s, names in by_shard.items()]

@@ -69,6 +69,26 @@ def test_nearest_recall_ties_and_odd_rows(spark):
     assert nearest(few, few).count() == 20 and nearest(few.limit(0), few).count() == 0
 
 
+def test_nearest_counts_repeated_ids_once(spark):
+    # Every id has several equal rows, one worse row of its own, and near lists.
+    rng = np.random.default_rng(4)
+    n, repeats = 1500, 12
+    x = rng.normal(size=(n, 8)).astype(np.float32)
+    rows = [(i, v.tolist(), 1, "") for i, v in enumerate(x) for _ in range(repeats)] + [(i, (v * 0.5).tolist(), 1, "") for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    asked = spark.createDataFrame([(10_000 + i, x[i].tolist(), 1, "") for i in range(0, n, 25)], SCHEMA)
+    got, hits, x = {}, 0, x.astype(float)
+    for r in nearest(df, asked).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert len(got) == n // 25
+    for q, found in got.items():
+        scores = (x * x[q - 10_000]).sum(1)
+        assert [r for r, _, _ in sorted(found)] == list(range(1, 21)) and len({v for _, v, _ in found}) == 20
+        assert all(s == scores[v] for _, v, s in found)
+        hits += len({v for _, v, _ in found} & set(np.argsort(-scores, kind="stable")[:20].tolist()))
+    assert hits >= 0.9 * 20 * len(got)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
