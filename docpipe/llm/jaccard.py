@@ -19,6 +19,10 @@
    in the common order can be shared too. Components meet in a list only where
    each has a set within reach of the other. A linked pair passes at the first
    shingle it shares, so this loses none.
+6. Links are counted at the end: both ends of a link are in one component and of
+   nearly one size, so the sets of a component are dealt into tiles by size, and
+   all pairs of tiles of equal or adjacent sizes are multiplied. A tile pair
+   sends one number a set, so links are counted without being listed.
 
 Frequencies are counted by blocks: a block of documents names a shingle once
 with its count, however many of its documents hold it, so a shingle of a third
@@ -28,6 +32,7 @@ of all documents gives one entry a block.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,6 +48,8 @@ from docpipe.llm.shingles import mix, shingle_set
 #: Keys that a task gathers before it counts and sends them.
 BLOCK_KEYS = 1 << 18
 LOCAL = np.iinfo(np.int64).min
+#: Bytes of a set's signature.
+SIG = 16
 
 
 @dataclass(frozen=True)
@@ -147,7 +154,7 @@ def _sets(batches):
             if len(found):
                 data = found.tobytes()
                 ids.append(doc)
-                sigs.append(hashlib.blake2b(data, digest_size=16).digest())
+                sigs.append(hashlib.blake2b(data, digest_size=SIG).digest())
                 sizes.append(len(found))
                 sets.append(data)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sigs, pa.binary()),
@@ -157,24 +164,25 @@ def _sets(batches):
 
 def _blocks(batches):
     """Representatives in blocks, named by their first one."""
-    def pack(reps, sizes, sets):
+    def pack(reps, sigs, sizes, sets):
         return pa.RecordBatch.from_arrays([
             pa.array([reps[0]], pa.int64()), pa.array([np.array(reps, np.int64).tobytes()], pa.binary()),
-            pa.array([np.array(sizes, np.int64).tobytes()], pa.binary()), pa.array([b"".join(sets)], pa.binary())],
-            ["block", "reps", "sizes", "keys"])
+            pa.array([b"".join(sigs)], pa.binary()), pa.array([np.array(sizes, np.int64).tobytes()], pa.binary()),
+            pa.array([b"".join(sets)], pa.binary())], ["block", "reps", "sigs", "sizes", "keys"])
 
-    reps, sizes, sets, held = [], [], [], 0
+    reps, sigs, sizes, sets, held = [], [], [], [], 0
     for batch in batches:
-        for rep, n, keys in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "keys"))):
+        for rep, sig, n, keys in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "sig", "n", "keys"))):
             reps.append(rep)
+            sigs.append(sig)
             sizes.append(n)
             sets.append(keys)
             held += n
             if held >= BLOCK_KEYS:
-                yield pack(reps, sizes, sets)
-                reps, sizes, sets, held = [], [], [], 0
+                yield pack(reps, sigs, sizes, sets)
+                reps, sigs, sizes, sets, held = [], [], [], [], 0
     if reps:
-        yield pack(reps, sizes, sets)
+        yield pack(reps, sigs, sizes, sets)
 
 
 def _block_counts(buckets: int):
@@ -221,7 +229,7 @@ def _order(limit: Threshold):
     def work(batches):
         for batch in batches:
             out = []
-            for reps, sizes, keys, found, df in zip(*(batch.column(c).to_pylist() for c in ("reps", "sizes", "keys", "found", "df"))):
+            for reps, sigs, sizes, keys, found, df in zip(*(batch.column(c).to_pylist() for c in ("reps", "sigs", "sizes", "keys", "found", "df"))):
                 found, df = np.frombuffer(b"".join(found), np.uint64), np.frombuffer(b"".join(df), np.int64)
                 order = np.argsort(found)
                 found, df = found[order], df[order]
@@ -230,18 +238,19 @@ def _order(limit: Threshold):
                 shared = found[at] == keys
                 freq = df[at]
                 end = np.cumsum(sizes)
-                for rep, n, stop in zip(np.frombuffer(reps, np.int64).tolist(), sizes.tolist(), end.tolist()):
+                for k, (rep, n, stop) in enumerate(zip(np.frombuffer(reps, np.int64).tolist(), sizes.tolist(), end.tolist())):
                     own = shared[stop - n : stop]
                     mine, own_df = keys[stop - n : stop][own], freq[stop - n : stop][own]
                     need = limit.overlap(n)
                     if len(mine) >= need:
                         first = np.lexsort((mine, own_df))[: len(mine) - need + 2]
-                        out.append((rep, n, mine.tobytes(), mine[first].tobytes(), len(mine), len(first),
+                        out.append((rep, sigs[SIG * k : SIG * (k + 1)], n, mine.tobytes(), mine[first].tobytes(), len(mine), len(first),
                                     int(np.minimum(own_df[first] - 1, MET).sum())))
-            columns = zip(*out) if out else [[]] * 7
+            columns = zip(*out) if out else [[]] * 8
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))],
-                ["rep", "n", "keys", "prefix", "m", "p", "scan"])
+                [pa.array(list(c), t) for c, t in zip(columns, kinds)],
+                ["rep", "sig", "n", "keys", "prefix", "m", "p", "scan"])
 
     return work
 
@@ -436,13 +445,93 @@ def _other_links(lists: DataFrame, sets: DataFrame, roots: DataFrame, limit: Thr
     return materialize(small.join(large, "label").mapInArrow(_verify_packs(limit), "a long, b long, shared long"), "links")
 
 
-def shingle_links(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame, DataFrame]:
+#: Sets and keys of one tile, give or take the spread of a hash; keys that are
+#: multiplied at once.
+TILE, TILE_KEYS, TILE_STEP = 512, 1 << 18, 1 << 12
+
+
+def _incidence(owner: np.ndarray, at: np.ndarray, low: int, rows: int, width: int) -> np.ndarray:
+    inside = (at >= low) & (at < low + width)
+    out = np.zeros((rows, width), np.float32)
+    out[owner[inside], at[inside] - low] = 1
+    return out
+
+
+def _shared_keys(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """How many keys each set of one tile shares with each of the other."""
+    flat = [np.frombuffer(b"".join(side), np.uint64) for side in (left, right)]
+    owners = [np.repeat(np.arange(len(side)), [len(k) // 8 for k in side]) for side in (left, right)]
+    common = np.intersect1d(*map(np.unique, flat), assume_unique=True)
+    both = np.zeros((len(left), len(right)), np.float32)
+    if not len(common):
+        return both
+    found = [np.minimum(np.searchsorted(common, f), len(common) - 1) for f in flat]
+    hits = [common[at] == f for at, f in zip(found, flat)]
+    (a, x), (b, y) = ((o[h], at[h]) for o, at, h in zip(owners, found, hits))
+    for low in range(0, len(common), TILE_STEP):
+        width = min(TILE_STEP, len(common) - low)
+        both += _incidence(a, x, low, len(left), width) @ _incidence(b, y, low, len(right), width).T
+    return both
+
+
+def _counted_tiles(limit: Threshold):
+    """Links of every set of a tile pair, each as often as the other has copies."""
+    def work(batches):
+        for batch in batches:
+            for same, left, right in zip(*(batch.column(c).to_pylist() for c in ("same", "sets", "sets2"))):
+                # Rows that repeat a document's text are one set.
+                left, right = ({s["sig"]: s for s in side} for side in (left, right))
+                left, right = list(left.values()), list(right.values())
+                both = _shared_keys([s["keys"] for s in left], [s["keys"] for s in right]).astype(np.int64)
+                n, m = (np.array([s["n"] for s in side], np.int64) for side in (left, right))
+                copies, copies2 = (np.array([s["copies"] for s in side], np.int64) for side in (left, right))
+                linked = 100 * both >= limit.percent * (n[:, None] + m - both)
+                if same:
+                    np.fill_diagonal(linked, False)
+                sides = [(left, linked @ copies2)] + ([] if same else [(right, copies @ linked)])
+                out = [(s["sig"], k) for side, links in sides for s, k in zip(side, links.tolist()) if k]
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.binary()), pa.array([k for _, k in out], pa.int64())], ["sig", "links"])
+
+    return work
+
+
+def _link_counts(ordered: DataFrame, members: DataFrame, roots: DataFrame, limit: Threshold) -> DataFrame:
+    """doc_id, n_links of the documents in ``members``."""
+    copies = members.groupBy("sig").agg(F.count("*").alias("copies"))
+    named = ordered.select("rep", "sig", "n", "keys").join(roots.select(F.col("node").alias("rep"), "root"), "rep").join(copies, "sig")
+    held = F.sum(F.length("keys") / 8)
+    whole = named.groupBy("root").agg(F.count("*").alias("sets"), held.alias("held")).where("sets > 1").select(
+        "root", ((F.col("sets") <= TILE) & (F.col("held") <= TILE_KEYS)).alias("whole"))
+    # Sizes of linked sets differ by less than one step, rounding included.
+    step = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / limit.percent) * 1.0001 if limit.percent < 100 else 1e-6))
+    named = named.join(whole, "root").withColumn("step", F.when(F.col("whole"), F.lit(0)).otherwise(step).cast("long"))
+    counts = named.groupBy("root", "step").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(held / TILE_KEYS)).cast("long").alias("parts"))
+    tiles = named.join(counts, ["root", "step"]).withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")))
+    tiles = materialize(tiles.groupBy("root", "step", "part").agg(F.collect_list(F.struct("sig", "n", "copies", "keys")).alias("sets")), "link-tiles")
+    right = tiles.select("root", F.col("step").alias("step2"), F.col("part").alias("part2"), F.col("sets").alias("sets2"))
+    names = tiles.select("root", "step", "part")
+    names2 = right.select("root", "step2", "part2")
+    near = (F.col("step2") == F.col("step") + 1) | ((F.col("step2") == F.col("step")) & (F.col("part2") >= F.col("part")))
+    pairs = names.join(names2, "root").where(near)
+    pairs = pairs.join(tiles, ["root", "step", "part"]).join(right, ["root", "step2", "part2"])
+    pairs = pairs.select(((F.col("step") == F.col("step2")) & (F.col("part") == F.col("part2"))).alias("same"), "sets", "sets2",
+                         F.xxhash64("root", "step", "part", "step2", "part2").alias("at"))
+    found = materialize(pairs.repartition("at").select("same", "sets", "sets2").mapInArrow(_counted_tiles(limit), "sig binary, links long"), "link-counts")
+    links = found.groupBy("sig").agg(F.sum("links").alias("links"))
+    each = members.select("doc_id", "sig").join(copies, "sig").join(links, "sig", "left")
+    counted = materialize(each.groupBy("doc_id").agg(F.sum(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "doc-links")
+    discard(tiles, found)
+    return counted
+
+
+def shingle_links(docs: DataFrame, percent: int = 75, count: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
     """``docs`` (doc_id, text) -> sizes (doc_id, n_shingles); links (a, b,
-    shared) between representatives of equal sets; roots (node, root).
+    shared) between representatives of equal sets; roots (node, root); with
+    ``count``, the number of all links (doc_id, n_links).
 
     Links join every pair of linked texts directly or through other links; a
-    pair whose ends were already joined may be left out. Roots hold the
-    documents that are linked with another."""
+    pair whose ends were already joined may be left out of them, but not of
+    ``n_links``. Roots hold the documents that are linked with another."""
     limit, spark = Threshold(percent), docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     width = shuffle_width(spark)
@@ -457,13 +546,13 @@ def shingle_links(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFr
     equal = sets.groupBy("sig").agg(F.min("doc_id").alias("rep"))
     members = materialize(sets.select("doc_id", "sig").distinct().join(equal, "sig").select("doc_id", "sig", "rep"), "members")
     own = sets.join(members.where("doc_id = rep"), ["doc_id", "sig"], "left_semi")
-    blocks = materialize(own.select("doc_id", "n", "keys").mapInArrow(_blocks, "block long, reps binary, sizes binary, keys binary"), "blocks")
+    blocks = materialize(own.select("doc_id", "sig", "n", "keys").mapInArrow(_blocks, "block long, reps binary, sigs binary, sizes binary, keys binary"), "blocks")
     discard(sets)
     counted = blocks.select("block", "keys").mapInArrow(_block_counts(4 * width), "bucket int, block long, keys binary, counts binary")
     shared = counted.groupBy("bucket").applyInArrow(_frequencies, "block long, keys binary, df binary")
     shared = shared.groupBy("block").agg(F.collect_list("keys").alias("found"), F.collect_list("df").alias("df"))
     ordered = materialize(blocks.join(shared, "block").mapInArrow(
-        _order(limit), "rep long, n long, keys binary, prefix binary, m long, p long, scan long"), "ordered")
+        _order(limit), "rep long, sig binary, n long, keys binary, prefix binary, m long, p long, scan long"), "ordered")
     discard(blocks)
     postings = materialize(ordered.mapInArrow(_postings(limit, boundary(ordered)), "key long, rep long, n long, kind int, reach long"), "postings")
     links = _links(_central_pairs(postings, limit), ordered, limit)
@@ -473,8 +562,11 @@ def shingle_links(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFr
         found = _links(_outer_pairs(_labelled(postings, roots), turn, limit), ordered, limit)
         links, roots = links.unionByName(found), _merged(roots, found)
     found = _other_links(_labelled(postings, roots), ordered, roots, limit)
-    discard(postings, ordered)
-    return sizes.select("doc_id", "n_shingles"), links.unionByName(found), _merged(roots, found)
+    discard(postings)
+    roots = _merged(roots, found)
+    counts = _link_counts(ordered, members, roots, limit) if count else None
+    discard(ordered)
+    return sizes.select("doc_id", "n_shingles"), links.unionByName(found), roots, counts
 
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -498,6 +590,19 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     five words: one shingle of the whole sequence. Rows that repeat a doc_id
     are one document with the links of all its texts and the size of the
     largest. Rows without doc_id take no part. No rows give no rows."""
-    sizes, _, roots = shingle_links(docs, percent)
+    sizes, _, roots, _ = shingle_links(docs, percent)
+    return _classes(sizes, roots)
+
+
+def jaccard_join(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """``jaccard_components`` with ``n_links``: the number of texts of the table
+    that the document's text is linked with, whether or not they are joined
+    through others as well. A doc_id with several texts has the sum over them,
+    with the links between its own; equal texts of one doc_id are one text."""
+    sizes, _, roots, counts = shingle_links(docs, percent, count=True)
+    return _classes(sizes, roots).join(counts, "doc_id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
+
+
+def _classes(sizes: DataFrame, roots: DataFrame) -> DataFrame:
     joined = sizes.join(roots, sizes["doc_id"] == roots["node"], "left")
     return joined.select(sizes["doc_id"], "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docpipe.llm.ann import nearest
 from docpipe.llm.bpe import encode_documents
 from docpipe.llm.embedding_dedup import embedding_groups
-from docpipe.llm.jaccard import jaccard_components
+from docpipe.llm.jaccard import jaccard_join
 from docpipe.llm.licenses import scan_licenses
 from docpipe.llm.mixing import SQL as MIXING_SQL
 from docpipe.llm.mixing import mix_sizes
@@ -32,7 +32,7 @@ def op1_bpe(spark, sf_dir):
 
 
 def op2_jaccard_join(spark, sf_dir):
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_join(table(spark, sf_dir, "documents"))
 
 
 def op3_mixing(spark, sf_dir):

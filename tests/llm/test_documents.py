@@ -11,10 +11,11 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from docpipe.llm import jaccard
 from docpipe.llm.automaton import Scanner, as_python
 from docpipe.llm.bpe import Vocabulary, encode_documents
 from docpipe.llm.gam import fit
-from docpipe.llm.jaccard import jaccard_components
+from docpipe.llm.jaccard import jaccard_components, jaccard_join
 from docpipe.llm.labelled import training_rows
 from docpipe.llm.licenses import CONTAINED, GROUPS, TEMPLATES, LicenseFinder, license_shingles, scan_licenses
 from docpipe.llm.mixing import mix_plan, mix_sizes, mixed_documents
@@ -82,6 +83,33 @@ def test_jaccard_on_a_large_group_of_near_copies(spark):
     assert components_of(frame(spark, rows)) == brute_components(rows)
 
 
+def test_jaccard_counts_every_link(spark, monkeypatch):
+    r, rows = random.Random(8), []
+    base = [f"w{k}" for k in range(120)]
+    for i in range(500):
+        copy = list(base[: r.randint(70, 120)])
+        for _ in range(r.randint(0, 3)):
+            copy[r.randrange(len(copy))] = f"n{r.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    rows += [(1000 + i, rows[i % 7][1]) for i in range(40)] + [(1000, rows[0][1]), (2000, None), (2001, "all alone here")]
+    rows += [(3000, rows[3][1]), (3000, rows[450][1])]
+    texts = sorted(set((i, t) for i, t in rows if t))
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for w in (words_of(t) for _, t in texts)]
+    want = Counter({2000: 0, 2001: 0})
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                want[texts[a][0]] += 1
+                want[texts[b][0]] += 1
+    assert max(want.values()) > 100
+    for tile in (jaccard.TILE, 40):  # one tile, and pairs of tiles by size
+        monkeypatch.setattr(jaccard, "TILE", tile)
+        monkeypatch.setattr(jaccard, "TILE_STEP", 64)
+        got = {x.doc_id: x.n_links for x in jaccard_join(frame(spark, rows)).collect()}
+        assert got == {i: want[i] for i, _ in rows}
+
+
 def test_jaccard_edge_cases(spark):
     got = components_of(frame(spark, ODD))
     assert got[1] == (0, 1) and got[3] == (0, 3) and got[4] == (1, 4) and got[5] == (1, 4)
