@@ -17,7 +17,7 @@ from docpipe.llm.bpe import Vocabulary, encode_documents
 from docpipe.llm.gam import fit
 from docpipe.llm.jaccard import jaccard_components, jaccard_join
 from docpipe.llm.labelled import training_rows
-from docpipe.llm.licenses import CONTAINED, GROUPS, TEMPLATES, LicenseFinder, license_shingles, scan_licenses
+from docpipe.llm.licenses import CONTAINED, GROUPS, TEMPLATES, LicenseFinder, known_licenses, license_shingles, scan_licenses
 from docpipe.llm.mixing import mix_plan, mix_sizes, mixed_documents
 from docpipe.llm.quality import FEATURES, features, score_quality
 from docpipe.llm.secrets import SecretFinder, redact_secrets, secret_digest
@@ -265,3 +265,21 @@ def test_licenses_against_all_windows(spark):
     assert hit >= 40
     got = {r.doc_id: [x.name for x in r.licenses] for r in scan_licenses(frame(spark, rows)).collect()}
     assert got == {i: sorted(brute_licenses(t)) for i, t in rows}
+
+
+def test_full_licenses_and_their_kin():
+    finder, r = LicenseFinder(known_licenses()), random.Random(9)
+    junk = lambda n: " ".join(f"w{r.randrange(500)}" for _ in range(n))
+    known = known_licenses()[len(TEMPLATES):]
+    texts, want = [], []
+    for name, text in known:  # each alone, inside other words, and with changed words
+        words = text.split()  # never the version itself
+        changed = [w if i % 60 != 36 else "changed" for i, w in enumerate(words)]
+        texts += [text, f"{junk(300)} {text} {junk(200)}", f"{junk(70)} {' '.join(changed)}"]
+        want += [name] * 3
+    assert max(len(license_shingles(t)) for _, t in known) > 4000
+    assert [(w, sorted(f)) for w, f in zip(want, finder.find(texts)) if sorted(f) != [w]] == []
+    agpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License"
+    gpl = known_licenses()[6][1]
+    assert list(finder.find([f"{gpl} {junk(40)} {dict(known)['ISC']}"])[0]) in (["GPL-3.0", "ISC"], ["ISC", "GPL-3.0"])
+    assert "GPL-3.0" not in finder.find([agpl + " as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."])[0]
