@@ -20,19 +20,25 @@ class Rule:
     the group of ``value`` in it, must have ``least`` characters; a match that
     fails is dropped but still taken, so nothing inside it matches. Lengths
     stand there rather than in ``scan`` where a rule can start anew inside its
-    own run: counting those runs would square the automaton."""
+    own run: counting those runs would square the automaton. ``tail`` is matched
+    right behind a match and belongs to it."""
 
     kind: str
     scan: str
     ignore_case: bool = False
     value: str | None = None
     least: int = 0
+    tail: str | None = None
 
 
 _KEYWORDS = "(password|passwd|secret|token|api_?key)"
 _RUN = "[A-Za-z0-9+/_.=-]+"
 _EITHER_CASE = re.sub("[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", _KEYWORDS)
 
+#: The body of a key: header lines and base64 lines, with line ends that may be
+#: escaped or indented, up to the END line; without one, the base64 that follows.
+_KEY_BODY = (r"(?:\s*[A-Za-z0-9-]+: [^\r\n]*[\r\n]+)*[A-Za-z0-9+/=\s\\]*-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----"
+             r"|(?:[\r\n]+[A-Za-z0-9-]+: [^\r\n]*)*(?:[\r\n]+[ \t]*)?[A-Za-z0-9+/=\r\n\\]*")
 #: The three base kinds and their lengths.
 BASE = (
     Rule("assign", rf"""{_EITHER_CASE}["']?\x20*[:=]\x20*["']?{_RUN}""", value=rf"""["']?\x20*[:=]\x20*["']?({_RUN})\Z""", least=12),
@@ -41,7 +47,7 @@ BASE = (
 )
 #: Published formats of further credentials.
 MORE = (
-    Rule("private_key", "-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY-----"),
+    Rule("private_key", "-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY-----", tail=_KEY_BODY),
     Rule("forge_token", "(ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]+", least=40),
     Rule("chat_token", "xox[abprs]-[A-Za-z0-9-]+", least=15),
     Rule("cloud_key", "AIza[A-Za-z0-9_-]+", least=39),
@@ -56,6 +62,7 @@ class SecretFinder:
         self.rules = rules
         self.scanner = Scanner([(r.scan, r.ignore_case) for r in rules])
         self.values = [re.compile(r.value.encode()) if r.value else None for r in rules]
+        self.tails = [re.compile(r.tail.encode()) if r.tail else None for r in rules]
 
     def find(self, text: str | None) -> list[tuple[str, int, int]]:
         """(kind, start, end) in code points, by start and then rule order."""
@@ -66,6 +73,8 @@ class SecretFinder:
         for rule, start, end in self.scanner.spans(data):
             match = self.values[rule].search(data[start:end]) if self.values[rule] else None
             if (len(match[1]) if match else end - start) >= rules[rule].least:
+                if self.tails[rule] and (tail := self.tails[rule].match(data, end)):
+                    end = tail.end()
                 out.append((start, rule, end))
         if len(data) != len(text):
             out = [(len(data[:s].decode("utf-8", "surrogatepass")), r, len(data[:e].decode("utf-8", "surrogatepass"))) for s, r, e in out]

@@ -165,6 +165,20 @@ def test_secrets_are_redacted(spark):
     assert got == [(1, "é [assign]' end", 15), (2, "clean", 0), (3, None, 0), (3, None, 0)]
 
 
+@pytest.mark.parametrize("key", [
+    "-----BEGIN PRIVATE KEY-----\nMIIEvQ+/abc\nQUJDRA==\n-----END PRIVATE KEY-----",
+    "-----BEGIN RSA PRIVATE KEY-----\r\nProc-Type: 4,ENCRYPTED\r\nDEK-Info: AES-128-CBC,0A1B\r\n\r\nMIIE\r\n  QQ==\r\n-----END RSA PRIVATE KEY-----",
+    "-----BEGIN EC PRIVATE KEY-----\\nMIIE+abc\\nQQ==\\n-----END EC PRIVATE KEY-----",
+    "-----BEGIN PRIVATE KEY-----\nMIIEvQ+/abc\nQUJDRA",
+    "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\nMIIEvQ+/abc",
+])
+def test_whole_private_keys_are_redacted(spark, key):
+    for text, want in ((f"é {key}", "é [private_key]"), (f"{key} end. {key}, x", "[private_key] end. [private_key], x")):
+        spans = SecretFinder().find(text)
+        assert [text[s:e] for k, s, e in spans if k == "private_key"] == [key] * (len(want.split("[")) - 1)
+        assert redact_secrets(frame(spark, [(1, text)])).first().text == want
+
+
 @pytest.mark.parametrize("pattern", ["ab+c?", "(ab|a)(c|bcd)", "[^a-c]{2,3}x", "a(b|cd)*e", r"\x41\.[0-9]{2}"])
 def test_automaton_ends_where_re_does(pattern):
     r, scanner = random.Random(7), Scanner([(pattern, False)])
