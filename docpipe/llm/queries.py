@@ -6,6 +6,10 @@ from pyspark.sql import functions as F
 
 from docpipe.llm.ann import nearest
 from docpipe.llm.bpe import encode_documents
+from docpipe.llm.conversations import SQL as CONVERSATIONS_SQL
+from docpipe.llm.conversations import damage, repair_report
+from docpipe.llm.divergence import SQL as DIVERGENCE_SQL
+from docpipe.llm.divergence import source_divergence
 from docpipe.llm.embedding_dedup import embedding_groups
 from docpipe.llm.jaccard import jaccard_join
 from docpipe.llm.licenses import scan_licenses
@@ -13,6 +17,8 @@ from docpipe.llm.mixing import SQL as MIXING_SQL
 from docpipe.llm.mixing import mix_sizes
 from docpipe.llm.quality import quality_scores
 from docpipe.llm.secrets import secret_digest
+from docpipe.llm.sharding import SQL as SHARDING_SQL
+from docpipe.llm.sharding import bytes_law
 from docpipe.llm.shared import table
 from docpipe.llm.toxicity import toxicity_scores
 from docpipe.llm.url_filter import filter_urls, labelled_urls
@@ -70,11 +76,24 @@ def op10_secrets(spark, sf_dir):
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_sharding(spark, sf_dir):
+    return bytes_law(table(spark, sf_dir, "documents"))
+
+
+def op12_conversations(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return repair_report(damage(rows), rows)
+
+
+def op13_divergence(spark, sf_dir):
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     found = (op1_bpe, op2_jaccard_join, op3_mixing, op4_licenses, op5_ann, op6_url_filter, op7_embedding_dedup, op8_quality,
-             op9_toxicity, op10_secrets)
+             op9_toxicity, op10_secrets, op11_sharding, op12_conversations, op13_divergence)
     return {f.__name__: f for f in found}
 
 
 def sql() -> dict[str, str]:
-    return {"op3_mixing": MIXING_SQL}
+    return {"op3_mixing": MIXING_SQL, "op11_sharding": SHARDING_SQL, "op12_conversations": CONVERSATIONS_SQL, "op13_divergence": DIVERGENCE_SQL}
