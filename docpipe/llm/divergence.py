@@ -25,10 +25,11 @@ from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docpipe.llm.shared import materialize
+from docpipe.llm.shared import materialize, slices
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes that are not in a term become spaces, A-Z become a-z. A character
+#: outside ASCII has no byte below 0x80, so this holds byte by byte.
+_PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: A kept term is in at least so many documents of its language.
 MIN_DOCS = 30
 #: Probabilities are in units of one in so many; each term counts 5 more.
@@ -37,11 +38,20 @@ SCALE, PLUS = 1_000_000_000, 5
 TOP = 50
 
 
-def terms(text: Column, lang: Column) -> Column:
-    """The terms of a text, each with its language before it. Neither a space
-    nor another character up to '@' is in a term."""
-    found = F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TERM), F.lit(0))
-    return F.transform(found, lambda term: F.concat(lang, F.lit(" "), term))
+def _with_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces a text by its terms, each with its language before it: neither
+    a space nor another character up to '@' is in a term."""
+    for batch in slices(batches):
+        plain = [text.translate(_PLAIN).strip() for text in batch.column("text").cast(pa.binary()).to_pylist()]
+        found = pa.compute.ascii_split_whitespace(pa.array(plain, pa.binary()).cast(pa.string()))
+        of = pa.compute.list_parent_indices(found)
+        flat = found.flatten()
+        some = pa.compute.not_equal(flat, "")
+        of, flat = of.filter(some), flat.filter(some)
+        named = pa.compute.binary_join_element_wise(batch.column("lang").take(of), flat, " ")
+        ends = np.cumsum(np.bincount(of.to_numpy(), minlength=batch.num_rows))
+        terms = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), named)
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("source"), terms], names=["lang", "source", "terms"])
 
 
 def fit_vocabulary(docs: DataFrame, min_docs: int = MIN_DOCS) -> CountVectorizerModel | None:
@@ -81,7 +91,7 @@ def group_counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame,
     spark = docs.sparkSession
     text, lang, source = (F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("text", "lang", "source"))
     plain = docs.select(text, lang, source)
-    named = plain.select("lang", "source", terms(F.col("text"), F.col("lang")).alias("terms"))
+    named = plain.mapInArrow(_with_terms, "lang string, source string, terms array<string>")
     groups = materialize(plain.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("docs")), "divergence-groups")
     model = fit_vocabulary(named, min_docs)
     if model is None:
