@@ -44,8 +44,12 @@ def request_metrics(usage: DataFrame, bucket: str = "1 hour", approximate: bool
             (F.count_if(F.col("failed")) / F.count(F.lit(1))).alias("error_rate"),
         )
     histogram = keyed.groupBy("bucket", "endpoint", "ms", "failed").agg(F.count(F.lit(1)).alias("n"))
-    timed = F.when(F.col("ms").isNotNull(), F.col("n"))
+    return histogram_metrics(histogram)
+
 
+def histogram_metrics(histogram: DataFrame) -> DataFrame:
+    """The metrics of `request_metrics` from ``bucket, endpoint, ms, failed, n``."""
+    timed = F.when(F.col("ms").isNotNull(), F.col("n"))
     return histogram.groupBy("bucket", "endpoint").agg(
         F.sum("n").alias("requests"),
         (F.sum(F.col("ms").cast("bigint") * F.col("n")) / F.sum(timed)).alias("avg_ms"),

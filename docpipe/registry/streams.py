@@ -12,7 +12,8 @@ from docpipe.registry.jobs import FOLD_SQL
 from docpipe.registry.limits import FIXED, MAX, SLIDING, WINDOW
 from docpipe.registry.text import MAX_MB
 from docpipe.session import scratch_path
-from docpipe.streaming.jobs import latest_job_state, stream_convert, stream_job_state
+from docpipe.sources import blobs
+from docpipe.streaming.jobs import latest_job_state, stream_convert, stream_files, stream_job_state
 from docpipe.streaming.limits import latest_decisions, stream_rate_fixed, stream_rate_sliding
 from docpipe.streaming.sink import read_batches, write_batches
 from docpipe.streaming.usage import stream_usage_metrics
@@ -22,16 +23,19 @@ from docpipe.streaming.usage import stream_usage_metrics
 DELAY = "36500 days"
 
 
-def stream_view(x, view: str, table: str, shuffled_by: str | None = None, files: int = 3):
+def stream_view(x, view: str, table: str, shuffled_by: str | None = None, files: int = 3, path: str | None = None):
     """A fixture view over a stream of one table, one file a micro-batch; with
-    ``shuffled_by``, of its rows dealt over several files by that column."""
+    ``shuffled_by``, of its rows dealt over several files by that column; with
+    ``path``, of the files that are there, all in one micro-batch."""
     # A glob, as a stream source takes a folder or a pattern, not one file.
-    path = f"{x.sf_dir}/{table}.parque[t]"
+    reader = x.spark.readStream.schema(x.table(table).schema)
+    if path is None:
+        path = f"{x.sf_dir}/{table}.parque[t]"
+        reader = reader.option("maxFilesPerTrigger", 1)
     if shuffled_by:
         path = scratch_path(x.spark, table)
         x.table(table).repartition(files, F.xxhash64(shuffled_by)).write.parquet(path)
-    schema = x.table(table).schema
-    source = x.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    source = reader.parquet(path)
     source.createOrReplaceTempView(f"stream_{table}")
     text = view_text(view, "spark").replace(f"FROM {table}", f"FROM stream_{table}")
     return x.spark.sql(text)
@@ -82,18 +86,55 @@ def rate_sliding(x):
 def job_state(x):
     events = stream_view(x, "fx_job_events", "events", "event_id")
     path = run(x, stream_job_state(events), "jobs", "update")
-    return latest_job_state(x.spark, path)
+    return latest_job_state(x.spark, path).drop("late_events")
 
 
-@query("stream_usage_metrics", """
+#: Rows of the stream arrive up to a day out of order.
+DISORDER = 86_400
+
+
+@query("stream_usage_metrics", f"""
 SELECT date_trunc('hour', timestamp) AS bucket, endpoint, count(*) AS requests,
-  round(avg(response_time_ms), 6) AS avg_ms, max(response_time_ms) AS max_ms,
-  count(*) FILTER (WHERE status_code >= 400) AS errors
+  round(avg(response_time_ms), 6) AS avg_ms, round(quantile_cont(response_time_ms, 0.5), 6) AS p50_ms,
+  round(quantile_cont(response_time_ms, 0.95), 6) AS p95_ms, max(response_time_ms) AS max_ms,
+  round(count(*) FILTER (WHERE status_code >= 400) / count(*), 6) AS error_rate
 FROM fx_usage
 WHERE date_trunc('hour', timestamp) + INTERVAL '1' HOUR <=
-  (SELECT max(timestamp) - INTERVAL '1' MINUTE FROM fx_usage) GROUP BY ALL""")
+  (SELECT max(timestamp) - INTERVAL '1' DAY FROM fx_usage) GROUP BY ALL""")
 def usage_metrics(x):
-    usage = stream_view(x, "fx_usage", "events")
-    path = run(x, stream_usage_metrics(usage), "usage")
-    found = read_batches(x.spark, path).drop("batch")
-    return found.withColumn("avg_ms", F.round("avg_ms", 6))
+    path, parts = scratch_path(x.spark, "usage"), 3
+    arrival = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(DISORDER * 1_000_000))
+    rows = x.table("events").withColumn("arrival", arrival)
+    cuts = rows.agg(F.percentile_approx("arrival", [i / parts for i in range(1, parts)])).first()[0]
+    part = sum(((F.col("arrival") > cut).cast("int") for cut in cuts), F.lit(0))
+    for step in range(parts):
+        rows.where(part == step).drop("arrival").write.mode("append").parquet(f"{path}/in")
+        usage = stream_view(x, "fx_usage", "events", path=f"{path}/in")
+        finish(stream_usage_metrics(usage, f"{path}/out", f"{path}/checkpoint", delay=f"{DISORDER} seconds"))
+    found = read_batches(x.spark, f"{path}/out").drop("batch")
+    return found.withColumns({c: F.round(c, 6) for c in ("avg_ms", "p50_ms", "p95_ms", "error_rate")})
+
+
+@query("stream_convert_files", CONVERTED_SQL.replace("doc_id, path, ", "doc_id, "))
+def convert_files(x):
+    """Files of a folder that fills in three steps, each followed by a poll; the
+    last step delivers a third of the files again."""
+    path = scratch_path(x.spark, "inbox")
+    bodies = x("fx_files").select(F.col("doc_id").alias("job_id"), F.col("body").alias("content"))
+    name = blobs.result_path(f"{path}/in", F.col("job_id"))
+    for step in range(3):
+        dropped = bodies.where(f"job_id % 3 = {step}")
+        blobs.write_results(dropped, f"{path}/in", layout="files")
+        listed = (bodies.where("job_id % 3 <> 1") if step == 2 else dropped).select(
+            name.alias("path"), F.octet_length("content").cast("bigint").alias("size"), F.lit(None).cast("timestamp_ntz").alias("modified"))
+        listed.write.mode("append").parquet(f"{path}/manifests")
+        files = stream_files(x.spark, f"{path}/in", f"{path}/manifests", glob="*.md")
+        finish(stream_convert(
+            files, f"{path}/out", f"{path}/checkpoint", output_format="text", counters={"whitespace": "whitespace"},
+            lines_per_page=5, max_size_mb=MAX_MB,
+        ))
+    doc_id = F.regexp_extract("path", "([^/]+)[.]md$", 1).cast("bigint")
+    return read_batches(x.spark, f"{path}/out").select(
+        doc_id.alias("doc_id"), "status", "error_message", "source_hash", "page_count",
+        map_as_text(F.col("tokens")).alias("tokens"), "content",
+    )

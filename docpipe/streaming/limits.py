@@ -106,62 +106,73 @@ class _FixedWindow(StatefulProcessor):
 
 
 class _SlidingLog(StatefulProcessor):
-    """Of one token, the allowed times before the watermark that still count,
-    and the decided requests after it, which are replayed in order when one
-    arrives among them."""
+    """The decided requests of one token in slices of one window's length.
+
+    A decision depends on allowed requests of its own slice and the one before,
+    so requests that arrive are decided by replaying their slices, and the next
+    one only where the allowed times of a slice changed. Of the state just
+    those slices are read and written, however long the log is. A slice goes
+    once the watermark is a window past it."""
 
     def __init__(self, window_us: int, id_type: str):
         self.window_us, self.id_type = window_us, id_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.closed = handle.getListState("closed", "us bigint")
-        self.open = handle.getListState("open", f"us bigint, id {self.id_type}, rate_limit int, allowed boolean")
+        self.slices = handle.getMapState(
+            "slices", "slice bigint", f"us array<bigint>, id array<{self.id_type}>, rate_limit array<int>, allowed array<boolean>")
+
+    def _slice(self, known: dict, number: int) -> list[tuple]:
+        """Entries (us, place of the id, limit, allowed) of a slice, in order."""
+        if number not in known:
+            stored = self.slices.getValue((number,)) if self.slices.containsKey((number,)) else None
+            known[number] = [(us, (name is not None, name), limit, allowed) for us, name, limit, allowed in zip(*stored)] if stored else []
+        return known[number]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         token, mark = key[0], timerValues.getCurrentWatermarkInMs() * 1000
-        log = [(us, (name is not None, name), limit, allowed)
-               for us, name, limit, allowed in self.open.get()] if self.open.exists() else []
+        new = {}
         for r in rows:
             if r.us is None:
                 yield Row(token_id=token, id=r.id, us=None, allowed=True, late=False)
             elif mark > 0 and r.us < mark:
                 yield Row(token_id=token, id=r.id, us=r.us, allowed=None, late=True)
             else:
-                log.append((*_entry(r), r.rate_limit, None))
-        if not log:
-            return
-        log.sort(key=itemgetter(0, 1))
-        history = deque(r[0] for r in self.closed.get()) if self.closed.exists() else deque()
-        closed, still_open = list(history), []
-        for us, name, limit, before in log:
-            while history and history[0] <= us - self.window_us:
-                history.popleft()
-            allowed = len(history) < limit
-            if allowed:
-                history.append(us)
-            if allowed is not before:
-                yield Row(token_id=token, id=name[1], us=us, allowed=allowed, late=False)
-            if us < mark:
-                closed = list(history)
-            else:
-                still_open.append((us, name[1], limit, allowed))
-        self._keep(self.closed, [(us,) for us in closed if us > mark - self.window_us])
-        self._keep(self.open, still_open)
-        self.handle.registerTimer((log[-1][0] + self.window_us) // 1000 + 1)
-
-    @staticmethod
-    def _keep(state, values: list) -> None:
-        if values:
-            state.put(values)
-        else:
-            state.clear()
+                new.setdefault(r.us // self.window_us, []).append((*_entry(r), r.rate_limit, None))
+        known, waiting = {}, sorted(new, reverse=True)
+        while waiting:
+            number = waiting.pop()
+            before = self._slice(known, number)
+            if not before and number in new:
+                self.handle.registerTimer(self._expiry(number))
+            entries = sorted([*before, *new.pop(number, [])], key=itemgetter(0, 1))
+            history = deque(us for us, _, _, allowed in self._slice(known, number - 1) if allowed)
+            after = []
+            for us, name, limit, was in entries:
+                while history and history[0] <= us - self.window_us:
+                    history.popleft()
+                allowed = len(history) < limit
+                if allowed:
+                    history.append(us)
+                if allowed is not was:
+                    yield Row(token_id=token, id=name[1], us=us, allowed=allowed, late=False)
+                after.append((us, name, limit, allowed))
+            known[number] = after
+            columns = tuple(list(c) for c in zip(*after))
+            self.slices.updateValue((number,), (columns[0], [name for _, name in columns[1]], columns[2], columns[3]))
+            changed = [e[0] for e in before if e[3]] != [e[0] for e in after if e[3]]
+            if changed and (not waiting or waiting[-1] != number + 1) and self._slice(known, number + 1):
+                waiting.append(number + 1)
+
+    def _expiry(self, number: int) -> int:
+        """Watermark (ms) from which on no request can come near a slice."""
+        return (number + 2) * self.window_us // 1000 + 1
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        times = [r[0] for state in (self.closed, self.open) if state.exists() for r in state.get()]
-        if times and (max(times) + self.window_us) // 1000 < expiredTimerInfo.getExpiryTimeInMs():
-            self.closed.clear()
-            self.open.clear()
+        number = (expiredTimerInfo.getExpiryTimeInMs() - 1) * 1000 // self.window_us - 2
+        for passed in (number, number + 1):
+            if self._expiry(passed) == expiredTimerInfo.getExpiryTimeInMs() and self.slices.containsKey((passed,)):
+                self.slices.removeKey((passed,))
         return iter(())
 
     def close(self) -> None:
@@ -188,8 +199,8 @@ def stream_rate_fixed(requests: DataFrame, limits: int | DataFrame, window_secon
 def stream_rate_sliding(requests: DataFrame, limits: int | DataFrame, window_seconds: int = 60,
                         ts: str = "timestamp", delay: str = "1 minute") -> DataFrame:
     """``token_id, id, us, allowed, late`` per request or changed decision, by
-    the log of allowed ones. A token's state is its requests after the
-    watermark and at most its limit of earlier times."""
+    the log of allowed ones. A token's state is its requests from two windows
+    before the watermark on; a batch replays the windows that it touches."""
     prepared = _prepared(requests, limits, ts, delay)
     return prepared.groupBy("token_id").transformWithState(
         _SlidingLog(window_seconds * 1_000_000, _id_type(requests)), _decision_schema(requests),

@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from docpipe.session import STATE_STORE
@@ -17,22 +15,16 @@ STATE_STORE_KEY = "spark.sql.streaming.stateStore.providerClass"
 def write_batches(
     stream: DataFrame, path: str, checkpoint: str, output_mode: str = "append",
     transform: Callable[[DataFrame], DataFrame] | None = None, available_now: bool = True,
-    interval: str = "10 seconds", unique: tuple[str, ...] = (),
+    interval: str = "10 seconds",
 ) -> StreamingQuery:
     """Writes each micro-batch to ``path/batch=N``, replacing what an earlier
-    try of the same batch left there: a replayed batch changes nothing. Rows
-    whose ``unique`` columns an earlier batch wrote are left out; nulls are
-    equal there. Of what is written, only those columns are read."""
+    try of the same batch left there: a replayed batch changes nothing. What
+    is written is not read again."""
     spark = stream.sparkSession
     spark.conf.set(STATE_STORE_KEY, STATE_STORE)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = transform(batch) if transform is not None else batch
-        earlier = _earlier_batches(batch.sparkSession, path, batch_id) if unique else []
-        if earlier:
-            known = batch.sparkSession.read.parquet(*earlier).select(*(F.col(c).alias(f"__{c}") for c in unique)).distinct()
-            same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in unique]
-            rows = rows.join(known, reduce(and_, same), "left_anti")
         rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
 
     writer = stream.writeStream.foreachBatch(write).outputMode(output_mode).option(
@@ -42,14 +34,6 @@ def write_batches(
     return writer.trigger(**trigger).start()
 
 
-def _earlier_batches(spark: SparkSession, path: str, batch_id: int) -> list[str]:
-    """Folders of the batches before this one."""
-    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/batch=*")
-    store = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [str(f.getPath()) for f in store.globStatus(pattern) or []]
-    return [f for f in found if int(f.rsplit("=", 1)[1]) < batch_id]
-
-
 def read_batches(spark, path: str) -> DataFrame:
     """All written batches, with the number of each in ``batch``."""
     return spark.read.option("basePath", path).parquet(f"{path.rstrip('/')}/batch=*")

@@ -1,16 +1,18 @@
 """Streams over several micro-batches give what the batch operators give."""
 
 import random
+import shutil
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from docpipe.operators.ledger import fold_job_state
+from docpipe.operators.metrics import request_metrics
 from docpipe.operators.ratelimit import rate_limit_fixed, rate_limit_sliding
 from docpipe.plans.convert import convert_corpus
-from docpipe.streaming.jobs import latest_job_state, stream_convert, stream_job_state
-from docpipe.streaming.limits import latest_decisions, stream_rate_fixed, stream_rate_sliding, stream_window_counts
+from docpipe.streaming.jobs import _JobState, latest_job_state, stream_convert, stream_files, stream_job_state
+from docpipe.streaming.limits import _SlidingLog, latest_decisions, stream_rate_fixed, stream_rate_sliding, stream_window_counts
 from docpipe.streaming.sink import read_batches, write_batches
 from docpipe.streaming.usage import stream_usage_metrics
 
@@ -107,15 +109,144 @@ def test_convert_same_file_again(spark, tmp_path):
     schema = "path string, size bigint, modified timestamp_ntz, content binary"
     first = [("a.pdf", 8, START, bytearray(b"%PDF-one")), ("b.pdf", 0, START, bytearray(b""))]
     again = [*first, ("a.pdf", 8, START, bytearray(b"%PDF-two"))]
-    for part in (first, again):
-        declared = write_parts(spark, part, schema, f"{tmp_path}/in", 1)
-    stream_convert(
-        source(spark, f"{tmp_path}/in", declared), f"{tmp_path}/out", f"{tmp_path}/checkpoint", output_format="text"
-    ).awaitTermination()
+
+    def poll():
+        stream_convert(
+            source(spark, f"{tmp_path}/in", declared), f"{tmp_path}/out", f"{tmp_path}/checkpoint", output_format="text"
+        ).awaitTermination()
+
+    declared = write_parts(spark, [*first, *first, *first[:1]], schema, f"{tmp_path}/in", 1)
+    poll()
     found = read_batches(spark, f"{tmp_path}/out").select("path", "source_hash").collect()
+    assert sorted(r.path for r in found) == ["a.pdf", "b.pdf"]
+    # What was written is not read again: it may be moved away.
+    shutil.move(f"{tmp_path}/out", f"{tmp_path}/moved")
+    for part in (first, again):
+        write_parts(spark, part, schema, f"{tmp_path}/in", 1)
+    poll()
+    found += read_batches(spark, f"{tmp_path}/out").select("path", "source_hash").collect()
     assert sorted(r.path for r in found) == ["a.pdf", "a.pdf", "b.pdf"] and len(set(found)) == 3
 
 
+def test_folder_of_files(spark, tmp_path):
+    inbox, listed = tmp_path / "in", f"{tmp_path}/manifests"
+    inbox.mkdir()
+    steps = [{"a.pdf": b"%PDF-a", "_b.pdf": b"%PDF-b", "c.pdf": b""}, {"d.pdf": b"%PDF-d", "e.txt": b"no"}, {"f.pdf": b"%PDF-\xff"}]
+    told = {}
+    for step in steps:
+        for name, content in step.items():
+            (inbox / name).write_bytes(content)
+        told |= step
+        # The whole folder is listed each time.
+        rows = [(f"{inbox}/{name}", len(content), START) for name, content in told.items()]
+        spark.createDataFrame(rows, "path string, size bigint, modified timestamp_ntz").write.mode("append").parquet(listed)
+        files = stream_files(spark, str(inbox), listed, glob="*.pdf")
+        stream_convert(files, f"{tmp_path}/out", f"{tmp_path}/checkpoint", output_format="text").awaitTermination()
+    found = {r.path.rsplit("/", 1)[1]: r for r in read_batches(spark, f"{tmp_path}/out").collect()}
+    assert read_batches(spark, f"{tmp_path}/out").count() == 5 and set(found) == {"a.pdf", "_b.pdf", "c.pdf", "d.pdf", "f.pdf"}
+    assert {n for n, r in found.items() if r.status == "COMPLETED"} == {"a.pdf", "d.pdf", "f.pdf"}
+    assert found["c.pdf"].error_message == "PDF validation failed: File is empty"
+    assert found["_b.pdf"].error_message.startswith("PDF validation failed: Failed to read file")
+    assert {r.batch for r in found.values()} >= {0, 1, 2}
+
+
+class Handle:
+    """State kept in dicts; counts the slices that are read."""
+
+    def __init__(self):
+        self.states, self.reads, self.timers = {}, [], []
+
+    def getValueState(self, name, schema):
+        return self.states.setdefault(name, Value())
+
+    getListState = getValueState
+
+    def getMapState(self, name, key, value):
+        return self.states.setdefault(name, Slices(self.reads))
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class Value:
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    put = update
+
+    def clear(self):
+        self.value = None
+
+
+class Slices(dict):
+    def __init__(self, reads):
+        self.reads = reads
+
+    def containsKey(self, key):
+        return key in self
+
+    def getValue(self, key):
+        self.reads.append(key[0])
+        return self[key]
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def removeKey(self, key):
+        del self[key]
+
+
+class Clock:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+
+def test_sliding_replays_only_touched_slices():
+    handle, processor = Handle(), _SlidingLog(60_000_000, "bigint")
+    processor.init(handle)
+    log = [Row(us=i * 7_000_000, id=i, rate_limit=5) for i in range(4000)]
+    list(processor.handleInputRows(("hot",), log, Clock(0)))
+    handle.reads.clear()
+    # One more request in the middle, over the limit: nothing else changes.
+    out = list(processor.handleInputRows(("hot",), [Row(us=14_000_050_000, id=9000, rate_limit=5)], Clock(0)))
+    assert len(out) >= 1 and len(handle.reads) <= 8
+    handle.reads.clear()
+    late = list(processor.handleInputRows(("hot",), [Row(us=5, id=9001, rate_limit=5)], Clock(20_000_000)))
+    assert [(r.allowed, r.late) for r in late] == [(None, True)] and not handle.reads
+    for at in sorted(handle.timers):
+        processor.handleExpiredTimer(("hot",), None, Clock(at))
+    assert not handle.states["slices"]
+
+
+def test_job_state_is_bounded():
+    handle, processor = Handle(), _JobState("bigint")
+    processor.init(handle)
+
+    def feed(events, mark=0):
+        rows = [Row(event_time=START + timedelta(seconds=t), seq=t, event=e, result_path=f"r{t}", error_message=None) for t, e in events]
+        return list(processor.handleInputRows(("j",), rows, Clock(mark)))
+
+    feed([(t, ["PENDING", "RUNNING", "FAILED"][t % 3]) for t in range(3000)])
+    assert not handle.states["tail"].exists()
+    # Before the last outcome only the latest start counts, so nothing changes.
+    assert feed([(1500, "CANCEL"), (1501, "COMPLETED")]) == []
+    feed([(4000 + t, "RUNNING") for t in range(500)])
+    assert len(handle.states["tail"].get()) == 500
+    mark = int((START + timedelta(seconds=4400) - datetime(1970, 1, 1)).total_seconds() * 1000)
+    feed([(5000, "CANCEL")], mark)
+    assert len(handle.states["tail"].get()) <= 101
+    (row,) = feed([(5001, "COMPLETED"), (4001, "CANCEL")], mark)
+    assert (row.status, row.result_path, row.late_events) == ("COMPLETED", "r5001", 1)
+
+
 def test_job_state_and_restart(spark, tmp_path):
     rng = random.Random(6)
     schema = ("job_id string, seq bigint, event_time timestamp_ntz, event string, result_path string, "
@@ -156,18 +287,18 @@ def test_convert_is_idempotent(spark, tmp_path):
 
 
 def test_usage_metrics_close_windows(spark, usage, tmp_path):
-    schema = write_parts(spark, usage, USAGE, f"{tmp_path}/in", 3)
-    stream = stream_usage_metrics(source(spark, f"{tmp_path}/in", schema), "5 minutes", "10 seconds")
-    path = run(stream, str(tmp_path))
-    got = {(r.bucket, r.endpoint): (r.requests, r.max_ms, r.errors) for r in read_batches(spark, path).collect()}
-    last = max(r[2] for r in usage) - timedelta(seconds=10)
-    want = {}
-    for _, _, at, endpoint, ms, code in usage:
-        bucket = START + timedelta(seconds=int((at - START).total_seconds()) // 300 * 300)
-        if bucket + timedelta(minutes=5) <= last:
-            n, top, bad = want.get((bucket, endpoint), (0, 0, 0))
-            want[bucket, endpoint] = (n + 1, max(top, ms), bad + (code >= 400))
-    assert got == want and want
+    # Shuffled inside a minute, which the delay covers.
+    rng = random.Random(2)
+    rows = sorted(usage, key=lambda r: r[2] + timedelta(seconds=rng.randrange(60)))
+    schema = write_parts(spark, rows, USAGE, f"{tmp_path}/in", 4)
+    stream_usage_metrics(
+        source(spark, f"{tmp_path}/in", schema), f"{tmp_path}/out", f"{tmp_path}/checkpoint", "2 minutes", "60 seconds"
+    ).awaitTermination()
+    got = read_batches(spark, f"{tmp_path}/out").drop("batch")
+    last = max(r[2] for r in usage) - timedelta(seconds=60)
+    want = request_metrics(spark.createDataFrame(rows, USAGE), "2 minutes").withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+    want = want.where(F.col("bucket") + F.expr("INTERVAL 2 MINUTES") <= F.lit(last)).select(*got.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() > 8
 
 
 def test_window_counts(spark, usage, tmp_path):
