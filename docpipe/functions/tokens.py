@@ -40,25 +40,35 @@ def estimate_tokens(base: Column, factor: float = ESTIMATE_FACTOR) -> Column:
     return F.floor(base.cast("double") * F.lit(factor)).cast("bigint")
 
 
-def custom_tokens(text: Column, counter: Callable[[str], int]) -> Column:
-    """Counts from a user callable; null where it raises or returns anything
-    but a non-negative whole number."""
+def checked_counter(counter: Callable[[str], int]) -> Callable[[str], int | None]:
+    """A user callable that gives null where it raises or returns anything but
+    a non-negative whole number."""
     if not callable(counter):
         raise ValueError("tokenizer_func must be callable")
 
-    def count(text: str | None) -> int | None:
+    def count(text: str) -> int | None:
         try:
             value = counter(text)
         except Exception:
             return None
         return value if isinstance(value, int) and value >= 0 else None
 
-    @F.pandas_udf("bigint")
+    return count
+
+
+def python_counts(text: Column, counters: dict[str, Counter]) -> dict[str, Column]:
+    """A column for each counter that needs Python, all from one pass: a text
+    goes to Python once, however many count it."""
+    makers = [c.counting if isinstance(c, BpeCounter) else (lambda f=checked_counter(c): f) for c in counters.values()]
+
+    @F.pandas_udf("array<bigint>")
     def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ready = [make() for make in makers]
         for texts in batches:
-            yield pd.Series([None if t is None else count(t) for t in texts], dtype="Int64")
+            yield pd.Series([None if t is None else [count(t) for count in ready] for t in texts], dtype="object")
 
-    return counts(text)
+    every = counts(text)
+    return {name: F.get(every, F.lit(i)) for i, name in enumerate(counters)}
 
 
 class BpeCounter:
@@ -90,42 +100,35 @@ class BpeCounter:
             self.name, pat_str=self.pattern, mergeable_ranks=ranks, special_tokens=self.special_tokens
         )
 
-    def tokens(self, text: Column) -> Column:
-        make_encoder = self.encoder
+    def counting(self) -> Callable[[str], int | None]:
+        encoder = self.encoder()
 
-        @F.pandas_udf("bigint")
-        def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            encoder = make_encoder()
+        def count(text: str) -> int | None:
+            try:
+                return len(encoder.encode(text))
+            except Exception:
+                return None
 
-            def count(text: str) -> int | None:
-                try:
-                    return len(encoder.encode(text))
-                except Exception:
-                    return None
-
-            for texts in batches:
-                yield pd.Series([None if t is None else count(t) for t in texts], dtype="Int64")
-
-        return counts(text)
+        return count
 
 
 Counter = str | BpeCounter | Callable[[str], int]
 
 
-def counter_column(text: Column, counter: Counter) -> Column:
-    if isinstance(counter, str):
-        if counter != "whitespace":
+def counter_columns(text: Column, counters: dict[str, Counter]) -> dict[str, Column]:
+    """A column for each counter, in their order."""
+    for counter in counters.values():
+        if isinstance(counter, str) and counter != "whitespace":
             raise ValueError(f"Unknown token counter: {counter}")
-        return whitespace_tokens(text)
-    if isinstance(counter, BpeCounter):
-        return counter.tokens(text)
-    return custom_tokens(text, counter)
+    asked = {name: c for name, c in counters.items() if not isinstance(c, str)}
+    counted = python_counts(text, asked) if asked else {}
+    return {name: counted[name] if name in counted else whitespace_tokens(text) for name in counters}
 
 
 def count_tokens(df: DataFrame, counters: Counter | dict[str, Counter], text_col: str = "text") -> DataFrame:
     """Add one BIGINT column per counter (null = that counter failed)."""
     named = counters if isinstance(counters, dict) else {_default_name(counters): counters}
-    return df.withColumns({name: counter_column(F.col(text_col), c) for name, c in named.items()})
+    return df.withColumns(counter_columns(F.col(text_col), named))
 
 
 def _default_name(counter: Counter) -> str:
@@ -137,7 +140,7 @@ def _default_name(counter: Counter) -> str:
 def token_columns(text: Column, counters: dict[str, Counter], estimate_from: str | None = None) -> dict[str, Column]:
     """Columns for all counters, each text tokenised once; the estimate reuses
     the count it is based on."""
-    columns = {name: counter_column(text, c) for name, c in counters.items()}
+    columns = counter_columns(text, counters)
     if estimate_from is not None:
         columns[ENCODING_KEYS["claude"]] = estimate_tokens(columns[estimate_from])
     return columns

@@ -131,16 +131,14 @@ def job_detail_outcome(requests: DataFrame, jobs: DataFrame, grants: DataFrame)
 
 def result_outcome(requests: DataFrame, jobs: DataFrame, grants: DataFrame, files: DataFrame) -> DataFrame:
     """Can the result be downloaded; ``files`` lists existing paths as ``path``."""
-    # Paths are looked up from the jobs that have one: joining requests by path
-    # would send all those without a result to the task of the null key.
-    on_disk = (
-        jobs.filter(F.col("result_path").isNotNull())
-        .select("job_id", "result_path")
-        .join(files.select(F.col("path").alias("result_path")), "result_path", "left_semi")
-        .select("job_id", F.lit(True).alias("__on_disk"))
-    )
-    joined = _with_job(requests, jobs, "status", "result_path").join(on_disk, "job_id", "left")
-    joined = _with_grant(joined, grants)
+    # Whether a result exists is found for the jobs that have a path, and comes
+    # with the job: requests are not joined by path, nor with the jobs twice.
+    # Jobs without a path, which are many, stay out of the join by path.
+    paths = files.select(F.col("path").alias("result_path")).distinct().withColumn("on_disk", F.lit(True))
+    with_path = jobs.filter(F.col("result_path").isNotNull()).join(paths, "result_path", "left")
+    without = jobs.filter(F.col("result_path").isNull()).withColumn("on_disk", F.lit(None).cast("boolean"))
+    known = with_path.unionByName(without)
+    joined = _with_grant(_with_job(requests, known, "status", "result_path", "on_disk"), grants)
     status = F.col("__status")
     decided = decide(
         joined,

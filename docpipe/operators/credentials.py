@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docpipe.functions.scalars import as_timestamp, has_permission, hash_id, iso_format, mask_token, role_limit
+from docpipe.functions.scalars import as_timestamp, has_permission, iso_format, mask_token, role_limit
+from docpipe.plans.ids import unique_ids
 from docpipe.plans.lookup import lookup
 from docpipe.schemas import PUBLIC_PATHS, ROLES
 
@@ -106,12 +107,13 @@ def revoke_tokens(tokens: DataFrame, ids: DataFrame) -> DataFrame:
     return tokens.join(ids.select("token_id"), "token_id", "left_anti")
 
 
-def issue_tokens(requests: DataFrame, as_of, id_cols: list[str]) -> DataFrame:
+def issue_tokens(requests: DataFrame, as_of, id_cols: list[str], existing: DataFrame | None = None) -> DataFrame:
     """Token rows for accepted creation requests (see `create_token_outcome`).
 
     Needs ``user_id, requested_role, expires_days, rate_limit, creator_role,
     created_by``; the secret's hash is the caller's ``token_hash`` or null.
-    Ids are hashes of ``id_cols``, which must identify the request.
+    Ids are hashes of ``id_cols``, unique among the requests and against the
+    tokens in ``existing`` (see `unique_ids`).
     """
     accepted = requests.filter(
         has_permission(F.col("creator_role"), "create_token")
@@ -120,8 +122,8 @@ def issue_tokens(requests: DataFrame, as_of, id_cols: list[str]) -> DataFrame:
     )
     created = as_timestamp(as_of)
     secret = F.col("token_hash") if "token_hash" in requests.columns else F.lit(None).cast("string")
-    return accepted.select(
-        hash_id(*[F.col(c) for c in id_cols], length=10).alias("token_id"),
+    return unique_ids(accepted, id_cols, "token_id", existing, first_attempt=()).select(
+        "token_id",
         secret.alias("token_hash"),
         "user_id",
         F.col("requested_role").alias("role"),

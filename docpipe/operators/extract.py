@@ -8,7 +8,8 @@ Other back ends are Python objects and run over small Arrow batches.
 from __future__ import annotations
 
 import signal
-from collections.abc import Iterator, Sequence
+import time
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Any, Protocol
@@ -22,7 +23,11 @@ from docpipe.schemas import EMPTY_IMAGES, EMPTY_TABLES, PAGE_FIELDS, PDF_FIELDS
 
 BUNDLED = ("utf8", "latin1")
 PDF_STRUCT = "struct<" + ",".join(f"{name}:{dtype}" for name, dtype in PDF_FIELDS) + ">"
-EXTRACTION = f"method string, error string, metadata {PDF_STRUCT}, pages array<{PAGE_FIELDS}>, warnings array<string>"
+EXTRACTION = f"method string, error string, metadata {PDF_STRUCT}, pages array<{PAGE_FIELDS}>, warnings array<string>, seconds double"
+METADATA = f"method string, error string, metadata {PDF_STRUCT}"
+#: Bytes of content and text that a batch of extracted rows holds, but for one
+#: larger document.
+OUTPUT_BYTES = 4 << 20
 
 
 @dataclass
@@ -38,7 +43,12 @@ class Page:
 
 
 class Backend(Protocol):
-    """User back end: raises if the document cannot be read."""
+    """User back end: raises if the document cannot be read.
+
+    Two more methods are optional. ``metadata(content)`` returns the facts of a
+    document without its pages; without it they come from ``extract``.
+    ``can_read(content)`` tells whether it can be read; without it, it can if
+    its metadata can."""
 
     name: str
 
@@ -127,10 +137,13 @@ def extract_with_fallback(
     files: DataFrame, chain: Sequence[str | Backend] = ("utf8", "latin1"),
     lines_per_page: int | None = None, timeout_seconds: float | None = None,
 ) -> DataFrame:
-    """Adds ``method, error, metadata, pages, warnings`` to each file row.
+    """Adds ``method, error, metadata, pages, warnings, seconds`` to each file
+    row.
 
     The back ends of the chain are tried in order. A document none can read
-    keeps its row with ``error`` set and ``pages`` null.
+    keeps its row with ``error`` set and ``pages`` null. ``seconds`` is the
+    time a Python back end took for the document; the bundled ones are part of
+    Spark's own plan, where a document has no time of its own, and give 0.
     """
     if not chain:
         raise ValueError("At least one extractor is needed")
@@ -179,9 +192,57 @@ def _extract_native(files: DataFrame, chain: list[str], lines_per_page: int | No
         .drop("__text", "__pages")
         .withColumn("metadata", F.when(F.col("error").isNull(), metadata))
         .withColumn("warnings", warnings)
+        .withColumn("seconds", F.lit(0.0))
     )
 
 
+def metadata_error(names: Sequence[str], errors: Sequence[str]) -> str:
+    return errors[0] if len(names) == 1 else f"Both extractors failed to get metadata: {errors[-1]}"
+
+
+def read_metadata(files: DataFrame, chain: Sequence[str | Backend] = ("utf8", "latin1"),
+                  lines_per_page: int | None = None, timeout_seconds: float | None = None) -> DataFrame:
+    """Adds ``method, error, metadata`` to each file row. The back ends are
+    tried in order, as for extraction, but no page is made: the bundled ones
+    count page breaks in the bytes, others are asked for their metadata."""
+    if not chain:
+        raise ValueError("At least one extractor is needed")
+    if not all(isinstance(backend, str) for backend in chain):
+        backends = [_TextBackend(b, lines_per_page) if isinstance(b, str) else b for b in chain]
+
+        def facts(content: bytes | None) -> dict[str, Any]:
+            return _metadata_one(backends, content, timeout_seconds)
+
+        return _per_document(files, METADATA, facts, len)
+    content, used, text = F.col("content"), F.col("method"), F.col("content").cast("string")
+    method = F.lit(None).cast("string")
+    for name in reversed(chain):
+        method = F.when(can_read(name, content), F.lit(name)).otherwise(method)
+    cut = "\f" if lines_per_page is None else "\n"
+    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(cut), F.lit("")))
+    page_count = breaks + 1 if lines_per_page is None else F.floor(breaks / F.lit(lines_per_page)) + 1
+    given = {"page_count": page_count, "encrypted": F.lit(False), "file_size_bytes": F.col("size").cast("bigint")}
+    metadata = F.struct(*[given.get(name, F.lit(None)).cast(dtype).alias(name) for name, dtype in PDF_FIELDS])
+    failure = metadata_error(chain, [f"Failed to extract metadata: content is not {name} text" for name in chain])
+    return files.withColumn("method", method).withColumn("error", F.when(used.isNull(), F.lit(failure))).withColumn(
+        "metadata", F.when(used.isNotNull(), metadata))
+
+
+def probe(files: DataFrame, backends: Sequence[str | Backend], timeout_seconds: float | None = None) -> DataFrame:
+    """Adds ``readable``, a map from the name of each back end to whether it
+    can read the document. Nothing is extracted by those that have a probe."""
+    names = [b if isinstance(b, str) else b.name for b in backends]
+    others = [b for b in backends if not isinstance(b, str)]
+    if others:
+        def ask(content: bytes | None) -> dict[str, Any]:
+            return {"__asked": [content is not None and _can_read(b, content, timeout_seconds) for b in others]}
+
+        files = _per_document(files, "__asked array<boolean>", ask, len)
+    asked = {b.name: F.col("__asked")[i] for i, b in enumerate(others)}
+    pairs = [part for name in names for part in (F.lit(name), asked[name] if name in asked else can_read(name, F.col("content")))]
+    return files.withColumn("readable", F.create_map(*pairs)).drop("__asked")
+
+
 class _TextBackend:
     """The bundled back ends for chains that also hold Python ones."""
 
@@ -196,6 +257,13 @@ class _TextBackend:
         lines, n = text.split("\n"), self.lines_per_page
         return {}, [Page("\n".join(lines[i:i + n])) for i in range(0, len(lines), n)]
 
+    def metadata(self, content: bytes) -> dict[str, Any]:
+        if self.name == "utf8":
+            content.decode("utf-8")
+        if self.lines_per_page is None:
+            return {"page_count": content.count(b"\f") + 1}
+        return {"page_count": content.count(b"\n") // self.lines_per_page + 1}
+
 
 @contextmanager
 def _deadline(seconds: float | None):
@@ -247,26 +315,79 @@ def _extract_one(chain: list[Backend], content: bytes, timeout: float | None) ->
     return {"method": None, "error": failure, "metadata": None, "pages": None, "warnings": []}
 
 
+def _facts_of(backend: Backend, content: bytes) -> dict[str, Any]:
+    """Metadata of a document, by the back end's own way if it has one."""
+    given = {"encrypted": False, "file_size_bytes": len(content)}
+    if hasattr(backend, "metadata"):
+        return {**given, **backend.metadata(content)}
+    metadata, pages = backend.extract(content)
+    return {**given, "page_count": len(pages), **metadata}
+
+
+def _metadata_one(chain: list[Backend], content: bytes | None, timeout: float | None) -> dict[str, Any]:
+    errors = ["Failed to extract metadata: no content"]
+    for backend in chain if content is not None else ():
+        try:
+            with _deadline(timeout):
+                return {"method": backend.name, "error": None, "metadata": _facts_of(backend, content)}
+        except Exception as error:
+            errors.append(f"Failed to extract metadata: {error}")
+    return {"method": None, "error": metadata_error([b.name for b in chain], errors[-1:]), "metadata": None}
+
+
+def _can_read(backend: Backend, content: bytes, timeout: float | None) -> bool:
+    try:
+        with _deadline(timeout):
+            if hasattr(backend, "can_read"):
+                return bool(backend.can_read(content))
+            _facts_of(backend, content)
+            return True
+    except Exception:
+        return False
+
+
 def _extract_python(files: DataFrame, chain: list, lines_per_page: int | None, timeout: float | None) -> DataFrame:
     backends = [_TextBackend(b, lines_per_page) if isinstance(b, str) else b for b in chain]
-    added = StructType.fromDDL(EXTRACTION)
-    schema = StructType([*files.schema.fields, *added.fields])
-    arrow_added = to_arrow_schema(added)
+
+    def extract(content: bytes | None) -> dict[str, Any]:
+        start = time.perf_counter()
+        if content is None:
+            found = {"method": None, "error": "PDF extraction failed: no content", "metadata": None, "pages": None, "warnings": []}
+        else:
+            found = _extract_one(backends, content, timeout)
+        return {**found, "seconds": time.perf_counter() - start}
+
+    def held(found: dict[str, Any]) -> int:
+        return sum(len(page["text"]) for page in found["pages"] or ())
+
+    return _per_document(files, EXTRACTION, extract, held)
+
+
+def _per_document(files: DataFrame, added: str, work: Callable[[bytes | None], dict[str, Any]],
+                  held: Callable[[dict[str, Any]], int]) -> DataFrame:
+    """Adds the columns that ``work`` returns for the content of each row. Rows
+    are sent on together until their contents and results (``held``) come to
+    `OUTPUT_BYTES`, so many small documents are one batch and no batch is large."""
+    new = StructType.fromDDL(added)
+    schema = StructType([*files.schema.fields, *new.fields])
+    arrow_new, bound = to_arrow_schema(new), OUTPUT_BYTES
+
+    def packed(batch: pa.RecordBatch, start: int, found: list[dict[str, Any]]) -> pa.RecordBatch:
+        extra = [pa.array([f[field.name] for f in found], type=field.type) for field in arrow_new]
+        return pa.RecordBatch.from_arrays(
+            [*batch.slice(start, len(found)).columns, *extra], schema=pa.schema([*batch.schema, *arrow_new]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            position = batch.schema.get_field_index("content")
+            contents, found, size = batch.column(batch.schema.get_field_index("content")), [], 0
             for row in range(batch.num_rows):
-                content = batch.column(position)[row].as_py()
-                found = (
-                    _extract_one(backends, content, timeout)
-                    if content is not None
-                    else {"method": None, "error": "PDF extraction failed: no content", "metadata": None, "pages": None, "warnings": []}
-                )
-                extra = [pa.array([found[f.name]], type=f.type) for f in arrow_added]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.slice(row, 1).columns, *extra],
-                    schema=pa.schema([*batch.schema, *arrow_added]),
-                )
+                content = contents[row].as_py()
+                found.append(work(content))
+                size += len(content or b"") + held(found[-1])
+                if size >= bound:
+                    yield packed(batch, row + 1 - len(found), found)
+                    found, size = [], 0
+            if found:
+                yield packed(batch, batch.num_rows - len(found), found)
 
     return files.mapInArrow(run, schema)

@@ -91,13 +91,21 @@ def document_json(pages: Column) -> Column:
     )
 
 
+def now_text() -> Column:
+    """The time the query started, as ISO 8601 with the session's offset."""
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
+
+
 def with_doc_fields(docs: DataFrame, converted_at: str | None = None) -> DataFrame:
-    """Adds the document columns a table lacks, as nulls of the right type."""
+    """Adds the document columns a table lacks, as nulls of the right type;
+    ``converted_at`` is the time of the query if it is neither there nor given."""
     missing = {
         name: F.lit(None).cast(dtype) for name, dtype in DOC_FIELDS.items() if name not in docs.columns
     }
     if converted_at is not None:
         missing["converted_at"] = F.lit(converted_at)
+    elif "converted_at" in missing:
+        missing["converted_at"] = now_text()
     return docs.withColumns(missing) if missing else docs
 
 

@@ -6,9 +6,12 @@ A *file table* has ``path, size, modified, content`` and optionally
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docpipe.functions.scalars import iso_format
+from docpipe.operators.extract import Backend, probe, read_metadata
 from docpipe.schemas import EXTRACTORS, OUTPUT_FORMATS, PDF_FIELDS
 
 MEGABYTE = 1024 * 1024
@@ -77,32 +80,56 @@ def file_info(files: DataFrame) -> DataFrame:
     )
 
 
-def doc_info(files: DataFrame, docs: DataFrame, key: str = "doc_id", max_size_mb: float = 100) -> DataFrame:
+def doc_info(files: DataFrame, docs: DataFrame | None = None, key: str = "doc_id", max_size_mb: float = 100,
+             extractors: Sequence[str | Backend] = ("utf8", "latin1"), lines_per_page: int | None = None,
+             timeout_seconds: float | None = None) -> DataFrame:
     """``key, info``: nested JSON of file facts and document metadata, for
-    valid files only. Page text is never read."""
+    valid files only. The metadata comes from the extractors, which are tried
+    in order and make no pages; a file that none can read is left out. With
+    ``docs`` it is taken from that table instead."""
     valid = validate_files(files, max_size_mb).filter("is_valid").drop("is_valid", "error")
-    facts = file_info(valid)
-    file_part = F.struct("path", "size_bytes", "size_mb", F.date_format("modified", "yyyy-MM-dd'T'HH:mm:ss").alias("modified"), "is_readable", "sha256")
+    modified = iso_format(F.col("modified")).alias("modified")
+    file_part = F.struct("path", "size_bytes", "size_mb", modified, "is_readable", "sha256")
     wanted = [name for name, _ in PDF_FIELDS if name != "file_size_bytes"]
-    pdf_part = F.struct(
-        *[
-            (iso_format(F.col(name)) if name.endswith("_date") else F.col(name)).alias(name)
-            for name in wanted
-        ]
-    )
-    info = F.to_json(F.struct(F.col("file"), F.col("pdf")), {"ignoreNullFields": "false"})
-    return (
-        facts.select(key, file_part.alias("file"))
-        .join(docs.select(key, pdf_part.alias("pdf")), key)
-        .select(key, info.alias("info"))
-    )
 
+    def pdf_part(of: str = "") -> Column:
+        return F.struct(*[(iso_format(F.col(of + n)) if n.endswith("_date") else F.col(of + n)).alias(n) for n in wanted])
 
-def validation_report(files: DataFrame, backends: dict[str, Column], key: str = "doc_id",
-                      max_size_mb: float = 100, page_count: Column | None = None) -> DataFrame:
+    info = F.to_json(F.struct(F.col("file"), F.col("pdf")), {"ignoreNullFields": "false"})
+    if docs is not None:
+        facts = file_info(valid).select(key, file_part.alias("file"))
+        return facts.join(docs.select(key, pdf_part().alias("pdf")), key).select(key, info.alias("info"))
+    known = read_metadata(valid, extractors, lines_per_page, timeout_seconds).filter(F.col("method").isNotNull())
+    own = [c for c in valid.columns if c not in ("path", "size", "modified", "content", "exists", "is_file")]
+    facts = known.select(*own, "metadata", "path", "size", "modified", "content")
+    return file_info(facts).select(key, file_part.alias("file"), pdf_part("metadata.").alias("pdf")).select(key, info.alias("info"))
+
+
+def validation_report(files: DataFrame, backends: dict[str, Column] | Sequence[str | Backend] = ("utf8", "latin1"),
+                      key: str = "doc_id", max_size_mb: float = 100, page_count: Column | None = None,
+                      lines_per_page: int | None = None, timeout_seconds: float | None = None) -> DataFrame:
     """Long form ``key, position, check, result``; a file that breaks a rule
-    has that one row only. ``backends`` maps a name to a boolean column: can
-    this back end read the content."""
+    has that one row only. ``backends`` are asked whether they can read the
+    content and then, in order, for its metadata; no page is made. Instead of
+    them it may map names to boolean columns, with a ``page_count``."""
+    if not isinstance(backends, dict):
+        names = [b if isinstance(b, str) else b.name for b in backends]
+        broken = file_error(files, max_size_mb) != ""
+        # Files that break a rule are not shown to the back ends.
+        shown = files.withColumn("__content", F.col("content")).withColumn("content", F.when(~broken, F.col("content")))
+        asked = read_metadata(probe(shown, backends, timeout_seconds), backends, lines_per_page, timeout_seconds)
+        files = asked.withColumn("content", F.col("__content")).drop("__content", "error")
+        columns = {name: F.coalesce(F.col("readable")[name], F.lit(False)) for name in names}
+        got = F.col("method").isNotNull()
+        return _report(files, columns, key, max_size_mb, got, F.col("metadata.page_count"), F.col("metadata.encrypted"))
+    readable = F.lit(False)
+    for can_extract in backends.values():
+        readable = readable | can_extract
+    return _report(files, backends, key, max_size_mb, readable, page_count, F.lit(False))
+
+
+def _report(files: DataFrame, backends: dict[str, Column], key: str, max_size_mb: float, readable: Column,
+            page_count: Column | None, encrypted: Column) -> DataFrame:
     error = file_error(files, max_size_mb)
     size = F.col("size")
     size_text = F.concat(
@@ -113,10 +140,6 @@ def validation_report(files: DataFrame, backends: dict[str, Column], key: str =
     def row(check: str, result: Column) -> Column:
         return F.struct(F.lit(check).alias("check"), result.alias("result"))
 
-    readable = None
-    for can_extract in backends.values():
-        readable = can_extract if readable is None else (readable | can_extract)
-    readable = F.lit(False) if readable is None else readable
     pages = F.coalesce(page_count.cast("string"), F.lit("0")) if page_count is not None else F.lit("0")
     probes = [
         row(name, F.when(ok, F.lit("Can extract")).otherwise(F.lit("Cannot extract")))
@@ -129,8 +152,9 @@ def validation_report(files: DataFrame, backends: dict[str, Column], key: str =
         *probes,
         row("Metadata Extraction", F.when(readable, F.lit("Success")).otherwise(F.lit("Failed"))),
     )
+    locked = F.when(F.coalesce(encrypted, F.lit(False)), F.lit("Yes")).otherwise(F.lit("No"))
     metadata = F.when(
-        readable, F.array(row("Page Count", pages), row("Encrypted", F.lit("No")))
+        readable, F.array(row("Page Count", pages), row("Encrypted", locked))
     ).otherwise(F.array().cast("array<struct<check:string,result:string>>"))
     failed = F.array(row("File Validation", F.concat(F.lit("FAIL: "), error)))
     report = F.when(error == "", F.concat(facts, metadata)).otherwise(failed)

@@ -6,12 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docpipe.functions.scalars import as_timestamp, has_permission, hash_id
+from docpipe.functions.scalars import as_timestamp, has_permission
 from docpipe.functions.tokens import Counter, counts_map, token_columns
 from docpipe.operators.assemble import DEFAULT_SEPARATOR, joined_text
 from docpipe.operators.extract import extract_with_fallback
 from docpipe.operators.render import documents_content, with_doc_fields
 from docpipe.operators.validate import check_upload, content_hash, validate_files
+from docpipe.plans.ids import unique_ids
 from docpipe.schemas import OUTPUT_FORMATS
 
 RESULT_COLUMNS = ("output_format", "content", "source_hash", "page_count", "tokens", "extraction_method", "warnings")
@@ -37,6 +38,7 @@ def convert_corpus(
     Pages stay in the row of their document from extraction to rendering, so
     with the bundled extractors the whole plan is one pass without a shuffle.
     Select only ledger columns and Spark drops the rendering from the plan.
+    ``converted_at`` is the time of the run unless given.
     """
     keys = [c for c in files.columns if c not in ("size", "modified", "content", "exists", "is_file")]
     if not isinstance(output_format, Column) and output_format not in OUTPUT_FORMATS:
@@ -66,7 +68,7 @@ def convert_corpus(
             "source_hash",
             source.alias("source_file"),
             F.col("method").alias("extraction_method"),
-            F.lit(0.0).alias("extraction_time_seconds"),
+            F.coalesce("seconds", F.lit(0.0)).alias("extraction_time_seconds"),
             "metadata.*",
         )
     )
@@ -105,30 +107,11 @@ def conversion_ledger(converted: DataFrame, *keys: str) -> DataFrame:
     return converted.select(*keys, *LEDGER_COLUMNS)
 
 
-ID_ATTEMPTS = 10
-
-
 def assign_job_ids(df: DataFrame, key_cols: Sequence[str], existing: DataFrame | None = None,
-                   out: str = "job_id") -> DataFrame:
+                   out: str = "job_id", length: int = 10) -> DataFrame:
     """Adds a 10-character id that is unique in the batch and not in
-    ``existing``. ``key_cols`` must identify the row: the id is a hash of them
-    and of the attempt, so retried tasks agree on it.
-
-    Collisions are looked for by grouping ids (a count per id, combined before
-    the shuffle) and only colliding rows are hashed again.
-    """
-    keys = [F.col(c) for c in key_cols]
-    ids = df.withColumn(out, hash_id(*keys, F.lit(0)))
-    for attempt in range(1, ID_ATTEMPTS + 1):
-        taken = ids.groupBy(out).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(out)
-        if existing is not None:
-            taken = taken.unionByName(ids.select(out).join(existing.select(out), out, "left_semi"))
-        if taken.isEmpty():
-            return ids
-        clash = taken.distinct().withColumn("__clash", F.lit(True))
-        again = F.when(F.col("__clash"), hash_id(*keys, F.lit(attempt))).otherwise(F.col(out))
-        ids = ids.join(clash, out, "left").withColumn(out, again).drop("__clash")
-    raise RuntimeError(f"Failed to generate unique job ID after {ID_ATTEMPTS} attempts")
+    ``existing`` (see `unique_ids`)."""
+    return unique_ids(df, key_cols, out, existing, length=length)
 
 
 def upload_outcome(requests: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ metadata as a map. Bytes stay out of it unless an operator says otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
 from functools import reduce
 from operator import or_
 
@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 from docpipe.functions.scalars import as_timestamp, blob_url, parse_sidecar, render_sidecar
 from docpipe.plans.lookup import lookup
 from docpipe.schemas import LEDGER, PRIMARY_KEYS
+from docpipe.sources.result_files import register_result_files
 
 SIDECAR_SUFFIX = ".meta"
 DELETE_ALWAYS_TRUE = ("s3",)
@@ -189,33 +190,20 @@ def result_path(directory: str, job_id: Column, output_format: Column | None = N
 def write_results(df: DataFrame, directory: str, layout: str = "table", ext_by_format: bool = False) -> None:
     """Writes ``job_id, content[, output_format]``. ``table`` is one Parquet
     table with the result paths; ``files`` one UTF-8 file per job on any file
-    system Arrow knows, written under a temporary name first so a retried task
-    leaves no half file."""
+    system Arrow knows, all of them or, if a task fails, none."""
     fmt = F.col("output_format") if "output_format" in df.columns else None
     named = df.withColumn("result_path", result_path(directory, F.col("job_id"), fmt, ext_by_format))
     if layout == "table":
         named.write.mode("overwrite").parquet(directory)
     elif layout == "files":
-        named.select("result_path", "content").foreachPartition(_write_partition)
+        name = F.substr("result_path", F.lit(len(directory.rstrip("/")) + 2))
+        files = named.select(name.alias("name"), F.col("content").cast("string").alias("content"))
+        options = {"path": directory, "run": uuid.uuid4().hex}
+        files.write.format(register_result_files(df.sparkSession)).options(**options).mode("append").save()
     else:
         raise ValueError(f"Unknown layout: {layout}")
 
 
-def _write_partition(rows: Iterator) -> None:
-    import uuid
-
-    from pyarrow import fs
-
-    for row in rows:
-        path = row.result_path if "://" in row.result_path else f"file://{row.result_path}"
-        store, target = fs.FileSystem.from_uri(path)
-        store.create_dir(target.rsplit("/", 1)[0], recursive=True)
-        temporary = f"{target}.{uuid.uuid4().hex}.tmp"
-        with store.open_output_stream(temporary) as out:
-            out.write((row.content or "").encode("utf-8"))
-        store.move(temporary, target)
-
-
 class ConstraintError(ValueError):
     """Rows that break a table constraint."""
 

@@ -6,17 +6,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from docpipe.functions.scalars import all_of, hash_id
+from docpipe.functions.scalars import all_of
+from docpipe.plans.ids import unique_ids
 from docpipe.plans.lookup import lookup
 
 
 def collection_insert(coll: DataFrame, rows: DataFrame, id_col: str, key_cols: Sequence[str]) -> DataFrame:
     """Collection with ``rows`` added. Rows without an id get one hashed from
-    ``key_cols``; columns either side lacks become null."""
-    new_id = hash_id(*[F.col(c) for c in key_cols])
-    if id_col in rows.columns:
-        new_id = F.coalesce(F.col(id_col), new_id)
-    return coll.unionByName(rows.withColumn(id_col, new_id), allowMissingColumns=True)
+    ``key_cols`` that neither a stored nor another new row has (see
+    `unique_ids`); given ids are kept. Columns either side lacks become null."""
+    given = "__given" if id_col in rows.columns else None
+    named = rows.withColumnRenamed(id_col, given) if given else rows
+    added = unique_ids(named, key_cols, id_col, coll, given=given, first_attempt=())
+    return coll.unionByName(added.drop("__given"), allowMissingColumns=True)
 
 
 def collection_get(coll: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:

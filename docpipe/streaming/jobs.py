@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 from docpipe.plans.convert import convert_corpus
 from docpipe.schemas import CANCELLABLE_STATUSES, TERMINAL_STATUSES
 from docpipe.sources.blobs import qualified_path
-from docpipe.streaming.sink import read_batches, write_batches
+from docpipe.streaming.sink import latest_rows, read_batches, write_batches
 
 STATE = "status string, started_at timestamp_ntz, completed_at timestamp_ntz, result_path string, error_message string"
 
@@ -117,9 +117,7 @@ def stream_job_state(events: DataFrame, delay: str | None = None) -> DataFrame:
 
 def latest_job_state(spark, path: str) -> DataFrame:
     """Last written row of each job."""
-    rows = read_batches(spark, path)
-    fields = [c for c in rows.columns if c not in ("job_id", "batch")]
-    return rows.groupBy("job_id").agg(F.max_by(F.struct(*fields), "batch").alias("r")).select("job_id", "r.*")
+    return latest_rows(read_batches(spark, path), ["job_id"]).drop("batch")
 
 
 def stream_convert(files: DataFrame, path: str, checkpoint: str, available_now: bool = True,

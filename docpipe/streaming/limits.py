@@ -24,7 +24,7 @@ from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from docpipe.functions.scalars import epoch_micros, floor_div
 from docpipe.operators.ratelimit import _with_limit
-from docpipe.streaming.sink import read_batches
+from docpipe.streaming.sink import latest_rows, read_batches
 
 
 def _decision_schema(requests: DataFrame) -> StructType:
@@ -210,8 +210,7 @@ def stream_rate_sliding(requests: DataFrame, limits: int | DataFrame, window_sec
 
 def latest_decisions(spark, path: str) -> DataFrame:
     """The last written decision of each request; ids identify requests."""
-    decided = F.max_by(F.struct("us", "allowed", "late"), "batch").alias("d")
-    return read_batches(spark, path).groupBy("token_id", "id").agg(decided).select("token_id", "id", "d.*")
+    return latest_rows(read_batches(spark, path), ["token_id", "id"]).select("token_id", "id", "us", "allowed", "late")
 
 
 def stream_window_counts(requests: DataFrame, window: str = "60 seconds", ts: str = "timestamp",

@@ -1,16 +1,19 @@
 """Validation, extraction, token counting and the whole conversion."""
 
 import hashlib
+import re
 import sys
 import time
+from datetime import datetime, timezone
 
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from docpipe.functions import tokens
 from docpipe.functions.udfs import register_udfs
-from docpipe.operators.extract import Page, extract_pages, extract_with_fallback
+from docpipe.operators.extract import Page, extract_pages, extract_with_fallback, probe, read_metadata
 from docpipe.operators.validate import check_upload, content_hash, validate_files
 from docpipe.plans.convert import conversion_ledger, conversion_results, convert_corpus
 from docpipe.sources.blobs import scan_files
@@ -144,6 +147,81 @@ def test_conversion_outcomes(spark):
         convert_corpus(df, "docx")
 
 
+class Facts:
+    """Knows a document's facts without its pages, which it must not be asked for."""
+
+    name = "facts"
+
+    def metadata(self, content):
+        if content.startswith(b"bad"):
+            raise ValueError("no facts")
+        return {"title": content[:4].decode("latin1"), "page_count": 7, "encrypted": content.endswith(b"!")}
+
+    def can_read(self, content):
+        return not content.startswith(b"bad")
+
+    def extract(self, content):
+        raise AssertionError("pages were asked for")
+
+
+def test_metadata_without_pages(spark):
+    df = files(spark, b"fine!", b"bad one", b"bad\xe9")
+    rows = read_metadata(df, [Facts(), "utf8"]).orderBy("path").collect()
+    assert [r.method for r in rows] == ["facts", "utf8", None]
+    assert (rows[0].metadata.title, rows[0].metadata.page_count, rows[0].metadata.encrypted) == ("fine", 7, True)
+    assert rows[1].metadata.page_count == 1 and rows[1].error is None
+    assert rows[2].error.startswith("Both extractors failed to get metadata: Failed to extract metadata: ") and rows[2].metadata is None
+    # A back end without the two methods is asked for its pages.
+    rows = read_metadata(df, [Shaky()]).orderBy("path").collect()
+    assert rows[1].metadata.page_count == 1 and rows[0].error.startswith("Failed to extract metadata")
+    for lines in (None, 2):
+        same = files(spark, b"a\nb\nc\nd", b"a\fb\n", b"", b"\n")
+        native = read_metadata(same, ["utf8", "latin1"], lines).orderBy("path").collect()
+        pages = extract_with_fallback(same, ["utf8", "latin1"], lines).orderBy("path").collect()
+        python = read_metadata(same, [Missing(), "utf8", "latin1"], lines).orderBy("path").collect()
+        counts = [r.metadata.page_count for r in native]
+        assert counts == [r.metadata.page_count for r in pages] == [r.metadata.page_count for r in python]
+
+
+class Missing:
+    name = "missing"
+
+    def extract(self, content):
+        raise ValueError("never")
+
+
+def test_probe(spark):
+    df = files(spark, b"fine", b"bad one", b"bad\xe9", b"none")
+    df = df.withColumn("content", F.when(F.col("content") != F.lit(b"none"), F.col("content")))
+    rows = probe(df, [Facts(), "utf8", Missing()]).orderBy("path").collect()
+    assert [r.readable["facts"] for r in rows] == [True, False, False, False]
+    assert [r.readable["utf8"] for r in rows] == [True, True, False, False]
+    assert not any(r.readable["missing"] for r in rows)
+
+
+def test_times_and_output_batches(spark):
+    class Slow:
+        name = "slow"
+
+        def extract(self, content):
+            time.sleep(0.002 * (content[-1] - 48))
+            return {}, [Page("x")]
+
+    df = files(spark, *[b"doc %d" % (i % 10) for i in range(200)]).coalesce(1)
+    rows = extract_with_fallback(df, [Slow()]).collect()
+    assert len({r.seconds for r in rows}) > 100 and max(r.seconds for r in rows) > 0.015
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    batches = [r.n for r in extract_with_fallback(df, [Missing(), "utf8"]).select("path").mapInArrow(sizes, "n long").collect()]
+    assert sum(batches) == 200 and len(batches) <= 3
+    done = convert_corpus(files(spark, b"%PDF-a"), "markdown", extractors=[Missing(), "utf8"]).collect()[0]
+    stamp = re.search(r"converted_at: '([^']+)'", done.content)[1]
+    assert abs((datetime.fromisoformat(stamp) - datetime.now(timezone.utc)).total_seconds()) < 600
+
+
 def test_format_per_file(spark):
     df = files(spark, b"%PDF-a", b"%PDF-b", b"%PDF-c", b"%PDF-d").withColumn(
         "output_format", F.element_at(F.array(*map(F.lit, ["text", "json", "yaml", "odt"])),

@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from docpipe.operators import access, ledger
 from docpipe.plans.convert import assign_job_ids, submit_jobs
@@ -142,9 +143,34 @@ def test_taken_ids_are_hashed_again(spark):
     taken = assign_job_ids(df, ["id"]).filter("id < 10").select("job_id")
     fresh = assign_job_ids(df, ["id"], existing=taken)
     used = {r.job_id for r in taken.collect()}
-    assert not used & {r.job_id for r in fresh.collect()}
-    with pytest.raises(RuntimeError, match="10 attempts"):
-        assign_job_ids(spark.createDataFrame([(1,), (1,)], "id bigint"), ["id"])
+    assert not used & {r.job_id for r in fresh.collect()} and fresh.count() == 50
+
+
+def test_colliding_ids(spark):
+    # Two letters have 3,844 ids, so 800 rows collide often.
+    df = spark.range(800).selectExpr("id", "id % 7 AS other")
+    stored = spark.range(400).select(F.concat(F.lit("a"), F.substring(F.md5(F.col("id").cast("string")), 1, 1)).alias("job_id"))
+    rows = assign_job_ids(df, ["id"], existing=stored, length=2).collect()
+    ids = [r.job_id for r in rows]
+    assert len(set(ids)) == 800 and not set(ids) & {r.job_id for r in stored.collect()}
+    again = assign_job_ids(df.repartition(5), ["id"], existing=stored, length=2).collect()
+    assert {r.id: r.job_id for r in again} == {r.id: r.job_id for r in rows} and rows[0].other is not None
+    twice = assign_job_ids(spark.createDataFrame([(1,), (1,), (1,), (None,)], "id bigint"), ["id"]).collect()
+    assert len({r.job_id for r in twice}) == 4
+    with pytest.raises(Exception, match="10 attempts"):
+        assign_job_ids(spark.range(80), ["id"], length=1).collect()
+
+
+def test_ids_need_no_job_while_planned(spark):
+    spark.sparkContext.setJobGroup("planning", "ids")
+    try:
+        ids = assign_job_ids(spark.range(10), ["id"], existing=spark.range(3).selectExpr("CAST(id AS STRING) AS job_id"))
+        assert ids.columns == ["id", "job_id"]
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("planning")) == []
+        assert ids.count() == 10
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("planning")) > 0
+    finally:
+        spark.sparkContext.setJobGroup("tests", "tests")
 
 
 def test_submit(spark):

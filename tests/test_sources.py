@@ -132,6 +132,10 @@ def test_collections(spark):
     assert got == {"1": (None, 5), "2": ("b", None)}
     added = collections.collection_insert(coll, spark.createDataFrame([("z",)], "name string"), "id", ["name"])
     assert added.count() == 3 and all(r.id for r in added.collect())
+    new = spark.createDataFrame([("z", None), ("z", None), ("y", "7")], "name string, id string")
+    twice = collections.collection_insert(added, new, "id", ["name"]).collect()
+    assert len({r.id for r in twice}) == 6 and {r.id for r in added.collect()} < {r.id for r in twice}
+    assert [r.id for r in twice if r.name == "y"] == ["7"]
     assert collections.collection_query(coll, {"name": "b"}, "id").collect()[0].id == "2"
     flags = collections.collection_flags(coll, updates, "id", "updated").collect()
     assert {r.id: r.updated for r in flags} == {"1": True, "9": False}
@@ -173,3 +177,18 @@ def test_shared_folder_or_an_error():
     assert shared_dir(session("spark://host:7077", "hdfs://x/y")) == "hdfs://x/y"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(session("spark://host:7077"))
+
+
+def test_result_files_all_or_none(spark, tmp_path):
+    rows = spark.range(40).repartition(4).select(F.col("id").alias("job_id"), F.concat(F.lit("text é "), F.col("id").cast("string")).alias("content"))
+    blobs.write_results(rows, f"{tmp_path}/out", layout="files")
+    names = {f.name for f in (tmp_path / "out").iterdir()}
+    assert names == {f"{i}.md" for i in range(40)} and (tmp_path / "out" / "7.md").read_text(encoding="utf-8") == "text é 7"
+    # The last rows fail after others are written: what was there stays as it was.
+    bad = rows.withColumn("content", F.when(F.col("job_id") == 39, F.raise_error(F.lit("half way")).cast("string")).otherwise(F.lit("new")))
+    with pytest.raises(Exception, match="half way"):
+        blobs.write_results(bad, f"{tmp_path}/out", layout="files")
+    assert {f.name for f in (tmp_path / "out").iterdir()} == names
+    assert (tmp_path / "out" / "7.md").read_text(encoding="utf-8") == "text é 7"
+    blobs.write_results(rows.withColumn("content", F.lit(None).cast("string")), f"{tmp_path}/out", layout="files")
+    assert (tmp_path / "out" / "7.md").read_text(encoding="utf-8") == ""

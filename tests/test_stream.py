@@ -150,6 +150,28 @@ def test_folder_of_files(spark, tmp_path):
     assert {r.batch for r in found.values()} >= {0, 1, 2}
 
 
+def test_compaction_bounds_the_files(spark, tmp_path):
+    schema = ("job_id string, seq bigint, event_time timestamp_ntz, event string, result_path string, "
+              "error_message string")
+    rows = [(f"j{i % 5}", i, START + timedelta(seconds=i), ["PENDING", "RUNNING", "COMPLETED"][i // 5 % 3], f"r{i}", None) for i in range(120)]
+    declared, out = write_parts(spark, rows, schema, f"{tmp_path}/in", 12), f"{tmp_path}/out"
+    stream = stream_job_state(source(spark, f"{tmp_path}/in", declared))
+    write_batches(stream, out, f"{tmp_path}/checkpoint", "update", compact_every=4, keys=["job_id"]).awaitTermination()
+    folders = sorted(f.name for f in (tmp_path / "out").iterdir() if f.is_dir())
+    assert "snapshot=11" in folders and "snapshot=7" in folders and "snapshot=3" not in folders
+    # Two snapshots, and the batches that the older one doesn't hold.
+    assert "batch=3" not in folders and len(folders) <= 2 + 2 * 4
+    assert len(read_batches(spark, out).inputFiles()) <= 4
+    columns = ["job_id", "status", "started_at", "completed_at", "result_path"]
+    want = fold_job_state(spark.createDataFrame(rows, schema)).select(columns).collect()
+    assert sorted(map(repr, latest_job_state(spark, out).select(columns).collect())) == sorted(map(repr, want))
+    # A snapshot without its mark is not read, and more batches follow.
+    write_parts(spark, [("j9", 500, START, "RUNNING", None, None)], schema, f"{tmp_path}/in", 1)
+    (tmp_path / "out" / "snapshot=99").mkdir()
+    write_batches(stream, out, f"{tmp_path}/checkpoint", "update").awaitTermination()
+    assert {r.job_id for r in latest_job_state(spark, out).collect()} == {*(f"j{i}" for i in range(5)), "j9"}
+
+
 class Handle:
     """State kept in dicts; counts the slices that are read."""
 
