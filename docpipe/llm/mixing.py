@@ -70,30 +70,44 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST
     return rows.withColumn("target", target).withColumn("rate", rate).select("source", "source_size", "target", "rate")
 
 
+#: What the plan adds to documents, under names that no column of theirs has.
+ADDED = {"size": "__mix_size", "source_size": "__mix_source_size", "target": "__mix_target", "copies": "__mix_copies"}
+
+
+def _planned(docs: DataFrame, weights: Sequence[int], most: int, seed: str) -> DataFrame:
+    """``docs`` with all its columns and those of ``ADDED``."""
+    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+    sums = docs.select("source", words(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
+    rates = materialize(targets(sums, weights, most).select(
+        key.alias("__mix_key"), F.col("source_size").alias(ADDED["source_size"]), F.col("target").alias(ADDED["target"]),
+        F.col("rate").alias("__mix_rate")), "rates")
+    sized = docs.withColumns({ADDED["size"]: words(F.col("text")), "__mix_key": key})
+    joined = sized.join(rates, "__mix_key").drop("__mix_key")
+    whole = F.floor("__mix_rate")
+    extra = (unit(F.col("doc_id"), seed) < F.col("__mix_rate") - whole).cast("int")
+    return joined.withColumn(ADDED["copies"], F.least(F.lit(most), whole + extra).cast("int")).drop("__mix_rate")
+
+
 def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
     """``docs`` (doc_id, text, source; other columns stay) with size,
     source_size, target and ``copies``: the whole part of the source's rate,
     and one more with the rest as probability, drawn from doc_id and seed.
+    Columns of ``docs`` with one of these four names are replaced.
 
     Null and blank texts have size 0 and the copies of their source's rate.
     A null source is a source of its own, the last. Repeated rows are drawn
     alike. Sources are summed before the shuffle and joined back by key, as a
     broadcast only where Spark knows the table to be small; Spark splits a hot
     source's part of the join. No rows give no rows."""
-    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    sized = docs.withColumn("size", words(F.col("text")))
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rates = materialize(targets(sums, weights, most).select(key.alias("__source"), "source_size", "target", "rate"), "rates")
-    joined = sized.withColumn("__source", key).join(rates, "__source").drop("__source")
-    whole = F.floor("rate")
-    extra = (unit(F.col("doc_id"), seed) < F.col("rate") - whole).cast("int")
-    return joined.withColumn("copies", F.least(F.lit(most), whole + extra).cast("int")).drop("rate")
-
-
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of the mix: each document as often as its copies, with the
-    columns of ``docs``."""
-    rows = mix_plan(docs, **options).where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    planned = _planned(docs.drop(*ADDED), weights, most, seed)
+    return planned.withColumnsRenamed({private: name for name, private in ADDED.items()})
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
+    """The rows of the mix: each document as often as its copies, with all
+    columns of ``docs`` as they are, whatever their names."""
+    planned = _planned(docs, weights, most, seed).where(F.col(ADDED["copies"]) > 0)
+    rows = planned.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col(ADDED["copies"]))))
     return rows.select(*docs.columns)
 
 

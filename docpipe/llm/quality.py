@@ -79,11 +79,12 @@ def _featured(batches):
 
 def train_quality(docs: DataFrame, labels: DataFrame, target: str = "quality", bound: int = TRAIN_ROWS) -> Gam:
     """Fits the model on the texts of a bounded sample of labelled rows. The
-    sample has at most ``bound`` ids and is broadcast to the documents."""
+    sample has at most ``bound`` ids and is broadcast to the documents. Of rows
+    that repeat an id the one with the least features is learned from."""
     chosen = F.broadcast(training_rows(labels, target, bound))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
-    sample = rows.select("doc_id", "text").mapInArrow(_featured, "doc_id long, x array<double>").join(chosen, "doc_id").select("doc_id", "x", "label")
-    sample = sorted(sample.limit(2 * bound).collect(), key=lambda r: (r.doc_id, r.x))
+    featured = rows.select("doc_id", "text").mapInArrow(_featured, "doc_id long, x array<double>")
+    sample = sorted(featured.groupBy("doc_id").agg(F.min("x").alias("x")).join(chosen, "doc_id").collect(), key=lambda r: r.doc_id)
     x = np.array([r.x for r in sample], float).reshape(-1, len(FEATURES))
     return fit(x, np.array([r.label for r in sample], float))
 

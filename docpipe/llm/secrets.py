@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -20,25 +21,74 @@ class Rule:
     the group of ``value`` in it, must have ``least`` characters; a match that
     fails is dropped but still taken, so nothing inside it matches. Lengths
     stand there rather than in ``scan`` where a rule can start anew inside its
-    own run: counting those runs would square the automaton. ``tail`` is matched
-    right behind a match and belongs to it."""
+    own run: counting those runs would square the automaton. ``tail`` gives the
+    end of what follows a match and belongs to it, from the text's bytes, the
+    match's end and a dict that one text's matches share."""
 
     kind: str
     scan: str
     ignore_case: bool = False
     value: str | None = None
     least: int = 0
-    tail: str | None = None
+    tail: Callable[[bytes, int, dict], int] | None = None
 
 
 _KEYWORDS = "(password|passwd|secret|token|api_?key)"
 _RUN = "[A-Za-z0-9+/_.=-]+"
 _EITHER_CASE = re.sub("[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", _KEYWORDS)
 
-#: The body of a key: header lines and base64 lines, with line ends that may be
-#: escaped or indented, up to the END line; without one, the base64 that follows.
-_KEY_BODY = (r"(?:\s*[A-Za-z0-9-]+: [^\r\n]*[\r\n]+)*[A-Za-z0-9+/=\s\\]*-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----"
-             r"|(?:[\r\n]+[A-Za-z0-9-]+: [^\r\n]*)*(?:[\r\n]+[ \t]*)?[A-Za-z0-9+/=\r\n\\]*")
+_HEADER = re.compile(rb"[A-Za-z0-9-]+: [^\r\n]*")
+_SPACES, _BREAKS, _INDENT = re.compile(rb"\s*"), re.compile(rb"[\r\n]*"), re.compile(rb"[ \t]*")
+_LINES, _BODY = re.compile(rb"[A-Za-z0-9+/=\s\\]*"), re.compile(rb"[A-Za-z0-9+/=\r\n\\]*")
+_END = re.compile(rb"-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----")
+
+
+def _header_and_breaks(data: bytes, at: int) -> int | None:
+    header = _HEADER.match(data, _SPACES.match(data, at).end())
+    end = _BREAKS.match(data, header.end()).end() if header else at
+    return end if header and end > header.end() else None
+
+
+def _breaks_and_header(data: bytes, at: int) -> int | None:
+    start = _BREAKS.match(data, at).end()
+    header = _HEADER.match(data, start) if start > at else None
+    return header.end() if header else None
+
+
+def _closed(data: bytes, at: int) -> int | None:
+    closing = _END.match(data, _LINES.match(data, at).end())
+    return closing.end() if closing else None
+
+
+def _open(data: bytes, at: int) -> int:
+    line = _BREAKS.match(data, at).end()
+    return _BODY.match(data, _INDENT.match(data, line).end() if line > at else at).end()
+
+
+def _key_end(data: bytes, at: int, step: Callable, body: Callable, known: dict) -> int | None:
+    """What ``body`` gives behind as many ``step`` as there are. Places that
+    were passed before are known, so a text full of keys is read once."""
+    passed = []
+    while at not in known:
+        passed.append(at)
+        after = step(data, at)
+        if after is None:
+            known[at] = body(data, at)
+        else:
+            at = after
+    known.update(dict.fromkeys(passed, known[at]))
+    return known[at]
+
+
+def key_body(data: bytes, end: int, known: dict) -> int:
+    """The end of a private key whose BEGIN line ends at ``end``: header lines
+    (``Name: value``) and base64 lines, with line ends that may be escaped or
+    indented, up to the END line; without one, the base64 that follows. Each
+    pattern reads a run that the next can't start in, so nothing is tried twice."""
+    closed = _key_end(data, end, _header_and_breaks, _closed, known.setdefault("closed", {}))
+    return _key_end(data, end, _breaks_and_header, _open, known.setdefault("open", {})) if closed is None else closed
+
+
 #: The three base kinds and their lengths.
 BASE = (
     Rule("assign", rf"""{_EITHER_CASE}["']?\x20*[:=]\x20*["']?{_RUN}""", value=rf"""["']?\x20*[:=]\x20*["']?({_RUN})\Z""", least=12),
@@ -47,7 +97,7 @@ BASE = (
 )
 #: Published formats of further credentials.
 MORE = (
-    Rule("private_key", "-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY-----", tail=_KEY_BODY),
+    Rule("private_key", "-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY-----", tail=key_body),
     Rule("forge_token", "(ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]+", least=40),
     Rule("chat_token", "xox[abprs]-[A-Za-z0-9-]+", least=15),
     Rule("cloud_key", "AIza[A-Za-z0-9_-]+", least=39),
@@ -62,19 +112,18 @@ class SecretFinder:
         self.rules = rules
         self.scanner = Scanner([(r.scan, r.ignore_case) for r in rules])
         self.values = [re.compile(r.value.encode()) if r.value else None for r in rules]
-        self.tails = [re.compile(r.tail.encode()) if r.tail else None for r in rules]
 
     def find(self, text: str | None) -> list[tuple[str, int, int]]:
         """(kind, start, end) in code points, by start and then rule order."""
         if not text:
             return []
         data, rules = text.encode("utf-8", "surrogatepass"), self.rules
-        out = []
+        out, known = [], {}
         for rule, start, end in self.scanner.spans(data):
             match = self.values[rule].search(data[start:end]) if self.values[rule] else None
             if (len(match[1]) if match else end - start) >= rules[rule].least:
-                if self.tails[rule] and (tail := self.tails[rule].match(data, end)):
-                    end = tail.end()
+                if rules[rule].tail:
+                    end = rules[rule].tail(data, end, known)
                 out.append((start, rule, end))
         if len(data) != len(text):
             out = [(len(data[:s].decode("utf-8", "surrogatepass")), r, len(data[:e].decode("utf-8", "surrogatepass"))) for s, r, e in out]

@@ -174,10 +174,12 @@ def learn_lexicon(sample: DataFrame, size: int = LEXICON_TERMS) -> dict[str, flo
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, target: str = "toxic", bound: int = TRAIN_ROWS,
                    exceptions: tuple[str, ...] = EXCEPTIONS) -> ToxicModel:
-    """Learns lexicon and curve from at most ``bound`` labelled documents."""
+    """Learns lexicon and curve from at most ``bound`` labelled documents. Of
+    rows that repeat an id all count in the lexicon, the least toxic one in the
+    curve."""
     chosen = F.broadcast(training_rows(labels, target, bound))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = texts.join(chosen, "doc_id").select("text", "label")
+    sample = texts.join(chosen, "doc_id").select("doc_id", "text", "label")
     model = ToxicModel(learn_lexicon(sample), (-2.0, 0.0, 0.0), exceptions)
     held = share(docs.sparkSession, model)
 
@@ -185,10 +187,12 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, target: str = "toxic", bo
         toxic = once(held)
         for batch in slices(batches):
             m = [toxic.measure(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in m], pa.float64()), pa.array([n for _, n in m], pa.int64()),
-                                              batch.column("label")], ["weight", "words", "label"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([w for w, _ in m], pa.float64()),
+                                              pa.array([n for _, n in m], pa.int64()), batch.column("label")],
+                                             ["doc_id", "weight", "words", "label"])
 
-    rows = sample.mapInArrow(measured, "weight double, words long, label int").limit(2 * bound).collect()
+    least = F.min(F.struct("weight", "words", "label")).alias("r")
+    rows = sample.mapInArrow(measured, "doc_id long, weight double, words long, label int").groupBy("doc_id").agg(least).select("r.*").collect()
     rows = sorted((r.weight, r.words, r.label) for r in rows)
     model.curve = _curve(signals([r[:2] for r in rows]), np.array([r[2] for r in rows], float))
     return model

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -20,7 +21,7 @@ from docpipe.llm.labelled import training_rows
 from docpipe.llm.licenses import CONTAINED, GROUPS, TEMPLATES, LicenseFinder, known_licenses, license_shingles, scan_licenses
 from docpipe.llm.mixing import mix_plan, mix_sizes, mixed_documents
 from docpipe.llm.quality import FEATURES, features, score_quality
-from docpipe.llm.secrets import SecretFinder, redact_secrets, secret_digest
+from docpipe.llm.secrets import SecretFinder, key_body, redact_secrets, secret_digest
 from docpipe.llm.toxicity import ToxicModel, fold, score_toxicity, train_toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, component_id string"
@@ -205,6 +206,45 @@ def test_mixing(spark):
     assert mix_sizes(docs.limit(0)).count() == 0
 
 
+def test_mixing_keeps_clashing_columns(spark):
+    names = ["size", "source_size", "target", "rate", "copies", "place", "weight", "docs"]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(i, "w " * (i % 9), "abc"[i % 3], *(f"{n}{i}" for n in names)) for i in range(300)], schema)
+    plain = docs.select("doc_id", "text", "source")
+    mixed = mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    wanted = {r.doc_id: r for r in mix_plan(plain).collect()}
+    assert Counter(map(tuple, mixed.collect())) == Counter({tuple(r): wanted[r.doc_id].copies for r in docs.collect() if wanted[r.doc_id].copies})
+    got = {r.doc_id: (r.size, r.source_size, r.target, r.copies, r.rate) for r in mix_plan(docs).collect()}
+    assert got == {i: (r.size, r.source_size, r.target, r.copies, f"rate{i}") for i, r in wanted.items()}
+
+
+@pytest.mark.parametrize("text", [
+    "-----BEGIN PRIVATE KEY-----\n" + "a: b\n\n" * 20_000,
+    "-----BEGIN PRIVATE KEY-----\n" + "a: -----BEGIN PRIVATE KEY-----\n" * 10_000,
+    "-----BEGIN PRIVATE KEY-----\n" * 10_000 + "A" * 100_000,
+    "-----BEGIN PRIVATE KEY-----" + " \n" * 100_000 + "x" * 100_000 + ":",
+    "-----BEGIN PRIVATE KEY-----\n" + "a: -----BEGIN PRIVATE KEY-----\n" * 5_000 + "QQ==\n" * 50_000,
+])
+def test_hostile_keys_take_linear_time(text):
+    finder = SecretFinder()
+    finder.find("warm up")
+    start = time.perf_counter()
+    spans = [s for s in finder.find(text) if s[0] == "private_key"]
+    assert spans and time.perf_counter() - start < 3
+
+
+def test_keys_end_where_the_pattern_says():
+    # The grammar as a pattern that tries everything, on short texts.
+    body = (r"(?:\s*[A-Za-z0-9-]+: [^\r\n]*[\r\n]+)*[A-Za-z0-9+/=\s\\]*-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----"
+            r"|(?:[\r\n]+[A-Za-z0-9-]+: [^\r\n]*)*(?:[\r\n]+[ \t]*)?[A-Za-z0-9+/=\r\n\\]*")
+    pattern, r = re.compile(body.encode()), random.Random(3)
+    parts = ["\n", "\r\n", " ", "\t", "A: b", "X-1: y z", "QQ==", "MIIE+/", "\\n", "-----END PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", ":", "!"]
+    for _ in range(4000):
+        data = "".join(r.choices(parts, k=r.randrange(9))).encode()
+        assert key_body(data, 0, {}) == pattern.match(data).end(), data
+
+
 def test_quality_features_and_model():
     assert all(len(features(t)) == len(FEATURES) and np.isfinite(features(t)).all() for _, t in ODD)
     rng = np.random.default_rng(1)
