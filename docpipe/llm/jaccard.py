@@ -5,20 +5,23 @@
 2. For the rest, equal sets collapse to one representative, the document
    frequency of every shingle is counted exactly, and shingles are ordered
    rare first. Two linked sets share their rarest shingles.
-3. Small sets enumerate all 2-subsets of their prefix as keys; large sets scan
-   the inverted lists of single shingles, in which small sets near the boundary
-   also stand. The boundary is the size with the least estimated cost.
-4. Candidates that one list brings together are first compared with two
-   centres of the list. Then the sets of a list that are not in its largest
-   component are compared with two members of it, twice with other members.
-   Last, of every two components that still meet in a list of single shingles,
-   all sets are compared, in packs. So a large group of near copies costs its
-   size, not its square, as long as it hangs together; no component is missed.
-5. Every entry of a list knows the largest partner that its set could have if
-   the list's shingle were the first one both share: only what comes after it
-   in the common order can be shared too. Components meet in a list only where
-   each has a set within reach of the other. A linked pair passes at the first
-   shingle it shares, so this loses none.
+3. Small sets enumerate all 2-subsets of their prefix as keys and meet other
+   small sets under these keys alone. Large sets scan the inverted lists of
+   single shingles, in which small sets near the boundary also stand; there a
+   pair counts only if one of the two is large. The boundary is the size with
+   the least cost: keys enumerated and entries scanned.
+4. Every entry of a list knows the largest partner that its set could have if
+   the key were the first one that both share: only what comes after it in the
+   common order can be shared too. Entries without a partner in reach are
+   dropped. A linked pair passes at the first key it shares, so this loses none.
+   Near copies share most of their keys, so most lists have the same entries:
+   of equal lists one stays.
+5. The sets of a list are first compared with two centres of the list. Then, in
+   lists that still hold several components, the sets outside the largest one
+   are compared with two members of it, twice. Last, of every two components
+   that still meet in a list, all sets are compared, in packs. So a large group
+   of near copies costs its size, not its square, as long as it hangs together;
+   no component is missed.
 6. Links are counted at the end: both ends of a link are in one component and of
    nearly one size, so the sets of a component are dealt into tiles by size, and
    all pairs of tiles of equal or adjacent sizes are multiplied. A tile pair
@@ -47,6 +50,8 @@ from docpipe.llm.shingles import mix, shingle_set
 
 #: Keys that a task gathers before it counts and sends them.
 BLOCK_KEYS = 1 << 18
+#: Bytes of one bucket of the first filter and of the frequencies, about.
+BUCKET_BYTES = 1 << 25
 LOCAL = np.iinfo(np.int64).min
 #: Bytes of a set's signature.
 SIG = 16
@@ -202,41 +207,38 @@ def _block_counts(buckets: int):
 
 
 def _frequencies(group: pa.Table) -> pa.Table:
-    """Of one bucket: for each block, its keys in two or more sets with the
-    number of sets."""
+    """Of one bucket: for each block, in how many sets each of its keys is."""
     lengths = [len(k) // 8 for k in group["keys"].to_pylist()]
     keys, counts = _joined(group["keys"], np.uint64), _joined(group["counts"], np.int32)
-    blocks = np.repeat(np.arange(len(lengths)), lengths)
     order = np.argsort(keys, kind="stable")
     starts = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
     total = np.add.reduceat(counts[order].astype(np.int64), starts)
     df = np.empty(len(keys), np.int64)
     df[order] = np.repeat(total, np.diff(np.append(starts, len(keys))))
-    keep = df > 1
-    keys, df, blocks = keys[keep], df[keep], blocks[keep]
-    bounds = np.searchsorted(blocks, np.arange(len(lengths) + 1))
-    rows = [(b, i, j) for b, i, j in zip(group["block"].to_pylist(), bounds[:-1], bounds[1:]) if j > i]
+    end = np.cumsum(lengths)
     return pa.table({
-        "block": pa.array([b for b, _, _ in rows], pa.int64()),
-        "keys": pa.array([keys[i:j].tobytes() for _, i, j in rows], pa.binary()),
-        "df": pa.array([df[i:j].tobytes() for _, i, j in rows], pa.binary()),
+        "block": group["block"], "bucket": group["bucket"],
+        "df": pa.array([df[j - n : j].tobytes() for n, j in zip(lengths, end)], pa.binary()),
     })
 
 
-def _order(limit: Threshold):
+def _order(limit: Threshold, buckets: int):
     """Each set that can have a partner: its shared shingles, and the shared
-    part of its prefix for 2-subsets, rarest first."""
+    part of its prefix for 2-subsets, rarest first. ``scan``: entries it meets
+    in the inverted lists of its prefix, at most."""
     def work(batches):
         for batch in batches:
             out = []
-            for reps, sigs, sizes, keys, found, df in zip(*(batch.column(c).to_pylist() for c in ("reps", "sigs", "sizes", "keys", "found", "df"))):
-                found, df = np.frombuffer(b"".join(found), np.uint64), np.frombuffer(b"".join(df), np.int64)
-                order = np.argsort(found)
-                found, df = found[order], df[order]
+            for reps, sigs, sizes, keys, found in zip(*(batch.column(c).to_pylist() for c in ("reps", "sigs", "sizes", "keys", "found"))):
                 keys, sizes = np.frombuffer(keys, np.uint64), np.frombuffer(sizes, np.int64)
-                at = np.minimum(np.searchsorted(found, keys), len(found) - 1)
-                shared = found[at] == keys
+                every, at = np.unique(keys, return_inverse=True)
+                order, names, bounds = _split(every, buckets)
+                df = np.empty(len(every), np.int64)
+                for f in found:
+                    k = np.searchsorted(names, f["bucket"])
+                    df[order[bounds[k] : bounds[k + 1]]] = np.frombuffer(f["df"], np.int64)
                 freq = df[at]
+                shared = freq > 1
                 end = np.cumsum(sizes)
                 for k, (rep, n, stop) in enumerate(zip(np.frombuffer(reps, np.int64).tolist(), sizes.tolist(), end.tolist())):
                     own = shared[stop - n : stop]
@@ -245,7 +247,7 @@ def _order(limit: Threshold):
                     if len(mine) >= need:
                         first = np.lexsort((mine, own_df))[: len(mine) - need + 2]
                         out.append((rep, sigs[SIG * k : SIG * (k + 1)], n, mine.tobytes(), mine[first].tobytes(), len(mine), len(first),
-                                    int(np.minimum(own_df[first] - 1, MET).sum())))
+                                    int((own_df[first] - 1).sum())))
             columns = zip(*out) if out else [[]] * 8
             kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -257,17 +259,14 @@ def _order(limit: Threshold):
 
 #: Rounds with members of the largest component of each list.
 OUTER_TURNS = 2
-#: Other sets of one list that a set is compared with at most, before the proof:
-#: two in every turn. This, not the list's length, is what a scan costs.
-MET = 2 * (1 + OUTER_TURNS)
 #: Steps of the cost table per doubling of the set size.
 STEPS = 8
 
 
-def boundary(sets: DataFrame) -> int:
-    """The largest size of a small set: the least total of 2-subsets
-    enumerated by small sets and meetings of large ones in their lists. The
-    costs are summed by size class, of which there are ``STEPS`` per doubling."""
+def boundary(sets: DataFrame) -> tuple[int, int]:
+    """The largest size of a small set: the least total of 2-subsets that small
+    sets enumerate and entries that large ones meet in their lists; and that
+    total. The costs are summed by size class, ``STEPS`` per doubling."""
     step = F.floor(F.log2(F.col("n").cast("double")) * STEPS)
     rows = sets.groupBy(step.alias("step")).agg(
         F.max("n").alias("n"), F.sum(F.col("p") * (F.col("p") - 1) / 2).alias("subsets"), F.sum("scan").alias("scan"),
@@ -277,46 +276,144 @@ def boundary(sets: DataFrame) -> int:
         cost += r.subsets - r.scan
         if cost < best:
             best, at = cost, r.n
-    return at
+    return at, int(best)
 
 
-#: Kinds of keys: single shingles for the proof only or for all, and 2-subsets.
-SINGLE, MAIN, SUBSET = range(3)
+#: Kinds of keys: single shingles and 2-subsets.
+MAIN, SUBSET = range(2)
+#: Keys of one bucket, about; entries of one row of a list.
+BUCKET_KEYS, LIST_ROW = 1 << 20, 1 << 12
 #: Sets that are compared at once, on either side.
 PACK = 256
 
 
-def _postings(limit: Threshold, small: int):
-    """Keys under which sets meet: 2-subsets of small sets; single shingles of
-    all sets, ``main`` for large ones and small ones that a large one could
-    match, others for the proof at the end only. ``reach`` is the size of the
-    largest partner that shares nothing rarer than the key."""
+def _postings(limit: Threshold, small: int, buckets: int):
+    """Keys under which sets meet, in blocks by bucket: 2-subsets of small sets;
+    single shingles of large sets and of small ones that a large one could
+    match. A set too small to share two shingles with a partner has no 2-subset
+    and counts as large. ``reach``, in steps of n / (2 percent) rounded up, is
+    the size of the largest partner that shares nothing before the key."""
+    names = ["kind", "bucket", "keys", "reach", "reps", "sizes", "counts"]
+    tiny = 100 // limit.percent
+
+    def block(kind, held):
+        reps, sizes, keys, reaches = zip(*held)
+        owner, every, reach = np.repeat(np.arange(len(reps)), [len(k) for k in keys]), np.concatenate(keys), np.concatenate(reaches)
+        order, found, bounds = _split(every, buckets)
+        owner, every, reach = owner[order], every[order], reach[order]
+        reps, sizes, rows = np.array(reps, np.int64), np.array(sizes, np.int64), []
+        for name, i, j in zip(found, bounds[:-1], bounds[1:]):
+            own, counts = np.unique(owner[i:j], return_counts=True)
+            rows.append((kind, int(name), every[i:j].tobytes(), reach[i:j].tobytes(), reps[own].tobytes(), sizes[own].tobytes(), counts.astype(np.int32).tobytes()))
+        kinds = (pa.int32(), pa.int32()) + (pa.binary(),) * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
     def work(batches):
+        held, size = ([], []), [0, 0]
         for batch in batches:
-            keys, reps, sizes, kinds, reaches = [], [], [], [], []
             for rep, n, m, prefix in zip(*(batch.column(c).to_pylist() for c in ("rep", "n", "m", "prefix"))):
                 prefix = np.frombuffer(prefix, np.uint64)
-                mine = [prefix[: m - limit.overlap(n) + 1]]
-                left = [m - np.arange(len(mine[0]))]
-                if n <= small:
+                is_small = tiny < n <= small
+                made = []
+                if not is_small or n * 100 >= (small + 1) * limit.percent or n * limit.percent <= tiny * 100:
+                    single = prefix[: m - limit.overlap(n) + 1]
+                    made.append((MAIN, single, m - np.arange(len(single))))
+                if is_small:
                     i, j = np.triu_indices(len(prefix), 1)
                     low, high = np.minimum(prefix[i], prefix[j]), np.maximum(prefix[i], prefix[j])
-                    mine.append(mix(low * np.uint64(3) + high))
-                    left.append(m - j + 1)
-                main = n > small or n * 100 >= (small + 1) * limit.percent
-                kinds += [np.full(len(mine[0]), MAIN if main else SINGLE, np.int32), np.full(sum(map(len, mine[1:])), SUBSET, np.int32)]
-                mine = np.concatenate(mine)
-                keys.append(mine)
-                reps.append(np.full(len(mine), rep, np.int64))
-                sizes.append(np.full(len(mine), n, np.int64))
-                reaches.append(limit.reach(np.concatenate(left), n).astype(np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(reps)), pa.array(np.concatenate(sizes)),
-                     pa.array(np.concatenate(kinds)), pa.array(np.concatenate(reaches))],
-                    ["key", "rep", "n", "kind", "reach"])
+                    made.append((SUBSET, mix(low * np.uint64(3) + high), m - j + 1))
+                for kind, keys, left in made:
+                    reach = np.maximum(limit.reach(left, n), 0)
+                    held[kind].append((rep, n, keys, (-(-reach * 2 * limit.percent // n)).astype(np.uint8)))
+                    size[kind] += len(keys)
+                    if size[kind] >= BLOCK_KEYS:
+                        yield block(kind, held[kind])
+                        held[kind].clear()
+                        size[kind] = 0
+        for kind in (MAIN, SUBSET):
+            if size[kind]:
+                yield block(kind, held[kind])
+
+    return work, "kind int, bucket int, keys binary, reach binary, reps binary, sizes binary, counts binary"
+
+
+def _others(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each entry the greatest value of the other entries of its list."""
+    group = np.repeat(np.arange(len(starts)), counts)
+    top = np.maximum.reduceat(values, starts)
+    hit = np.flatnonzero(values == top[group])
+    first = hit[np.unique(group[hit], return_index=True)[1]]
+    rest = values.copy()
+    rest[first] = np.iinfo(np.int64).min
+    out = top[group]
+    out[first] = np.maximum.reduceat(rest, starts)
+    return out
 
-    return work
+
+def _lists(limit: Threshold, small: int):
+    """Of one bucket: the lists of two or more sets, one of those with the same
+    entries, in rows of bounded size. Entries without a partner go."""
+    tiny = 100 // limit.percent
+    schema = pa.schema([("list", pa.int64()), ("part", pa.int32()), ("main", pa.bool_()), ("reps", pa.binary()), ("sizes", pa.binary())])
+
+    def work(group: pa.Table) -> pa.Table:
+        kind = group["kind"][0].as_py()
+        counts = _joined(group["counts"], np.int32)
+        keys, reach = _joined(group["keys"], np.uint64), _joined(group["reach"], np.uint8).astype(np.int64)
+        reps, n = np.repeat(_joined(group["reps"], np.int64), counts), np.repeat(_joined(group["sizes"], np.int64), counts)
+        order = np.lexsort((reps, n, keys))
+
+        def grouped():
+            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+            return starts, np.diff(np.append(starts, len(keys)))
+
+        keys, reps, n, reach = keys[order], reps[order], n[order], reach[order]
+        reach = reach * n // (2 * limit.percent)
+        starts, counts = grouped()
+        keep = np.repeat(counts > 1, counts)
+        keys, reps, n, reach = keys[keep], reps[keep], n[keep], reach[keep]
+        starts, counts = grouped()
+        if len(keys):
+            keep = (reach >= -_others(-n, starts, counts)) & (n <= _others(reach, starts, counts))
+            if kind == MAIN:
+                large = (n > small) | (n <= tiny)
+                keep &= np.repeat(np.logical_or.reduceat(large, starts), counts)
+            keys, reps, n = keys[keep], reps[keep], n[keep]
+            starts, counts = grouped()
+            keep = np.repeat(counts > 1, counts)
+            keys, reps, n = keys[keep], reps[keep], n[keep]
+            starts, counts = grouped()
+        rows = []
+        if len(keys):
+            entries = mix(mix(reps.view(np.uint64) + np.uint64(kind + 1)) + n.astype(np.uint64))
+            names = mix(np.add.reduceat(entries, starts) + counts.astype(np.uint64)).view(np.int64)
+            _, first = np.unique(names, return_index=True)
+            for k in first:
+                for part, i in enumerate(range(starts[k], starts[k] + counts[k], LIST_ROW)):
+                    j = min(i + LIST_ROW, starts[k] + counts[k])
+                    rows.append((int(names[k]), part, kind == MAIN, reps[i:j].tobytes(), n[i:j].tobytes()))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, schema.types)], schema=schema)
+
+    return work, "list long, part int, main boolean, reps binary, sizes binary"
+
+
+def _entries(batches):
+    for batch in batches:
+        for name, main, reps, sizes in zip(*(batch.column(c).to_pylist() for c in ("list", "main", "reps", "sizes"))):
+            reps = np.frombuffer(reps, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(reps), name)), pa.array(np.full(len(reps), main)), pa.array(reps),
+                                              pa.array(np.frombuffer(sizes, np.int64))], ["key", "main", "rep", "n"])
+
+
+def _list_table(ordered: DataFrame, limit: Threshold) -> tuple[DataFrame, int]:
+    """key, main, rep, n: the lists in which sets meet; and the boundary."""
+    small, cost = boundary(ordered)
+    buckets = max(1, -(-cost // BUCKET_KEYS))
+    work, schema = _postings(limit, small, buckets)
+    made, kept = _lists(limit, small)
+    lists = ordered.select("rep", "n", "m", "prefix").mapInArrow(work, schema).groupBy("kind", "bucket").applyInArrow(made, kept)
+    lists = lists.groupBy("list", "part").agg(F.first("main").alias("main"), F.first("reps").alias("reps"), F.first("sizes").alias("sizes"))
+    return materialize(lists.mapInArrow(_entries, "key long, main boolean, rep long, n long"), "lists"), small
 
 
 def _verify(limit: Threshold):
@@ -334,17 +431,27 @@ def _verify(limit: Threshold):
 
 
 def _links(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
+    """The pairs that are links. Pairs are written first, so that Spark knows
+    their size, and only sets that a pair names travel."""
+    pairs = materialize(pairs, "pairs")
     keys = sets.select("rep", "keys", "n")
     left = keys.select(F.col("rep").alias("a"), F.col("keys").alias("ka"), F.col("n").alias("na"))
     right = keys.select(F.col("rep").alias("b"), F.col("keys").alias("kb"), F.col("n").alias("nb"))
+    right = right.join(pairs.select("b"), "b", "left_semi")
     both = pairs.join(left, "a").join(right, "b")
-    return materialize(both.mapInArrow(_verify(limit), "a long, b long, shared long"), "links")
+    found = materialize(both.mapInArrow(_verify(limit), "a long, b long, shared long"), "links")
+    discard(pairs)
+    return found
 
 
 def _fits(n: str, m: str, limit: Threshold):
     return F.least(n, m) * 100 >= F.greatest(n, m) * limit.percent
 
 
+def _large(n, small: int, limit: Threshold):
+    return (n > small) | (n <= 100 // limit.percent)
+
+
 def _drawn(turn: int):
     """Two sets of a list. In the first turn the same ones for all lists that
     hold them, so that few different pairs come out; later, when few sets are
@@ -356,35 +463,34 @@ def _drawn(turn: int):
     return F.array(draw(2 * turn), draw(2 * turn + 1)).alias("s")
 
 
-def _pairs_with(met: DataFrame, limit: Threshold) -> DataFrame:
-    met = met.select("rep", "n", F.explode(F.array_distinct("s")).alias("s")).select("rep", "n", "s.c", "s.cn")
-    met = met.where((F.col("rep") != F.col("c")) & _fits("n", "cn", limit))
+def _pairs_with(met: DataFrame, limit: Threshold, small: int) -> DataFrame:
+    met = met.select("main", "rep", "n", F.explode(F.array_distinct("s")).alias("s")).select("main", "rep", "n", "s.c", "s.cn")
+    through = ~F.col("main") | _large(F.col("n"), small, limit) | _large(F.col("cn"), small, limit)
+    met = met.where((F.col("rep") != F.col("c")) & _fits("n", "cn", limit) & through)
     return met.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
 
 
-def _central_pairs(postings: DataFrame, limit: Threshold) -> DataFrame:
+def _central_pairs(lists: DataFrame, limit: Threshold, small: int) -> DataFrame:
     """Each set with two sets of each of its lists."""
-    lists = postings.where(F.col("kind") >= MAIN)
-    centres = lists.groupBy("key").agg(_drawn(0), F.count("*").alias("sets")).where("sets > 1").select("key", "s")
-    return _pairs_with(lists.join(centres, "key"), limit)
+    centres = lists.groupBy("key").agg(_drawn(0)).select("key", "s")
+    return _pairs_with(lists.join(centres, "key"), limit, small)
 
 
-def _labelled(postings: DataFrame, roots: DataFrame) -> DataFrame:
+def _open_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """The lists that hold several components, with the component of each entry."""
     roots = roots.select(F.col("node").alias("rep"), "root")
-    singles = postings.where(F.col("kind") != SUBSET)
-    return singles.join(roots, "rep", "left").select("key", "rep", "n", "reach", F.coalesce("root", "rep").alias("label"))
+    named = lists.drop("label").join(roots, "rep", "left").select("key", "main", "rep", "n", F.coalesce("root", "rep").alias("label"))
+    several = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    return materialize(named.join(several, "key", "left_semi"), "open-lists")
 
 
-def _outer_pairs(lists: DataFrame, turn: int, limit: Threshold) -> DataFrame:
-    """The sets of a list that are not in its largest component but within
-    reach of it, with two members of that component."""
-    by_label = lists.groupBy("key", "label").agg(
-        _drawn(turn), F.count("*").alias("sets"), F.min("n").alias("low"), F.max("reach").alias("high"))
-    most = by_label.groupBy("key").agg(
-        F.max(F.struct("sets", "label", "s", "low", "high")).alias("m"), F.count("*").alias("labels")).where("labels > 1")
-    most = most.select("key", F.col("m.label").alias("major"), "m.s", "m.low", "m.high")
-    near = (F.col("label") != F.col("major")) & (F.col("n") <= F.col("high")) & (F.col("low") <= F.col("reach"))
-    return _pairs_with(lists.join(most, "key").where(near), limit)
+def _outer_pairs(lists: DataFrame, turn: int, limit: Threshold, small: int) -> DataFrame:
+    """The sets of a list that are not in its largest component, with two
+    members of that component."""
+    by_label = lists.groupBy("key", "label").agg(_drawn(turn), F.count("*").alias("sets"))
+    most = by_label.groupBy("key").agg(F.max(F.struct("sets", "label", "s")).alias("m"))
+    most = most.select("key", F.col("m.label").alias("major"), "m.s")
+    return _pairs_with(lists.join(most, "key").where("label <> major"), limit, small)
 
 
 def _pack(group: pa.Table) -> pa.Table:
@@ -417,12 +523,14 @@ def _verify_packs(limit: Threshold):
     return work
 
 
-def _other_links(lists: DataFrame, sets: DataFrame, roots: DataFrame, limit: Threshold) -> DataFrame:
+def _other_links(lists: DataFrame, sets: DataFrame, roots: DataFrame, limit: Threshold, small: int) -> DataFrame:
     """Links between components that meet in a list: all their sets."""
-    here = lists.groupBy("key", "label").agg(F.min("n").alias("low"), F.max("reach").alias("high"))
-    there = here.select("key", F.col("label").alias("label2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    fits = (F.col("low2") <= F.col("high")) & (F.col("low") <= F.col("high2"))
-    pairs = materialize(here.join(there, "key").where((F.col("label") < F.col("label2")) & fits).select("label", "label2").distinct(), "meetings")
+    largest = F.max(F.when(_large(F.col("n"), small, limit), F.col("n"))).alias("large")
+    here = lists.groupBy("key", "main", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"), largest)
+    there = here.select("key", *(F.col(c).alias(f"{c}2") for c in ("label", "low", "high", "large")))
+    fits = (F.col("low2") * limit.percent <= F.col("high") * 100) & (F.col("low") * limit.percent <= F.col("high2") * 100)
+    through = ~F.col("main") | F.col("large").isNotNull() | F.col("large2").isNotNull()
+    pairs = materialize(here.join(there, "key").where((F.col("label") < F.col("label2")) & fits & through).select("label", "label2").distinct(), "meetings")
     named = sets.select("rep", "n", "keys").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn(
         "label", F.coalesce("root", "rep")).drop("root")
     asked = pairs.select("label").unionByName(pairs.select(F.col("label2").alias("label"))).distinct()
@@ -436,18 +544,20 @@ def _other_links(lists: DataFrame, sets: DataFrame, roots: DataFrame, limit: Thr
     packs = F.ceil(F.col("rows") / PACK).cast("long")
     kind = "label long, reps binary, sizes binary, counts binary, keys binary"
     part = F.pmod(F.xxhash64("rep"), packs).alias("part")
-    small = sized.join(sized.groupBy("big").agg(F.sum("rows").alias("total")), "big").select("big", "label", F.col("total").alias("rows"))
-    small = small.join(named, "label").select(F.col("big").alias("label"), "rep", "n", "keys", part)
-    small = small.groupBy("label", "part").applyInArrow(_pack, kind)
+    few = sized.join(sized.groupBy("big").agg(F.sum("rows").alias("total")), "big").select("big", "label", F.col("total").alias("rows"))
+    few = few.join(named, "label").select(F.col("big").alias("label"), "rep", "n", "keys", part)
+    few = few.groupBy("label", "part").applyInArrow(_pack, kind)
     large = named.join(sized.select(F.col("big").alias("label")).distinct(), "label", "left_semi").join(size.withColumnRenamed("size", "rows"), "label")
     large = large.select("label", "rep", "n", "keys", part).groupBy("label", "part").applyInArrow(_pack, kind)
     large = large.select("label", *(F.col(c).alias(f"{c}2") for c in ("reps", "sizes", "counts", "keys")))
-    return materialize(small.join(large, "label").mapInArrow(_verify_packs(limit), "a long, b long, shared long"), "links")
+    found = materialize(few.join(large, "label").mapInArrow(_verify_packs(limit), "a long, b long, shared long"), "links")
+    discard(pairs, named, sized)
+    return found
 
 
 #: Sets and keys of one tile, give or take the spread of a hash; keys that are
 #: multiplied at once.
-TILE, TILE_KEYS, TILE_STEP = 512, 1 << 18, 1 << 12
+TILE, TILE_KEYS, TILE_STEP = 2048, 1 << 19, 1 << 12
 
 
 def _incidence(owner: np.ndarray, at: np.ndarray, low: int, rows: int, width: int) -> np.ndarray:
@@ -498,29 +608,33 @@ def _counted_tiles(limit: Threshold):
 def _link_counts(ordered: DataFrame, members: DataFrame, roots: DataFrame, limit: Threshold) -> DataFrame:
     """doc_id, n_links of the documents in ``members``."""
     copies = members.groupBy("sig").agg(F.count("*").alias("copies"))
-    named = ordered.select("rep", "sig", "n", "keys").join(roots.select(F.col("node").alias("rep"), "root"), "rep").join(copies, "sig")
-    held = F.sum(F.length("keys") / 8)
+    held = F.sum("m")
+    named = materialize(ordered.select("rep", "sig", "n", "m").join(roots.select(F.col("node").alias("rep"), "root"), "rep").join(copies, "sig"), "named")
     whole = named.groupBy("root").agg(F.count("*").alias("sets"), held.alias("held")).where("sets > 1").select(
         "root", ((F.col("sets") <= TILE) & (F.col("held") <= TILE_KEYS)).alias("whole"))
     # Sizes of linked sets differ by less than one step, rounding included.
     step = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / limit.percent) * 1.0001 if limit.percent < 100 else 1e-6))
-    named = named.join(whole, "root").withColumn("step", F.when(F.col("whole"), F.lit(0)).otherwise(step).cast("long"))
-    counts = named.groupBy("root", "step").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(held / TILE_KEYS)).cast("long").alias("parts"))
-    tiles = named.join(counts, ["root", "step"]).withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")))
+    stepped = named.join(whole, "root").withColumn("step", F.when(F.col("whole"), F.lit(0)).otherwise(step).cast("long"))
+    counts = stepped.groupBy("root", "step").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(held / TILE_KEYS)).cast("long").alias("parts"))
+    dealt = materialize(stepped.join(counts, ["root", "step"]).select(
+        "rep", "sig", "copies", "root", "step", F.pmod(F.xxhash64("sig"), F.col("parts")).alias("part")), "dealt")
+    # The keys travel once, to their tile, which is one task's only while it is made.
+    tiles = ordered.select("rep", "sig", "n", "keys").join(dealt, ["rep", "sig"])
     tiles = materialize(tiles.groupBy("root", "step", "part").agg(F.collect_list(F.struct("sig", "n", "copies", "keys")).alias("sets")), "link-tiles")
     right = tiles.select("root", F.col("step").alias("step2"), F.col("part").alias("part2"), F.col("sets").alias("sets2"))
-    names = tiles.select("root", "step", "part")
-    names2 = right.select("root", "step2", "part2")
-    near = (F.col("step2") == F.col("step") + 1) | ((F.col("step2") == F.col("step")) & (F.col("part2") >= F.col("part")))
-    pairs = names.join(names2, "root").where(near)
+    names = dealt.select("root", "step", "part").distinct()
+    names2 = names.select("root", F.col("step").alias("step2"), F.col("part").alias("part2"))
+    near = (F.col("step2") == F.col("step") + 1) | ((F.col("step2") == F.col("step")) & (F.col("part2") > F.col("part")))
+    pairs = materialize(names.join(names2, "root").where(near), "tile-pairs")
     pairs = pairs.join(tiles, ["root", "step", "part"]).join(right, ["root", "step2", "part2"])
-    pairs = pairs.select(((F.col("step") == F.col("step2")) & (F.col("part") == F.col("part2"))).alias("same"), "sets", "sets2",
-                         F.xxhash64("root", "step", "part", "step2", "part2").alias("at"))
-    found = materialize(pairs.repartition("at").select("same", "sets", "sets2").mapInArrow(_counted_tiles(limit), "sig binary, links long"), "link-counts")
+    # A tile with itself stays where it is.
+    same = tiles.select(F.lit(True).alias("same"), "sets", F.col("sets").alias("sets2"))
+    every = same.unionByName(pairs.select(F.lit(False).alias("same"), "sets", "sets2"))
+    found = materialize(every.mapInArrow(_counted_tiles(limit), "sig binary, links long"), "link-counts")
     links = found.groupBy("sig").agg(F.sum("links").alias("links"))
     each = members.select("doc_id", "sig").join(copies, "sig").join(links, "sig", "left")
     counted = materialize(each.groupBy("doc_id").agg(F.sum(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "doc-links")
-    discard(tiles, found)
+    discard(tiles, found, named, dealt)
     return counted
 
 
@@ -535,7 +649,10 @@ def shingle_links(docs: DataFrame, percent: int = 75, count: bool = False) -> tu
     limit, spark = Threshold(percent), docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     width = shuffle_width(spark)
-    work, schema = _first_filter(limit, 4 * width)
+    # A prefix takes about as many bytes as a text; sets have eight a word or less.
+    length = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = int(max(4 * width, -(-length // BUCKET_BYTES)))
+    work, schema = _first_filter(limit, parts)
     hits = texts.mapInArrow(work, schema).groupBy("bucket").applyInArrow(_count_hits, "doc_id long, size long, hits long")
     sizes = materialize(hits.groupBy("doc_id").agg(
         F.max("size").alias("n_shingles"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"), F.sum("hits").alias("hits"),
@@ -548,21 +665,25 @@ def shingle_links(docs: DataFrame, percent: int = 75, count: bool = False) -> tu
     own = sets.join(members.where("doc_id = rep"), ["doc_id", "sig"], "left_semi")
     blocks = materialize(own.select("doc_id", "sig", "n", "keys").mapInArrow(_blocks, "block long, reps binary, sigs binary, sizes binary, keys binary"), "blocks")
     discard(sets)
-    counted = blocks.select("block", "keys").mapInArrow(_block_counts(4 * width), "bucket int, block long, keys binary, counts binary")
-    shared = counted.groupBy("bucket").applyInArrow(_frequencies, "block long, keys binary, df binary")
-    shared = shared.groupBy("block").agg(F.collect_list("keys").alias("found"), F.collect_list("df").alias("df"))
+    counted = blocks.select("block", "keys").mapInArrow(_block_counts(parts), "bucket int, block long, keys binary, counts binary")
+    shared = counted.groupBy("bucket").applyInArrow(_frequencies, "block long, bucket int, df binary")
+    shared = shared.groupBy("block").agg(F.collect_list(F.struct("bucket", "df")).alias("found"))
     ordered = materialize(blocks.join(shared, "block").mapInArrow(
-        _order(limit), "rep long, sig binary, n long, keys binary, prefix binary, m long, p long, scan long"), "ordered")
+        _order(limit, parts), "rep long, sig binary, n long, keys binary, prefix binary, m long, p long, scan long"), "ordered")
     discard(blocks)
-    postings = materialize(ordered.mapInArrow(_postings(limit, boundary(ordered)), "key long, rep long, n long, kind int, reach long"), "postings")
-    links = _links(_central_pairs(postings, limit), ordered, limit)
+    lists, small = _list_table(ordered, limit)
+    links = _links(_central_pairs(lists, limit, small), ordered, limit)
     copies = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     roots = components(links.select("a", "b").unionByName(copies))
     for turn in range(1, OUTER_TURNS + 1):
-        found = _links(_outer_pairs(_labelled(postings, roots), turn, limit), ordered, limit)
+        left = _open_lists(lists, roots)
+        discard(lists)
+        lists = left
+        found = _links(_outer_pairs(lists, turn, limit, small), ordered, limit)
         links, roots = links.unionByName(found), _merged(roots, found)
-    found = _other_links(_labelled(postings, roots), ordered, roots, limit)
-    discard(postings)
+    left = _open_lists(lists, roots)
+    found = _other_links(left, ordered, roots, limit, small)
+    discard(lists, left)
     roots = _merged(roots, found)
     counts = _link_counts(ordered, members, roots, limit) if count else None
     discard(ordered)
