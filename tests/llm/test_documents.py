@@ -84,6 +84,57 @@ def test_jaccard_on_a_large_group_of_near_copies(spark):
     assert components_of(frame(spark, rows)) == brute_components(rows)
 
 
+def near_copies(seed, groups, size):
+    r, rows = random.Random(seed), []
+    for g in range(groups):
+        base = [f"g{g}_{k}" for k in range(r.choice((30, 60, 200)))]
+        for i in range(size):
+            copy = list(base)
+            copy[r.randrange(len(copy))] = f"n{g}_{i}"
+            rows.append((1000 * g + i, " ".join(copy)))
+    return rows
+
+
+def test_small_sets_meet_under_subsets_alone(spark, monkeypatch):
+    rows = near_copies(5, 12, 12)
+    want, bounds, make, cost = brute_components(rows), [], jaccard._postings, jaccard.boundary
+    monkeypatch.setattr(jaccard, "boundary", lambda sets: bounds.append(cost(sets)) or bounds[-1])
+    assert components_of(frame(spark, rows)) == want
+    assert bounds[0][0] >= 26 and len({c for _, c in want.values()}) < len(rows) / 2
+
+    def without(kind):
+        def postings(*args):
+            work, schema = make(*args)
+
+            def fewer(batches):
+                for batch in work(batches):
+                    if batch.column("kind")[0].as_py() != kind:
+                        yield batch
+
+            return fewer, schema
+
+        return postings
+
+    for small, kind, lost in ((10**6, jaccard.SUBSET, True), (10**6, jaccard.MAIN, False), (0, jaccard.MAIN, True), (0, jaccard.SUBSET, False), (60, None, False)):
+        monkeypatch.setattr(jaccard, "boundary", lambda sets: (small, cost(sets)[1]))
+        monkeypatch.setattr(jaccard, "_postings", without(kind))
+        got = components_of(frame(spark, rows))
+        assert (got != want) == lost and (not lost or all(i == c for i, (_, c) in got.items())), (small, kind)
+
+
+@pytest.mark.parametrize("percent", [40, 60, 90])
+def test_jaccard_at_other_thresholds(spark, percent):
+    rows = near_copies(percent, 4, 6) + [(9000 + i, t) for i, t in enumerate(("a b c d e f", "a b c d e", "b c d e f", "x y", "x y z"))]
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, w in ((i, words_of(t)) for i, t in rows)}
+    want = Counter()
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            want[a] += a != b and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both)
+    got = {r.doc_id: r.n_links for r in jaccard_join(frame(spark, rows), percent).collect()}
+    assert got == dict(want)
+
+
 def test_jaccard_counts_every_link(spark, monkeypatch):
     r, rows = random.Random(8), []
     base = [f"w{k}" for k in range(120)]
@@ -104,7 +155,10 @@ def test_jaccard_counts_every_link(spark, monkeypatch):
                 want[texts[a][0]] += 1
                 want[texts[b][0]] += 1
     assert max(want.values()) > 100
-    for tile in (jaccard.TILE, 40):  # one tile, and pairs of tiles by size
+    # One bucket and whole rows; then pairs of tiles by size, many buckets and rows.
+    for tile in (jaccard.TILE, 40):
+        monkeypatch.setattr(jaccard, "BUCKET_KEYS", jaccard.BUCKET_KEYS if tile > 40 else 500)
+        monkeypatch.setattr(jaccard, "LIST_ROW", jaccard.LIST_ROW if tile > 40 else 7)
         monkeypatch.setattr(jaccard, "TILE", tile)
         monkeypatch.setattr(jaccard, "TILE_STEP", 64)
         got = {x.doc_id: x.n_links for x in jaccard_join(frame(spark, rows)).collect()}
