@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docpipe.llm.components import components
-from docpipe.llm.shared import discard, materialize, shuffle_width, slices
+from docpipe.llm.shared import discard, filtered_joins, materialize, shuffle_width, slices
 from docpipe.llm.shingles import mix, shingle_set
 
 #: Keys that a task gathers before it counts and sends them.
@@ -87,10 +87,10 @@ def _split(keys: np.ndarray, buckets: int):
 
 
 def _first_filter(limit: Threshold, buckets: int):
-    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()),
-                        ("own", pa.binary()), ("size", pa.binary()), ("hits", pa.binary())])
+    names = ("bucket", "keys", "docs", "own", "size", "hits", "sigs", "marks")
+    schema = pa.schema([(c, pa.binary() if c != "bucket" else pa.int32()) for c in names])
 
-    def block(ids, sizes, keys) -> Iterator[pa.RecordBatch]:
+    def block(ids, sizes, keys, sigs, marks) -> Iterator[pa.RecordBatch]:
         docs = np.repeat(np.arange(len(ids)), [len(k) for k in keys])
         every = np.concatenate(keys)
         order = np.argsort(every, kind="stable")
@@ -104,29 +104,32 @@ def _first_filter(limit: Threshold, buckets: int):
         sent, holder = every[starts], np.where(count > 1, LOCAL, ids[docs[starts]] if len(starts) else 0)
         order, names, bounds = _split(sent, buckets)
         sent, holder = sent[order], holder[order]
-        rows = [(int(b), sent[i:j].tobytes(), holder[i:j].tobytes(), b"", b"", b"")
+        rows = [(int(b), sent[i:j].tobytes(), holder[i:j].tobytes(), b"", b"", b"", b"", b"")
                 for b, i, j in zip(names, bounds[:-1], bounds[1:])]
-        rows.append((int(ids[0] % buckets), b"", b"", ids.tobytes(), np.array(sizes, np.int64).tobytes(), hits.tobytes()))
+        rows.append((int(ids[0] % buckets), b"", b"", ids.tobytes(), np.array(sizes, np.int64).tobytes(), hits.tobytes(),
+                     b"".join(sigs), np.array(marks, np.int64).tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     def work(batches):
-        ids, sizes, keys, held = [], [], [], 0
+        ids, sizes, keys, sigs, marks, held = [], [], [], [], [], 0
         for batch in slices(batches):
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc, text, mark in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("mark").to_pylist()):
                 found = shingle_set(text.as_buffer().to_pybytes() if text.is_valid else None)
                 n = len(found)
                 prefix = n - limit.overlap(n) + limit.slack(n) if n else 0
                 ids.append(doc)
                 sizes.append(n)
                 keys.append(found[:prefix].copy())
+                sigs.append(hashlib.blake2b(found.tobytes(), digest_size=SIG).digest())
+                marks.append(mark)
                 held += prefix + 1
                 if held >= BLOCK_KEYS:
-                    yield from block(ids, sizes, keys)
-                    ids, sizes, keys, held = [], [], [], 0
+                    yield from block(ids, sizes, keys, sigs, marks)
+                    ids, sizes, keys, sigs, marks, held = [], [], [], [], [], 0
         if ids:
-            yield from block(ids, sizes, keys)
+            yield from block(ids, sizes, keys, sigs, marks)
 
-    return work, "bucket int, keys binary, docs binary, own binary, size binary, hits binary"
+    return work, "bucket int, keys binary, docs binary, own binary, size binary, hits binary, sigs binary, marks binary"
 
 
 def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
@@ -134,7 +137,8 @@ def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
 
 
 def _count_hits(group: pa.Table) -> pa.Table:
-    """Of one bucket: how many of each document's keys another holds too."""
+    """Of one bucket: how many of each document's keys another holds too; and
+    the documents named there, with the signature of their set if it has keys."""
     keys, docs = _joined(group["keys"], np.uint64), _joined(group["docs"], np.int64)
     order = np.argsort(keys, kind="stable")
     keys, docs = keys[order], docs[order]
@@ -143,11 +147,15 @@ def _count_hits(group: pa.Table) -> pa.Table:
     shared[1:] |= same
     shared[:-1] |= same
     found, hits = np.unique(docs[shared & (docs != LOCAL)], return_counts=True)
-    own, size, own_hits = (_joined(group[c], np.int64) for c in ("own", "size", "hits"))
+    own, size, own_hits, marks = (_joined(group[c], np.int64) for c in ("own", "size", "hits", "marks"))
+    sigs = b"".join(group["sigs"].to_pylist())
+    sigs = [sigs[SIG * i : SIG * (i + 1)] if n else None for i, n in enumerate(size.tolist())]
     return pa.table({
         "doc_id": pa.array(np.concatenate((found, own)), pa.int64()),
         "size": pa.array(np.concatenate((np.full(len(found), -1), size)), pa.int64()),
         "hits": pa.array(np.concatenate((hits, own_hits)), pa.int64()),
+        "sig": pa.array([None] * len(found) + sigs, pa.binary()),
+        "mark": pa.array(np.concatenate((np.zeros(len(found), np.int64), marks)), pa.int64()),
     })
 
 
@@ -653,18 +661,27 @@ def shingle_links(docs: DataFrame, percent: int = 75, count: bool = False) -> tu
     length = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(max(4 * width, -(-length // BUCKET_BYTES)))
     work, schema = _first_filter(limit, parts)
-    hits = texts.mapInArrow(work, schema).groupBy("bucket").applyInArrow(_count_hits, "doc_id long, size long, hits long")
+    # ``mark`` tells the rows of a repeated doc_id apart without hashing shingles again.
+    texts = texts.withColumn("mark", F.xxhash64("text"))
+    hits = texts.mapInArrow(work, schema).groupBy("bucket").applyInArrow(
+        _count_hits, "doc_id long, size long, hits long, sig binary, mark long")
+    hits = materialize(hits, "hits")
     sizes = materialize(hits.groupBy("doc_id").agg(
         F.max("size").alias("n_shingles"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"), F.sum("hits").alias("hits"),
     ), "sizes")
     enough = F.col("hits") >= F.greatest(F.lit(1), F.floor(F.col("least") / 16))
     near = sizes.where(enough).select("doc_id")
-    sets = materialize(texts.join(near, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, sig binary, n long, keys binary"), "sets")
-    equal = sets.groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    members = materialize(sets.select("doc_id", "sig").distinct().join(equal, "sig").select("doc_id", "sig", "rep"), "members")
-    own = sets.join(members.where("doc_id = rep"), ["doc_id", "sig"], "left_semi")
-    blocks = materialize(own.select("doc_id", "sig", "n", "keys").mapInArrow(_blocks, "block long, reps binary, sigs binary, sizes binary, keys binary"), "blocks")
-    discard(sets)
+    near = materialize(hits.where("sig is not null").join(near, "doc_id", "left_semi").select("doc_id", "sig", "mark").distinct(), "near")
+    equal = near.groupBy("sig").agg(F.min(F.struct("doc_id", "mark")).alias("least")).select(
+        "sig", F.col("least.doc_id").alias("rep"), F.col("least.mark").alias("mark"))
+    members = materialize(near.select("doc_id", "sig").distinct().join(equal, "sig").select("doc_id", "sig", "rep", "mark"), "members")
+    discard(hits, near)
+    # Of equal sets the text of one is read again; a filter made of the ids of
+    # these holds most others back before the shuffle.
+    with filtered_joins(spark):
+        own = texts.join(members.where("doc_id = rep").select("doc_id", "mark"), ["doc_id", "mark"], "left_semi").select("doc_id", "text")
+        blocks = materialize(own.mapInArrow(_sets, "doc_id long, sig binary, n long, keys binary").mapInArrow(
+            _blocks, "block long, reps binary, sigs binary, sizes binary, keys binary"), "blocks")
     counted = blocks.select("block", "keys").mapInArrow(_block_counts(parts), "bucket int, block long, keys binary, counts binary")
     shared = counted.groupBy("bucket").applyInArrow(_frequencies, "block long, bucket int, df binary")
     shared = shared.groupBy("block").agg(F.collect_list(F.struct("bucket", "df")).alias("found"))
