@@ -22,6 +22,7 @@ from docpipe.llm.licenses import CONTAINED, GROUPS, TEMPLATES, LicenseFinder, kn
 from docpipe.llm.mixing import mix_plan, mix_sizes, mixed_documents
 from docpipe.llm.quality import FEATURES, features, score_quality
 from docpipe.llm.secrets import SecretFinder, key_body, redact_secrets, secret_digest
+from docpipe.llm.shared import FILTERED, filtered_joins
 from docpipe.llm.toxicity import ToxicModel, fold, score_toxicity, train_toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, component_id string"
@@ -165,6 +166,26 @@ def test_jaccard_counts_every_link(spark, monkeypatch):
         assert got == {i: want[i] for i, _ in rows}
 
 
+def test_equal_sets_of_other_spellings_and_repeated_ids(spark):
+    """One text stands for each set: others of its id, and other spellings, don't."""
+    left, right, other = (" ".join(f"{c}{k}" for k in range(40)) for c in "pqr")
+    near = right.replace("q39", "changed")
+    rows = [(5, left), (5, right), (5, right), (3, right.upper()), (8, left.replace(" ", "\n ")), (9, near), (2, other), (7, None), (5, "")]
+    before = spark.conf.get(next(iter(FILTERED)))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join(frame(spark, rows)).collect()}
+    # 5 is linked with 8 by one text and with 3 and 9 by the other.
+    assert got == {5: (36, 3, 3), 3: (36, 3, 2), 8: (36, 3, 1), 9: (36, 3, 2), 2: (36, 2, 0), 7: (0, 7, 0)}
+    assert spark.conf.get(next(iter(FILTERED))) == before
+
+
+def test_filtered_joins_give_settings_back(spark):
+    kept = {key: spark.conf.get(key, None) for key in FILTERED}
+    with pytest.raises(ValueError), filtered_joins(spark):
+        assert {key: spark.conf.get(key) for key in FILTERED} == FILTERED
+        raise ValueError
+    assert {key: spark.conf.get(key, None) for key in FILTERED} == kept
+
+
 def test_jaccard_edge_cases(spark):
     got = components_of(frame(spark, ODD))
     assert got[1] == (0, 1) and got[3] == (0, 3) and got[4] == (1, 4) and got[5] == (1, 4)
