@@ -21,20 +21,26 @@ from docpipe.streaming.usage import stream_usage_metrics
 
 #: Covers all disorder of the replayed tables.
 DELAY = "36500 days"
+#: Bytes of a table that one file of a replay holds, about.
+DEALT_BYTES = 1 << 24
 
 
 def stream_view(x, view: str, table: str, shuffled_by: str | None = None, files: int = 3, path: str | None = None):
     """A fixture view over a stream of one table, one file a micro-batch; with
-    ``shuffled_by``, of its rows dealt over several files by that column; with
-    ``path``, of the files that are there, all in one micro-batch."""
+    ``shuffled_by``, of its rows dealt by that column over ``files``
+    micro-batches, each of as many files as its size asks; with ``path``, of the
+    files that are there, all in one micro-batch."""
     # A glob, as a stream source takes a folder or a pattern, not one file.
     reader = x.spark.readStream.schema(x.table(table).schema)
     if path is None:
         path = f"{x.sf_dir}/{table}.parque[t]"
         reader = reader.option("maxFilesPerTrigger", 1)
     if shuffled_by:
-        path = scratch_path(x.spark, table)
-        x.table(table).repartition(files, F.xxhash64(shuffled_by)).write.parquet(path)
+        path, rows = scratch_path(x.spark, table), x.table(table)
+        size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        each = max(1, -(-size // (files * DEALT_BYTES)))
+        reader = reader.option("maxFilesPerTrigger", each)
+        rows.repartition(files * each, F.xxhash64(shuffled_by)).write.parquet(path)
     source = reader.parquet(path)
     source.createOrReplaceTempView(f"stream_{table}")
     text = view_text(view, "spark").replace(f"FROM {table}", f"FROM stream_{table}")
