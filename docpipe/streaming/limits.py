@@ -13,9 +13,9 @@ token share one. State is dropped once the watermark has passed its window.
 
 from __future__ import annotations
 
-from bisect import insort
+from bisect import bisect_right, insort
 from collections import Counter, deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import itemgetter
 
 from pyspark.sql import DataFrame, Row, functions as F
@@ -55,50 +55,140 @@ def _entry(row) -> tuple:
     return row.us, (row.id is not None, row.id)
 
 
+#: Requests in one page of a log, about.
+PAGE = 512
+#: Windows after which a token's requests go on under another key.
+PERIOD = 1 << 16
+
+
+class _Log:
+    """The requests of one key in slices of one window's length, many slices to
+    a page. Of the state a batch reads and writes the pages it touches: a log
+    with few requests is one page, whatever time it spans, and a long one is
+    never read whole. A page is named by its first slice."""
+
+    def __init__(self, handle: StatefulProcessorHandle, window_us: int, columns: str):
+        self.window_us = window_us
+        self.index = handle.getValueState("index", "first array<bigint>, last array<bigint>")
+        self.slices = handle.getMapState("slices", "page bigint", columns)
+
+    def open(self) -> _Log:
+        found = self.index.get()
+        self.pages = dict(zip(*found)) if found else {}
+        self.first, self.known, self.read, self.changed = sorted(self.pages), {}, set(), set()
+        return self
+
+    def _page(self, number: int) -> int | None:
+        """The page for a slice; those before the first page go there too."""
+        return self.first[max(0, bisect_right(self.first, number) - 1)] if self.first else None
+
+    def _load(self, page: int | None) -> None:
+        if page is None or page in self.read:
+            return
+        self.read.add(page)
+        stored = {}
+        for us, name, *rest in zip(*self.slices.getValue((page,))):
+            stored.setdefault(us // self.window_us, []).append((us, (name is not None, name), *rest))
+        self.known = stored | self.known
+
+    def get(self, number: int) -> list[tuple]:
+        """Entries (us, place of the id, ...) of a slice, in order."""
+        page = self._page(number)
+        if number not in self.known and page is not None and page <= number <= self.pages[page]:
+            self._load(page)
+        return self.known.get(number, [])
+
+    def put(self, number: int, entries: list[tuple]) -> None:
+        self.known[number] = entries
+        self.changed.add(number)
+
+    def write(self) -> set[int]:
+        """Writes the pages of changed slices, cut where they have grown;
+        returns the last slices of those that are new."""
+        touched = {self._page(n) for n in self.changed}
+        for page in touched:
+            self._load(page)
+        parts, before = {}, dict(self.pages)
+        for number in sorted(n for n, entries in self.known.items() if entries):
+            if (page := self._page(number)) in touched:
+                own = parts.setdefault(page, [[]])
+                if sum(len(self.known[n]) for n in own[-1]) >= PAGE:
+                    own.append([])
+                own[-1].append(number)
+        for page in touched - {None}:
+            del self.pages[page]
+        for numbers in (numbers for own in parts.values() for numbers in own):
+            columns = list(zip(*(entry for n in numbers for entry in self.known[n])))
+            columns[1] = [name for _, name in columns[1]]
+            self.slices.updateValue((numbers[0],), tuple(map(list, columns)))
+            self.pages[numbers[0]] = numbers[-1]
+        self._close(before)
+        return set(self.pages.values()) - set(before.values())
+
+    def drop(self, passed: Callable[[int], bool]) -> None:
+        """Drops the pages whose last slice has passed."""
+        before = dict(self.open().pages)
+        self.pages = {page: last for page, last in before.items() if not passed(last)}
+        self._close(before)
+
+    def _close(self, before: dict[int, int]) -> None:
+        for page in before.keys() - self.pages.keys():
+            self.slices.removeKey((page,))
+        if not self.pages:
+            self.index.clear()
+        elif self.pages != before:
+            self.index.update((list(self.pages), list(self.pages.values())))
+
+
 class _FixedWindow(StatefulProcessor):
-    """The first requests of one (token, clock window), at most its limit of
-    them: those are allowed."""
+    """The first requests of each clock window of one token, at most its limit
+    of them: those are allowed."""
 
     def __init__(self, window_us: int, id_type: str):
         self.window_us, self.id_type = window_us, id_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.first = handle.getListState("first", f"us bigint, id {self.id_type}")
+        self.log = _Log(handle, self.window_us, f"us array<bigint>, id array<{self.id_type}>")
+
+    def _expiry(self, number: int) -> int:
+        """Watermark (ms) from which on a window is closed."""
+        return (number + 1) * self.window_us // 1000
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        token, window = key
-        if window is None:
-            for r in rows:
+        token, mark_ms = key[0], timerValues.getCurrentWatermarkInMs()
+        new = {}
+        for r in rows:
+            if r.us is None:
                 yield Row(token_id=token, id=r.id, us=None, allowed=True, late=False)
-            return
-        end_ms = (window + 1) * self.window_us // 1000
-        if end_ms <= timerValues.getCurrentWatermarkInMs():
-            for r in rows:
+            elif self._expiry(r.us // self.window_us) <= mark_ms:
                 yield Row(token_id=token, id=r.id, us=r.us, allowed=None, late=True)
+            else:
+                new.setdefault(r.us // self.window_us, []).append((_entry(r), r.rate_limit))
+        if not new:
             return
-        if self.first.exists():
-            first = [(us, (name is not None, name)) for us, name in self.first.get()]
-        else:
-            first = []
-            self.handle.registerTimer(end_ms)
-        new = Counter()
-        for r in rows:
-            insort(first, _entry(r))
-            new[_entry(r)] += 1
-            while len(first) > r.rate_limit:
-                out = first.pop()
-                new[out] -= 1
-                if new[out] <= 0:
-                    del new[out]
-                yield Row(token_id=token, id=out[1][1], us=out[0], allowed=False, late=False)
-        for us, (_, name) in new.elements():
-            yield Row(token_id=token, id=name, us=us, allowed=True, late=False)
-        if first:
-            self.first.put([(us, name) for us, (_, name) in first])
+        log = self.log.open()
+        for number, requests in new.items():
+            before = log.get(number)
+            first, added = list(before), Counter()
+            for entry, limit in requests:
+                insort(first, entry)
+                added[entry] += 1
+                while len(first) > limit:
+                    out = first.pop()
+                    added[out] -= 1
+                    if added[out] <= 0:
+                        del added[out]
+                    yield Row(token_id=token, id=out[1][1], us=out[0], allowed=False, late=False)
+            for us, (_, name) in added.elements():
+                yield Row(token_id=token, id=name, us=us, allowed=True, late=False)
+            if first != before:
+                log.put(number, first)
+        for last in log.write():
+            self.handle.registerTimer(self._expiry(last))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.first.clear()
+        self.log.drop(lambda last: self._expiry(last) <= expiredTimerInfo.getExpiryTimeInMs())
         return iter(())
 
     def close(self) -> None:
@@ -110,24 +200,17 @@ class _SlidingLog(StatefulProcessor):
 
     A decision depends on allowed requests of its own slice and the one before,
     so requests that arrive are decided by replaying their slices, and the next
-    one only where the allowed times of a slice changed. Of the state just
-    those slices are read and written, however long the log is. A slice goes
-    once the watermark is a window past it."""
+    one only where the allowed times of a slice changed. Of the state just the
+    pages of those slices are read and written, however long the log is. A page
+    goes once the watermark is a window past its last slice."""
 
     def __init__(self, window_us: int, id_type: str):
         self.window_us, self.id_type = window_us, id_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.slices = handle.getMapState(
-            "slices", "slice bigint", f"us array<bigint>, id array<{self.id_type}>, rate_limit array<int>, allowed array<boolean>")
-
-    def _slice(self, known: dict, number: int) -> list[tuple]:
-        """Entries (us, place of the id, limit, allowed) of a slice, in order."""
-        if number not in known:
-            stored = self.slices.getValue((number,)) if self.slices.containsKey((number,)) else None
-            known[number] = [(us, (name is not None, name), limit, allowed) for us, name, limit, allowed in zip(*stored)] if stored else []
-        return known[number]
+        self.log = _Log(
+            handle, self.window_us, f"us array<bigint>, id array<{self.id_type}>, rate_limit array<int>, allowed array<boolean>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         token, mark = key[0], timerValues.getCurrentWatermarkInMs() * 1000
@@ -139,14 +222,14 @@ class _SlidingLog(StatefulProcessor):
                 yield Row(token_id=token, id=r.id, us=r.us, allowed=None, late=True)
             else:
                 new.setdefault(r.us // self.window_us, []).append((*_entry(r), r.rate_limit, None))
-        known, waiting = {}, sorted(new, reverse=True)
+        if not new:
+            return
+        log, waiting = self.log.open(), sorted(new, reverse=True)
         while waiting:
             number = waiting.pop()
-            before = self._slice(known, number)
-            if not before and number in new:
-                self.handle.registerTimer(self._expiry(number))
+            before = log.get(number)
             entries = sorted([*before, *new.pop(number, [])], key=itemgetter(0, 1))
-            history = deque(us for us, _, _, allowed in self._slice(known, number - 1) if allowed)
+            history = deque(us for us, _, _, allowed in log.get(number - 1) if allowed)
             after = []
             for us, name, limit, was in entries:
                 while history and history[0] <= us - self.window_us:
@@ -157,22 +240,19 @@ class _SlidingLog(StatefulProcessor):
                 if allowed is not was:
                     yield Row(token_id=token, id=name[1], us=us, allowed=allowed, late=False)
                 after.append((us, name, limit, allowed))
-            known[number] = after
-            columns = tuple(list(c) for c in zip(*after))
-            self.slices.updateValue((number,), (columns[0], [name for _, name in columns[1]], columns[2], columns[3]))
+            log.put(number, after)
             changed = [e[0] for e in before if e[3]] != [e[0] for e in after if e[3]]
-            if changed and (not waiting or waiting[-1] != number + 1) and self._slice(known, number + 1):
+            if changed and (not waiting or waiting[-1] != number + 1) and log.get(number + 1):
                 waiting.append(number + 1)
+        for last in log.write():
+            self.handle.registerTimer(self._expiry(last))
 
     def _expiry(self, number: int) -> int:
         """Watermark (ms) from which on no request can come near a slice."""
         return (number + 2) * self.window_us // 1000 + 1
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        number = (expiredTimerInfo.getExpiryTimeInMs() - 1) * 1000 // self.window_us - 2
-        for passed in (number, number + 1):
-            if self._expiry(passed) == expiredTimerInfo.getExpiryTimeInMs() and self.slices.containsKey((passed,)):
-                self.slices.removeKey((passed,))
+        self.log.drop(lambda last: self._expiry(last) <= expiredTimerInfo.getExpiryTimeInMs())
         return iter(())
 
     def close(self) -> None:
@@ -186,12 +266,13 @@ def _id_type(requests: DataFrame) -> str:
 def stream_rate_fixed(requests: DataFrame, limits: int | DataFrame, window_seconds: int = 60,
                       ts: str = "timestamp", delay: str = "1 minute") -> DataFrame:
     """``token_id, id, us, allowed, late`` per request or changed decision.
-    State is keyed by token and window, so a hot token moves over the tasks as
-    time goes on, and holds at most the limit's number of requests."""
+    State is keyed by token and a long period, so a hot token moves over the
+    tasks as time goes on, and holds at most the limit's number of requests of
+    each open window; a batch reads the pages of the windows that it touches."""
     window_us = window_seconds * 1_000_000
     prepared = _prepared(requests, limits, ts, delay)
-    keyed = prepared.withColumn("window_id", floor_div(F.col("us"), window_us))
-    return keyed.groupBy("token_id", "window_id").transformWithState(
+    keyed = prepared.withColumn("period", floor_div(F.col("us"), window_us * PERIOD))
+    return keyed.groupBy("token_id", "period").transformWithState(
         _FixedWindow(window_us, _id_type(requests)), _decision_schema(requests), "append", "eventTime"
     )
 

@@ -7,12 +7,14 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import Row, functions as F
 
+from docpipe.fixtures import Inputs
 from docpipe.operators.ledger import fold_job_state
 from docpipe.operators.metrics import request_metrics
 from docpipe.operators.ratelimit import rate_limit_fixed, rate_limit_sliding
 from docpipe.plans.convert import convert_corpus
+from docpipe.registry import streams
 from docpipe.streaming.jobs import _JobState, latest_job_state, stream_convert, stream_files, stream_job_state
-from docpipe.streaming.limits import _SlidingLog, latest_decisions, stream_rate_fixed, stream_rate_sliding, stream_window_counts
+from docpipe.streaming.limits import _FixedWindow, _SlidingLog, latest_decisions, stream_rate_fixed, stream_rate_sliding, stream_window_counts
 from docpipe.streaming.sink import read_batches, write_batches
 from docpipe.streaming.usage import stream_usage_metrics
 
@@ -248,6 +250,39 @@ def test_sliding_replays_only_touched_slices():
     assert not handle.states["slices"]
 
 
+@pytest.mark.parametrize("made", [_FixedWindow, _SlidingLog])
+def test_sparse_log_is_few_pages(made):
+    """Requests far apart share a page: a batch does not ask once a request."""
+    handle, processor = Handle(), made(60_000_000, "bigint")
+    processor.init(handle)
+    sparse = [Row(us=i * 300_000_000, id=i, rate_limit=2) for i in range(400)]
+    for part in (sparse[::2], sparse[1::2], [Row(us=r.us, id=-1 - r.id, rate_limit=2) for r in sparse]):
+        handle.reads.clear()
+        handle.timers.clear()
+        out = list(processor.handleInputRows(("t",), part, Clock(0)))
+        assert all(r.allowed for r in out) and len(out) == len(part)
+        assert len(handle.reads) <= 1 and len(handle.timers) <= 2
+    assert len(handle.states["slices"]) == 2
+    over = list(processor.handleInputRows(("t",), [Row(us=300_000_000, id=900, rate_limit=2)], Clock(0)))
+    assert [(r.id, r.allowed) for r in over] == [(900, False)]
+    assert [r.late for r in processor.handleInputRows(("t",), [Row(us=0, id=901, rate_limit=2)], Clock(10**9))] == [True]
+    processor.handleExpiredTimer(("t",), None, Clock(10**9))
+    assert not handle.states["slices"]
+
+
+def test_replay_deals_by_size(spark, tmp_path, monkeypatch):
+    rows = [(i, START + timedelta(seconds=i), i % 7, "view", 1.0) for i in range(900)]
+    columns = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
+    spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(streams, "DEALT_BYTES", 1000)
+    monkeypatch.setattr(streams, "scratch_path", lambda *_: f"{tmp_path}/dealt")
+    view = streams.stream_view(Inputs(spark, str(tmp_path)), "fx_usage", "events", "event_id")
+    files = len([*(tmp_path / "dealt").glob("part-*")])
+    path = run(view, str(tmp_path))
+    batches = read_batches(spark, path).groupBy("batch").count().collect()
+    assert files > 6 and len(batches) == 3 and sum(r["count"] for r in batches) == 900
+
+
 def test_job_state_is_bounded():
     handle, processor = Handle(), _JobState("bigint")
     processor.init(handle)
