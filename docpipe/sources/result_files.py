@@ -1,7 +1,8 @@
 """One file per result, written as a Spark data source with two phases.
 
-Tasks write their files to a folder of their own run under the target. When all
-have ended, the driver's commit gives the files of successful tasks their names,
+Tasks write their files to a folder of their own run under the target, with a
+list of their names, and tell the driver where that is. When all have ended, the
+driver's commit gives the files of successful tasks their names, list by list,
 by renames of whole files; until then no result is visible. If a task fails for
 good the run's folder is deleted and nothing has changed.
 """
@@ -21,8 +22,8 @@ def register_result_files(spark: SparkSession) -> str:
     that they are sent to workers whole."""
 
     class Written(WriterCommitMessage):
-        def __init__(self, names: list[str]):
-            self.names = names
+        def __init__(self, part: str):
+            self.part = part
 
     def store_of(path: str):
         from pyarrow import fs
@@ -39,29 +40,41 @@ def register_result_files(spark: SparkSession) -> str:
             return f"{self.folder}/_staging-{self.run}"
 
         def write(self, iterator) -> WriterCommitMessage:
+            import json
             import uuid
 
             # Two tries of a task don't share files.
             store, base = store_of(f"{self.staging()}/{uuid.uuid4().hex}")
             store.create_dir(base, recursive=True)
-            moves = []
-            for batch in iterator:
-                for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
-                    part = f"{base}/{len(moves)}"
-                    with store.open_output_stream(part) as out:
-                        out.write((content or "").encode("utf-8"))
-                    moves.append(f"{part}\t{name}")
-            return Written(moves)
+            at = 0
+            with store.open_output_stream(f"{base}/names") as names:
+                for batch in iterator:
+                    for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+                        with store.open_output_stream(f"{base}/{at}") as out:
+                            out.write((content or "").encode("utf-8"))
+                        names.write(f"{json.dumps(str(name))}\n".encode())
+                        at += 1
+            return Written(base.rpartition("/")[2])
 
         def commit(self, messages) -> None:
+            import json
             from concurrent.futures import ThreadPoolExecutor
 
             store, folder = store_of(self.folder)
-            moves = [line.split("\t", 1) for m in messages if m is not None for line in m.names]
-            for parent in sorted({name.rpartition("/")[0] for _, name in moves}):
-                store.create_dir(f"{folder}/{parent}".rstrip("/"), recursive=True)
+            _, staging = store_of(self.staging())
+            made = set()
+
+            def move(base: str, at: int, name: str) -> None:
+                store.move(f"{base}/{at}", f"{folder}/{name}")
+
             with ThreadPoolExecutor(RENAMES) as pool:
-                list(pool.map(lambda move: store.move(move[0], f"{folder}/{move[1]}"), moves))
+                for base in (f"{staging}/{m.part}" for m in messages if m is not None):
+                    with store.open_input_stream(f"{base}/names") as listed:
+                        names = [json.loads(line) for line in listed.read().splitlines()]
+                    for parent in sorted({name.rpartition("/")[0] for name in names} - made):
+                        store.create_dir(f"{folder}/{parent}".rstrip("/"), recursive=True)
+                        made.add(parent)
+                    list(pool.map(move, [base] * len(names), range(len(names)), names))
             self.abort(messages)
 
         def abort(self, messages) -> None:

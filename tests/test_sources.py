@@ -1,17 +1,21 @@
 """Blob manifests, results, ledger tables, collections and checks."""
 
+import pickle
 from datetime import datetime
 from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from docpipe.fixtures import Inputs
 from docpipe.functions.scalars import blob_url
 from docpipe.operators import checks, credentials
 from docpipe.plans.ordered import sliced_row_number
 from docpipe.schemas import LEDGER
-from docpipe.session import shared_dir
+from docpipe.session import SIZES, shared_dir
 from docpipe.sources import blobs, collections
+from docpipe.sources.result_files import register_result_files
 
 NOW = datetime(2024, 1, 15)
 MANIFEST = "name string, size bigint, created timestamp_ntz, modified timestamp_ntz, metadata map<string,string>"
@@ -192,3 +196,27 @@ def test_result_files_all_or_none(spark, tmp_path):
     assert (tmp_path / "out" / "7.md").read_text(encoding="utf-8") == "text é 7"
     blobs.write_results(rows.withColumn("content", F.lit(None).cast("string")), f"{tmp_path}/out", layout="files")
     assert (tmp_path / "out" / "7.md").read_text(encoding="utf-8") == ""
+
+
+def test_result_names_stay_in_the_folder(tmp_path):
+    """A task tells the driver where its names are, not the names."""
+    made = []
+    register_result_files(SimpleNamespace(dataSource=SimpleNamespace(register=made.append)))
+    writer = made[0]({"path": f"{tmp_path}/out", "run": "r"}).writer(None, False)
+    names = [f"{i % 3}/{i}.md" for i in range(500)]
+    message = writer.write(iter([pa.RecordBatch.from_pydict({"name": names, "content": [*map(str, range(500))]})]))
+    assert len(pickle.dumps(vars(message))) < 200
+    writer.commit([message, None])
+    assert {n: (tmp_path / "out" / n).read_text() for n in names} == {n: str(i) for i, n in enumerate(names)}
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["0", "1", "2"]
+
+
+def test_sizes_are_set_once(spark):
+    """Sizes that bound a task's memory are set unless the session has its own."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    own = spark.newSession()
+    for k in SIZES:
+        own.conf.unset(k)
+    own.conf.set("spark.sql.files.openCostInBytes", "1m")
+    Inputs(own, "/nowhere")
+    assert own.conf.get(key) == SIZES[key] and own.conf.get("spark.sql.files.openCostInBytes") == "1m"
