@@ -161,22 +161,16 @@ def _count_hits(group: pa.Table) -> pa.Table:
 
 def _sets(batches):
     for batch in slices(batches):
-        ids, sigs, sizes, sets = [], [], [], []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             found = shingle_set(text.as_buffer().to_pybytes() if text.is_valid else None)
             if len(found):
                 data = found.tobytes()
-                ids.append(doc)
-                sigs.append(hashlib.blake2b(data, digest_size=SIG).digest())
-                sizes.append(len(found))
-                sets.append(data)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sigs, pa.binary()),
-                                          pa.array(sizes, pa.int64()), pa.array(sets, pa.binary())],
-                                         ["doc_id", "sig", "n", "keys"])
+                yield doc, hashlib.blake2b(data, digest_size=SIG).digest(), len(found), data
 
 
 def _blocks(batches):
-    """Representatives in blocks, named by their first one."""
+    """Texts of representatives (doc_id, text) -> their sets in blocks, named by
+    their first one. One step, so that a task has one Python worker."""
     def pack(reps, sigs, sizes, sets):
         return pa.RecordBatch.from_arrays([
             pa.array([reps[0]], pa.int64()), pa.array([np.array(reps, np.int64).tobytes()], pa.binary()),
@@ -184,16 +178,15 @@ def _blocks(batches):
             pa.array([b"".join(sets)], pa.binary())], ["block", "reps", "sigs", "sizes", "keys"])
 
     reps, sigs, sizes, sets, held = [], [], [], [], 0
-    for batch in batches:
-        for rep, sig, n, keys in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "sig", "n", "keys"))):
-            reps.append(rep)
-            sigs.append(sig)
-            sizes.append(n)
-            sets.append(keys)
-            held += n
-            if held >= BLOCK_KEYS:
-                yield pack(reps, sigs, sizes, sets)
-                reps, sigs, sizes, sets, held = [], [], [], [], 0
+    for rep, sig, n, keys in _sets(batches):
+        reps.append(rep)
+        sigs.append(sig)
+        sizes.append(n)
+        sets.append(keys)
+        held += n
+        if held >= BLOCK_KEYS:
+            yield pack(reps, sigs, sizes, sets)
+            reps, sigs, sizes, sets, held = [], [], [], [], 0
     if reps:
         yield pack(reps, sigs, sizes, sets)
 
@@ -680,8 +673,7 @@ def shingle_links(docs: DataFrame, percent: int = 75, count: bool = False) -> tu
     # these holds most others back before the shuffle.
     with filtered_joins(spark):
         own = texts.join(members.where("doc_id = rep").select("doc_id", "mark"), ["doc_id", "mark"], "left_semi").select("doc_id", "text")
-        blocks = materialize(own.mapInArrow(_sets, "doc_id long, sig binary, n long, keys binary").mapInArrow(
-            _blocks, "block long, reps binary, sigs binary, sizes binary, keys binary"), "blocks")
+        blocks = materialize(own.mapInArrow(_blocks, "block long, reps binary, sigs binary, sizes binary, keys binary"), "blocks")
     counted = blocks.select("block", "keys").mapInArrow(_block_counts(parts), "bucket int, block long, keys binary, counts binary")
     shared = counted.groupBy("bucket").applyInArrow(_frequencies, "block long, bucket int, df binary")
     shared = shared.groupBy("block").agg(F.collect_list(F.struct("bucket", "df")).alias("found"))

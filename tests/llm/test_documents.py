@@ -123,6 +123,21 @@ def test_small_sets_meet_under_subsets_alone(spark, monkeypatch):
         assert (got != want) == lost and (not lost or all(i == c for i, (_, c) in got.items())), (small, kind)
 
 
+def plans_of(monkeypatch):
+    """(label, table) of all intermediate tables that the join writes from now on."""
+    made, write = [], jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", lambda df, label: made.append((label, df, write(df, label))) or made[-1][2])
+    return made
+
+
+def test_sets_are_made_by_one_python_step(spark, monkeypatch):
+    """A second step in the same stage is a second worker with its memory."""
+    made = plans_of(monkeypatch)
+    components_of(frame(spark, ODD))
+    plans = {label: df._jdf.queryExecution().analyzed().toString() for label, df, _ in made}
+    assert plans["blocks"].count("MapInArrow") == 1
+
+
 @pytest.mark.parametrize("percent", [40, 60, 90])
 def test_jaccard_at_other_thresholds(spark, percent):
     rows = near_copies(percent, 4, 6) + [(9000 + i, t) for i, t in enumerate(("a b c d e f", "a b c d e", "b c d e f", "x y", "x y z"))]
