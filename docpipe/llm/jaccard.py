@@ -55,6 +55,8 @@ BUCKET_BYTES = 1 << 25
 LOCAL = np.iinfo(np.int64).min
 #: Bytes of a set's signature.
 SIG = 16
+#: The first filter asks for one shared shingle in this many of a set.
+SLACK = 8
 
 
 @dataclass(frozen=True)
@@ -75,7 +77,20 @@ class Threshold:
     def slack(self, n: int) -> int:
         """Shared shingles asked of the first filter's prefix: more of them
         tell near copies from texts that share one passage."""
-        return max(1, min(n // 16, self.overlap(n)))
+        return max(1, min(n // SLACK, self.overlap(n)))
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """The bytes of numbers by place: those that many numbers share, as the
+    high ones of ids and of sorted keys, stand together and shrink when sent."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _unpacked(column: pa.ChunkedArray, kind) -> np.ndarray:
+    """The numbers of all rows of a column of ``_planes``."""
+    width = np.dtype(kind).itemsize
+    parts = [np.frombuffer(data, np.uint8).reshape(width, -1).T for data in column.to_pylist()]
+    return np.concatenate(parts).reshape(-1).view(kind)
 
 
 def _split(keys: np.ndarray, buckets: int):
@@ -86,6 +101,15 @@ def _split(keys: np.ndarray, buckets: int):
     return order, names, np.append(starts, len(order))
 
 
+def _short(keys: np.ndarray) -> np.ndarray:
+    """What a bucket tells keys apart by: the half that doesn't name it. Of a
+    bucket of a million keys about one in 4,000 has the name of another. Such
+    two count as one key in all sets alike: sets then pass a filter or meet that
+    need not, and a shingle stands a little later in the common order. No link
+    is lost, and links are verified on whole keys."""
+    return (keys >> np.uint64(32)).astype(np.uint32)
+
+
 def _first_filter(limit: Threshold, buckets: int):
     names = ("bucket", "keys", "docs", "own", "size", "hits", "sigs", "marks")
     schema = pa.schema([(c, pa.binary() if c != "bucket" else pa.int32()) for c in names])
@@ -104,7 +128,7 @@ def _first_filter(limit: Threshold, buckets: int):
         sent, holder = every[starts], np.where(count > 1, LOCAL, ids[docs[starts]] if len(starts) else 0)
         order, names, bounds = _split(sent, buckets)
         sent, holder = sent[order], holder[order]
-        rows = [(int(b), sent[i:j].tobytes(), holder[i:j].tobytes(), b"", b"", b"", b"", b"")
+        rows = [(int(b), _planes(_short(sent[i:j])), _planes(holder[i:j]), b"", b"", b"", b"", b"")
                 for b, i, j in zip(names, bounds[:-1], bounds[1:])]
         rows.append((int(ids[0] % buckets), b"", b"", ids.tobytes(), np.array(sizes, np.int64).tobytes(), hits.tobytes(),
                      b"".join(sigs), np.array(marks, np.int64).tobytes()))
@@ -139,7 +163,7 @@ def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
 def _count_hits(group: pa.Table) -> pa.Table:
     """Of one bucket: how many of each document's keys another holds too; and
     the documents named there, with the signature of their set if it has keys."""
-    keys, docs = _joined(group["keys"], np.uint64), _joined(group["docs"], np.int64)
+    keys, docs = _unpacked(group["keys"], np.uint32), _unpacked(group["docs"], np.int64)
     order = np.argsort(keys, kind="stable")
     keys, docs = keys[order], docs[order]
     same = keys[1:] == keys[:-1]
@@ -201,16 +225,16 @@ def _block_counts(buckets: int):
                 cut = [slice(i, j) for i, j in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(names, pa.int32()), pa.array([block] * len(names), pa.int64()),
-                    pa.array([keys[c].tobytes() for c in cut], pa.binary()),
-                    pa.array([counts[c].tobytes() for c in cut], pa.binary())], ["bucket", "block", "keys", "counts"])
+                    pa.array([_planes(_short(keys[c])) for c in cut], pa.binary()),
+                    pa.array([_planes(counts[c]) for c in cut], pa.binary())], ["bucket", "block", "keys", "counts"])
 
     return work
 
 
 def _frequencies(group: pa.Table) -> pa.Table:
     """Of one bucket: for each block, in how many sets each of its keys is."""
-    lengths = [len(k) // 8 for k in group["keys"].to_pylist()]
-    keys, counts = _joined(group["keys"], np.uint64), _joined(group["counts"], np.int32)
+    lengths = [len(k) // 4 for k in group["keys"].to_pylist()]
+    keys, counts = _unpacked(group["keys"], np.uint32), _unpacked(group["counts"], np.int32)
     order = np.argsort(keys, kind="stable")
     starts = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
     total = np.add.reduceat(counts[order].astype(np.int64), starts)
@@ -219,7 +243,7 @@ def _frequencies(group: pa.Table) -> pa.Table:
     end = np.cumsum(lengths)
     return pa.table({
         "block": group["block"], "bucket": group["bucket"],
-        "df": pa.array([df[j - n : j].tobytes() for n, j in zip(lengths, end)], pa.binary()),
+        "df": pa.array([_planes(df[j - n : j]) for n, j in zip(lengths, end)], pa.binary()),
     })
 
 
@@ -237,7 +261,7 @@ def _order(limit: Threshold, buckets: int):
                 df = np.empty(len(every), np.int64)
                 for f in found:
                     k = np.searchsorted(names, f["bucket"])
-                    df[order[bounds[k] : bounds[k + 1]]] = np.frombuffer(f["df"], np.int64)
+                    df[order[bounds[k] : bounds[k + 1]]] = np.frombuffer(f["df"], np.uint8).reshape(8, -1).T.reshape(-1).view(np.int64)
                 freq = df[at]
                 shared = freq > 1
                 end = np.cumsum(sizes)
@@ -258,6 +282,10 @@ def _order(limit: Threshold, buckets: int):
     return work
 
 
+#: Keys of each kind by which a set is first compared.
+SEEDS = 6
+#: Sets that stand for a component in a list, besides the least and the largest.
+SOME = 6
 #: Rounds with members of the largest component of each list.
 OUTER_TURNS = 2
 #: Steps of the cost table per doubling of the set size.
@@ -288,31 +316,34 @@ BUCKET_KEYS, LIST_ROW = 1 << 20, 1 << 12
 PACK = 256
 
 
-def _postings(limit: Threshold, small: int, buckets: int):
+def _postings(limit: Threshold, small: int, buckets: int, seeds: int | None = None):
     """Keys under which sets meet, in blocks by bucket: 2-subsets of small sets;
     single shingles of large sets and of small ones that a large one could
     match. A set too small to share two shingles with a partner has no 2-subset
     and counts as large. ``reach``, in steps of n / (2 percent) rounded up, is
-    the size of the largest partner that shares nothing before the key."""
-    names = ["kind", "bucket", "keys", "reach", "reps", "sizes", "counts"]
+    the size of the largest partner that shares nothing before the key. With
+    ``seeds``, only that many keys of each kind, those of least hash, which near
+    copies mostly share."""
+    names = ["kind", "bucket", "keys", "reach", "reps", "sizes", "labels", "counts"]
     tiny = 100 // limit.percent
 
     def block(kind, held):
-        reps, sizes, keys, reaches = zip(*held)
+        reps, sizes, labels, keys, reaches = zip(*held)
         owner, every, reach = np.repeat(np.arange(len(reps)), [len(k) for k in keys]), np.concatenate(keys), np.concatenate(reaches)
         order, found, bounds = _split(every, buckets)
         owner, every, reach = owner[order], every[order], reach[order]
-        reps, sizes, rows = np.array(reps, np.int64), np.array(sizes, np.int64), []
+        reps, sizes, labels, rows = np.array(reps, np.int64), np.array(sizes, np.int64), np.array(labels, np.int64), []
         for name, i, j in zip(found, bounds[:-1], bounds[1:]):
             own, counts = np.unique(owner[i:j], return_counts=True)
-            rows.append((kind, int(name), every[i:j].tobytes(), reach[i:j].tobytes(), reps[own].tobytes(), sizes[own].tobytes(), counts.astype(np.int32).tobytes()))
-        kinds = (pa.int32(), pa.int32()) + (pa.binary(),) * 5
+            rows.append((kind, int(name), _planes(_short(every[i:j])), reach[i:j].tobytes(),
+                         *(_planes(c) for c in (reps[own], sizes[own], labels[own], counts.astype(np.int32)))))
+        kinds = (pa.int32(), pa.int32()) + (pa.binary(),) * 6
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
     def work(batches):
         held, size = ([], []), [0, 0]
         for batch in batches:
-            for rep, n, m, prefix in zip(*(batch.column(c).to_pylist() for c in ("rep", "n", "m", "prefix"))):
+            for rep, n, m, prefix, label in zip(*(batch.column(c).to_pylist() for c in ("rep", "n", "m", "prefix", "label"))):
                 prefix = np.frombuffer(prefix, np.uint64)
                 is_small = tiny < n <= small
                 made = []
@@ -324,8 +355,11 @@ def _postings(limit: Threshold, small: int, buckets: int):
                     low, high = np.minimum(prefix[i], prefix[j]), np.maximum(prefix[i], prefix[j])
                     made.append((SUBSET, mix(low * np.uint64(3) + high), m - j + 1))
                 for kind, keys, left in made:
+                    if seeds is not None:
+                        least = np.argsort(keys)[:seeds]
+                        keys, left = keys[least], left[least]
                     reach = np.maximum(limit.reach(left, n), 0)
-                    held[kind].append((rep, n, keys, (-(-reach * 2 * limit.percent // n)).astype(np.uint8)))
+                    held[kind].append((rep, n, label, keys, (-(-reach * 2 * limit.percent // n)).astype(np.uint8)))
                     size[kind] += len(keys)
                     if size[kind] >= BLOCK_KEYS:
                         yield block(kind, held[kind])
@@ -335,7 +369,7 @@ def _postings(limit: Threshold, small: int, buckets: int):
             if size[kind]:
                 yield block(kind, held[kind])
 
-    return work, "kind int, bucket int, keys binary, reach binary, reps binary, sizes binary, counts binary"
+    return work, "kind int, bucket int, keys binary, reach binary, reps binary, sizes binary, labels binary, counts binary"
 
 
 def _others(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -351,70 +385,104 @@ def _others(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.nd
     return out
 
 
+def _some_of_each(keys, reps, n, label) -> np.ndarray:
+    """Entries, ordered by list and component, that stand for the component in
+    the list: its least and its largest set, and ``SOME`` that the hash picks.
+    Sets of one component stay in one, and what is asked of a list is which
+    components meet in it, at which sizes; all their sets are compared then."""
+    order = np.lexsort((mix(reps.view(np.uint64)), label, keys))
+    keys, n, label = keys[order], n[order], label[order]
+    starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (label[1:] != label[:-1])))
+    counts = np.diff(np.append(starts, len(keys)))
+    group = np.repeat(np.arange(len(starts)), counts)
+    keep = np.arange(len(keys)) - starts[group] < SOME
+    for values in (n, -n):
+        hit = np.flatnonzero(values == np.minimum.reduceat(values, starts)[group])
+        keep[hit[np.unique(group[hit], return_index=True)[1]]] = True
+    return order[keep]
+
+
 def _lists(limit: Threshold, small: int):
-    """Of one bucket: the lists of two or more sets, one of those with the same
-    entries, in rows of bounded size. Entries without a partner go."""
+    """Of one bucket: the lists of several components, one of those with the
+    same entries, in rows of bounded size. Entries without a partner go, and of
+    each component some stay."""
     tiny = 100 // limit.percent
-    schema = pa.schema([("list", pa.int64()), ("part", pa.int32()), ("main", pa.bool_()), ("reps", pa.binary()), ("sizes", pa.binary())])
+    schema = pa.schema([("list", pa.int64()), ("part", pa.int32()), ("main", pa.bool_()), *((c, pa.binary()) for c in ("reps", "sizes", "labels"))])
 
     def work(group: pa.Table) -> pa.Table:
         kind = group["kind"][0].as_py()
-        counts = _joined(group["counts"], np.int32)
-        keys, reach = _joined(group["keys"], np.uint64), _joined(group["reach"], np.uint8).astype(np.int64)
-        reps, n = np.repeat(_joined(group["reps"], np.int64), counts), np.repeat(_joined(group["sizes"], np.int64), counts)
+        keys, counts = _unpacked(group["keys"], np.uint32), _unpacked(group["counts"], np.int32)
+        # Most keys are one set's only: nothing but their order is made of them.
+        order = np.argsort(keys, kind="stable")
+        same = keys[order[1:]] == keys[order[:-1]]
+        order = order[np.append(False, same) | np.append(same, False)]
+        owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)[order]
+        keys, reach = keys[order], _joined(group["reach"], np.uint8)[order].astype(np.int64)
+        reps, n, label = (_unpacked(group[c], np.int64)[owner] for c in ("reps", "sizes", "labels"))
         order = np.lexsort((reps, n, keys))
+        entries = [c[order] for c in (keys, reps, n, label, reach * n // (2 * limit.percent))]
 
         def grouped():
-            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+            keys, starts = entries[0], np.empty(0, np.int64)
+            if len(keys):
+                starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
             return starts, np.diff(np.append(starts, len(keys)))
 
-        keys, reps, n, reach = keys[order], reps[order], n[order], reach[order]
-        reach = reach * n // (2 * limit.percent)
-        starts, counts = grouped()
-        keep = np.repeat(counts > 1, counts)
-        keys, reps, n, reach = keys[keep], reps[keep], n[keep], reach[keep]
+        def of_several_components() -> None:
+            starts, counts = grouped()
+            if len(starts):
+                label = entries[3]
+                several = np.minimum.reduceat(label, starts) < np.maximum.reduceat(label, starts)
+                entries[:] = [c[np.repeat(several, counts)] for c in entries]
+
+        of_several_components()
         starts, counts = grouped()
-        if len(keys):
+        if len(starts):
+            _, _, n, _, reach = entries
             keep = (reach >= -_others(-n, starts, counts)) & (n <= _others(reach, starts, counts))
             if kind == MAIN:
                 large = (n > small) | (n <= tiny)
                 keep &= np.repeat(np.logical_or.reduceat(large, starts), counts)
-            keys, reps, n = keys[keep], reps[keep], n[keep]
-            starts, counts = grouped()
-            keep = np.repeat(counts > 1, counts)
-            keys, reps, n = keys[keep], reps[keep], n[keep]
+            entries[:] = [c[keep] for c in entries]
+            of_several_components()
+            if len(entries[0]):
+                some = _some_of_each(*entries[:4])
+                entries[:] = [c[some] for c in entries]
             starts, counts = grouped()
         rows = []
-        if len(keys):
-            entries = mix(mix(reps.view(np.uint64) + np.uint64(kind + 1)) + n.astype(np.uint64))
-            names = mix(np.add.reduceat(entries, starts) + counts.astype(np.uint64)).view(np.int64)
+        if len(starts):
+            _, reps, n, label, _ = entries
+            marks = mix(mix(reps.view(np.uint64) + np.uint64(kind + 1)) + n.astype(np.uint64))
+            names = mix(np.add.reduceat(marks, starts) + counts.astype(np.uint64)).view(np.int64)
             _, first = np.unique(names, return_index=True)
             for k in first:
                 for part, i in enumerate(range(starts[k], starts[k] + counts[k], LIST_ROW)):
                     j = min(i + LIST_ROW, starts[k] + counts[k])
-                    rows.append((int(names[k]), part, kind == MAIN, reps[i:j].tobytes(), n[i:j].tobytes()))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, schema.types)], schema=schema)
+                    rows.append((int(names[k]), part, kind == MAIN, *(_planes(c[i:j]) for c in (reps, n, label))))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, schema.types)], schema=schema)
 
-    return work, "list long, part int, main boolean, reps binary, sizes binary"
+    return work, "list long, part int, main boolean, reps binary, sizes binary, labels binary"
 
 
 def _entries(batches):
     for batch in batches:
-        for name, main, reps, sizes in zip(*(batch.column(c).to_pylist() for c in ("list", "main", "reps", "sizes"))):
-            reps = np.frombuffer(reps, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(reps), name)), pa.array(np.full(len(reps), main)), pa.array(reps),
-                                              pa.array(np.frombuffer(sizes, np.int64))], ["key", "main", "rep", "n"])
-
-
-def _list_table(ordered: DataFrame, limit: Threshold) -> tuple[DataFrame, int]:
-    """key, main, rep, n: the lists in which sets meet; and the boundary."""
-    small, cost = boundary(ordered)
-    buckets = max(1, -(-cost // BUCKET_KEYS))
-    work, schema = _postings(limit, small, buckets)
+        rows = pa.Table.from_batches([batch])
+        for i in range(len(rows)):
+            row = rows.slice(i, 1)
+            reps, sizes, labels = (pa.array(_unpacked(row[c], np.int64)) for c in ("reps", "sizes", "labels"))
+            key, main = ([row[c][0].as_py()] * len(reps) for c in ("list", "main"))
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(main, pa.bool_()), reps, sizes, labels],
+                                             ["key", "main", "rep", "n", "label"])
+
+
+def _list_table(ordered: DataFrame, limit: Threshold, small: int, keys: int, seeds: int | None = None) -> DataFrame:
+    """key, main, rep, n, label: the lists in which sets of several labels meet.
+    ``keys``: how many keys there are, about."""
+    work, schema = _postings(limit, small, max(1, -(-keys // BUCKET_KEYS)), seeds)
     made, kept = _lists(limit, small)
-    lists = ordered.select("rep", "n", "m", "prefix").mapInArrow(work, schema).groupBy("kind", "bucket").applyInArrow(made, kept)
-    lists = lists.groupBy("list", "part").agg(F.first("main").alias("main"), F.first("reps").alias("reps"), F.first("sizes").alias("sizes"))
-    return materialize(lists.mapInArrow(_entries, "key long, main boolean, rep long, n long"), "lists"), small
+    lists = ordered.select("rep", "n", "m", "prefix", "label").mapInArrow(work, schema).groupBy("kind", "bucket").applyInArrow(made, kept)
+    lists = lists.groupBy("list", "part").agg(*(F.first(c).alias(c) for c in ("main", "reps", "sizes", "labels")))
+    return materialize(lists.mapInArrow(_entries, "key long, main boolean, rep long, n long, label long"), "lists")
 
 
 def _verify(limit: Threshold):
@@ -477,10 +545,15 @@ def _central_pairs(lists: DataFrame, limit: Threshold, small: int) -> DataFrame:
     return _pairs_with(lists.join(centres, "key"), limit, small)
 
 
-def _open_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """The lists that hold several components, with the component of each entry."""
+def _labelled(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows with the component of their ``rep``: itself, if it has no link."""
     roots = roots.select(F.col("node").alias("rep"), "root")
-    named = lists.drop("label").join(roots, "rep", "left").select("key", "main", "rep", "n", F.coalesce("root", "rep").alias("label"))
+    return sets.join(roots, "rep", "left").withColumn("label", F.coalesce("root", "rep")).drop("root")
+
+
+def _open_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """The lists that still hold several components."""
+    named = _labelled(lists.drop("label"), roots).select("key", "main", "rep", "n", "label")
     several = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     return materialize(named.join(several, "key", "left_semi"), "open-lists")
 
@@ -532,10 +605,11 @@ def _other_links(lists: DataFrame, sets: DataFrame, roots: DataFrame, limit: Thr
     fits = (F.col("low2") * limit.percent <= F.col("high") * 100) & (F.col("low") * limit.percent <= F.col("high2") * 100)
     through = ~F.col("main") | F.col("large").isNotNull() | F.col("large2").isNotNull()
     pairs = materialize(here.join(there, "key").where((F.col("label") < F.col("label2")) & fits & through).select("label", "label2").distinct(), "meetings")
-    named = sets.select("rep", "n", "keys").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn(
-        "label", F.coalesce("root", "rep")).drop("root")
     asked = pairs.select("label").unionByName(pairs.select(F.col("label2").alias("label"))).distinct()
-    named = materialize(named.join(asked, "label", "left_semi").select("label", "rep", "n", "keys"), "meeting-sets")
+    asked = materialize(_labelled(sets.select("rep", "sig"), roots).join(asked, "label", "left_semi").select("label", "rep", "sig"), "meeting-names")
+    # Keys travel only where names are asked for, which are written, so that Spark knows their size.
+    named = materialize(sets.select("rep", "sig", "n", "keys").join(asked, ["rep", "sig"]).select("label", "rep", "n", "keys"), "meeting-sets")
+    discard(asked)
     size = named.groupBy("label").agg(F.count("*").alias("size"))
     sized = pairs.join(size, "label").join(size.select(F.col("label").alias("label2"), F.col("size").alias("size2")), "label2")
     first = (F.col("size") > F.col("size2")) | ((F.col("size") == F.col("size2")) & (F.col("label") < F.col("label2")))
@@ -612,16 +686,18 @@ def _link_counts(ordered: DataFrame, members: DataFrame, roots: DataFrame, limit
     held = F.sum("m")
     named = materialize(ordered.select("rep", "sig", "n", "m").join(roots.select(F.col("node").alias("rep"), "root"), "rep").join(copies, "sig"), "named")
     whole = named.groupBy("root").agg(F.count("*").alias("sets"), held.alias("held")).where("sets > 1").select(
-        "root", ((F.col("sets") <= TILE) & (F.col("held") <= TILE_KEYS)).alias("whole"))
+        "root", "sets", ((F.col("sets") <= TILE) & (F.col("held") <= TILE_KEYS)).alias("whole"))
     # Sizes of linked sets differ by less than one step, rounding included.
     step = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / limit.percent) * 1.0001 if limit.percent < 100 else 1e-6))
     stepped = named.join(whole, "root").withColumn("step", F.when(F.col("whole"), F.lit(0)).otherwise(step).cast("long"))
     counts = stepped.groupBy("root", "step").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(held / TILE_KEYS)).cast("long").alias("parts"))
     dealt = materialize(stepped.join(counts, ["root", "step"]).select(
-        "rep", "sig", "copies", "root", "step", F.pmod(F.xxhash64("sig"), F.col("parts")).alias("part")), "dealt")
-    # The keys travel once, to their tile, which is one task's only while it is made.
-    tiles = ordered.select("rep", "sig", "n", "keys").join(dealt, ["rep", "sig"])
-    tiles = materialize(tiles.groupBy("root", "step", "part").agg(F.collect_list(F.struct("sig", "n", "copies", "keys")).alias("sets")), "link-tiles")
+        "rep", "sig", "copies", "root", "sets", "step", F.pmod(F.xxhash64("sig"), F.col("parts")).alias("part")), "dealt")
+    # The keys travel once, to their tile, which is one task's only while it is
+    # made. A filter made of linked sets holds most others back.
+    with filtered_joins(ordered.sparkSession):
+        tiles = ordered.select("rep", "sig", "n", "keys").join(dealt.where("sets > 1").drop("sets"), ["rep", "sig"])
+        tiles = materialize(tiles.groupBy("root", "step", "part").agg(F.collect_list(F.struct("sig", "n", "copies", "keys")).alias("sets")), "link-tiles")
     right = tiles.select("root", F.col("step").alias("step2"), F.col("part").alias("part2"), F.col("sets").alias("sets2"))
     names = dealt.select("root", "step", "part").distinct()
     names2 = names.select("root", F.col("step").alias("step2"), F.col("part").alias("part2"))
@@ -662,37 +738,42 @@ def shingle_links(docs: DataFrame, percent: int = 75, count: bool = False) -> tu
     sizes = materialize(hits.groupBy("doc_id").agg(
         F.max("size").alias("n_shingles"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"), F.sum("hits").alias("hits"),
     ), "sizes")
-    enough = F.col("hits") >= F.greatest(F.lit(1), F.floor(F.col("least") / 16))
+    enough = F.col("hits") >= F.greatest(F.lit(1), F.floor(F.col("least") / SLACK))
     near = sizes.where(enough).select("doc_id")
     near = materialize(hits.where("sig is not null").join(near, "doc_id", "left_semi").select("doc_id", "sig", "mark").distinct(), "near")
     equal = near.groupBy("sig").agg(F.min(F.struct("doc_id", "mark")).alias("least")).select(
         "sig", F.col("least.doc_id").alias("rep"), F.col("least.mark").alias("mark"))
     members = materialize(near.select("doc_id", "sig").distinct().join(equal, "sig").select("doc_id", "sig", "rep", "mark"), "members")
-    discard(hits, near)
+    discard(hits)
     # Of equal sets the text of one is read again; a filter made of the ids of
     # these holds most others back before the shuffle.
     with filtered_joins(spark):
         own = texts.join(members.where("doc_id = rep").select("doc_id", "mark"), ["doc_id", "mark"], "left_semi").select("doc_id", "text")
         blocks = materialize(own.mapInArrow(_blocks, "block long, reps binary, sigs binary, sizes binary, keys binary"), "blocks")
+    discard(near)
     counted = blocks.select("block", "keys").mapInArrow(_block_counts(parts), "bucket int, block long, keys binary, counts binary")
     shared = counted.groupBy("bucket").applyInArrow(_frequencies, "block long, bucket int, df binary")
     shared = shared.groupBy("block").agg(F.collect_list(F.struct("bucket", "df")).alias("found"))
     ordered = materialize(blocks.join(shared, "block").mapInArrow(
         _order(limit, parts), "rep long, sig binary, n long, keys binary, prefix binary, m long, p long, scan long"), "ordered")
     discard(blocks)
-    lists, small = _list_table(ordered, limit)
-    links = _links(_central_pairs(lists, limit, small), ordered, limit)
+    # A few keys of each set join most near copies; of all keys, only the lists
+    # of several components are left.
+    small, cost = boundary(ordered)
+    seeds = _list_table(ordered.withColumn("label", F.col("rep")), limit, small, min(cost, 2 * SEEDS * ordered.count()), SEEDS)
+    links = _links(_central_pairs(seeds, limit, small), ordered, limit)
+    discard(seeds)
     copies = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     roots = components(links.select("a", "b").unionByName(copies))
+    lists = _list_table(_labelled(ordered, roots), limit, small, cost)
     for turn in range(1, OUTER_TURNS + 1):
+        found = _links(_outer_pairs(lists, turn, limit, small), ordered, limit)
+        links, roots = links.unionByName(found), _merged(roots, found)
         left = _open_lists(lists, roots)
         discard(lists)
         lists = left
-        found = _links(_outer_pairs(lists, turn, limit, small), ordered, limit)
-        links, roots = links.unionByName(found), _merged(roots, found)
-    left = _open_lists(lists, roots)
-    found = _other_links(left, ordered, roots, limit, small)
-    discard(lists, left)
+    found = _other_links(lists, ordered, roots, limit, small)
+    discard(lists)
     roots = _merged(roots, found)
     counts = _link_counts(ordered, members, roots, limit) if count else None
     discard(ordered)

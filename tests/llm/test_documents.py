@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -138,6 +139,37 @@ def test_sets_are_made_by_one_python_step(spark, monkeypatch):
     assert plans["blocks"].count("MapInArrow") == 1
 
 
+def test_short_names_of_keys_lose_no_link(spark, monkeypatch):
+    """Buckets tell keys apart by half of them: the result must not depend on it."""
+    def eight_names(keys):
+        return (keys >> np.uint64(61)).astype(np.uint32)
+
+    rows = near_copies(6, 5, 8)
+    monkeypatch.setattr(jaccard, "_short", eight_names)
+    assert components_of(frame(spark, rows)) == brute_components(rows)
+
+
+def test_numbers_are_packed_by_place():
+    for kind, values in ((np.int64, [-(2**63), -1, 0, 5, 2**62]), (np.uint32, [0, 7, 2**32 - 1]), (np.int64, [])):
+        whole = np.array(values, kind)
+        column = pa.chunked_array([pa.array([jaccard._planes(whole[:2]), b"", jaccard._planes(whole[2:])], pa.binary())])
+        assert jaccard._unpacked(column, kind).tolist() == values
+
+
+def test_lists_hold_some_sets_of_each_component():
+    """A few strays don't keep all sets of a large group in a list; the least
+    and the largest set of each component stay, as they tell who can meet."""
+    reps = np.arange(1000, dtype=np.int64)
+    sizes = np.append(np.arange(100, 1099)[::-1], 50)
+    for seed in range(3):
+        keys = np.repeat(np.array([3, 9], np.uint32), 1000)
+        label = np.append(np.zeros(990, np.int64), np.arange(990, 1000))
+        kept = jaccard._some_of_each(keys, np.append(reps, reps) + seed, np.append(sizes, sizes), np.append(label, label))
+        assert len(kept) <= 2 * (jaccard.SOME + 2 + 10)
+        for half in (kept[kept < 1000], kept[kept >= 1000] - 1000):
+            assert {0, 989} | set(range(990, 1000)) <= set(half.tolist())
+
+
 @pytest.mark.parametrize("percent", [40, 60, 90])
 def test_jaccard_at_other_thresholds(spark, percent):
     rows = near_copies(percent, 4, 6) + [(9000 + i, t) for i, t in enumerate(("a b c d e f", "a b c d e", "b c d e f", "x y", "x y z"))]
