@@ -1,7 +1,7 @@
 """Exact Jaccard join of documents on five-word shingles, size-aware.
 
 1. A first prefix filter in hash order drops the documents that share too few
-   shingles with any other text, at 8 bytes a prefix shingle.
+   shingles with any other text. Buckets get half of a hash, packed by place.
 2. For the rest, equal sets collapse to one representative, the document
    frequency of every shingle is counted exactly, and shingles are ordered
    rare first. Two linked sets share their rarest shingles.
@@ -16,12 +16,13 @@
    dropped. A linked pair passes at the first key it shares, so this loses none.
    Near copies share most of their keys, so most lists have the same entries:
    of equal lists one stays.
-5. The sets of a list are first compared with two centres of the list. Then, in
-   lists that still hold several components, the sets outside the largest one
-   are compared with two members of it, twice. Last, of every two components
-   that still meet in a list, all sets are compared, in packs. So a large group
-   of near copies costs its size, not its square, as long as it hangs together;
-   no component is missed.
+5. First, a few keys of each set, those of least hash, make lists, and their sets
+   are compared with two centres of the list. Of the lists of all keys, those of
+   one component then go, and the others hold some sets of each component. The
+   sets outside a list's largest component are compared with two members of it,
+   twice. Last, of every two components that still meet in a list, all sets are
+   compared, in packs. So a large group of near copies costs its size, not its
+   square, as long as it hangs together; no component is missed.
 6. Links are counted at the end: both ends of a link are in one component and of
    nearly one size, so the sets of a component are dealt into tiles by size, and
    all pairs of tiles of equal or adjacent sizes are multiplied. A tile pair
