@@ -13,13 +13,14 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 FORMAT = "docpipe_result_files"
-#: Renames that the commit has under way at once.
-RENAMES = 32
+#: Renames that the commit has under way at once, and names that it holds.
+RENAMES, NAMES = 32, 4096
 
 
 def register_result_files(spark: SparkSession) -> str:
     """Registers the format and returns its name. The classes are made here, so
     that they are sent to workers whole."""
+    renames, names_held = RENAMES, NAMES
 
     class Written(WriterCommitMessage):
         def __init__(self, part: str):
@@ -57,8 +58,10 @@ def register_result_files(spark: SparkSession) -> str:
             return Written(base.rpartition("/")[2])
 
         def commit(self, messages) -> None:
+            import io
             import json
             from concurrent.futures import ThreadPoolExecutor
+            from itertools import count, islice
 
             store, folder = store_of(self.folder)
             _, staging = store_of(self.staging())
@@ -67,14 +70,15 @@ def register_result_files(spark: SparkSession) -> str:
             def move(base: str, at: int, name: str) -> None:
                 store.move(f"{base}/{at}", f"{folder}/{name}")
 
-            with ThreadPoolExecutor(RENAMES) as pool:
+            with ThreadPoolExecutor(renames) as pool:
                 for base in (f"{staging}/{m.part}" for m in messages if m is not None):
-                    with store.open_input_stream(f"{base}/names") as listed:
-                        names = [json.loads(line) for line in listed.read().splitlines()]
-                    for parent in sorted({name.rpartition("/")[0] for name in names} - made):
-                        store.create_dir(f"{folder}/{parent}".rstrip("/"), recursive=True)
-                        made.add(parent)
-                    list(pool.map(move, [base] * len(names), range(len(names)), names))
+                    at = count()
+                    with io.BufferedReader(store.open_input_stream(f"{base}/names")) as listed:
+                        while names := [json.loads(line) for line in islice(listed, names_held)]:
+                            for parent in sorted({name.rpartition("/")[0] for name in names} - made):
+                                store.create_dir(f"{folder}/{parent}".rstrip("/"), recursive=True)
+                                made.add(parent)
+                            list(pool.map(move, [base] * len(names), islice(at, len(names)), names))
             self.abort(messages)
 
         def abort(self, messages) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 
@@ -11,7 +12,9 @@ from pyspark.sql.types import StructType
 
 from docpipe.plans.convert import convert_corpus
 from docpipe.schemas import CANCELLABLE_STATUSES, TERMINAL_STATUSES
+from docpipe.session import scratch_path
 from docpipe.sources.blobs import qualified_path
+from docpipe.sources.folder_files import stream_folder_files
 from docpipe.streaming.sink import latest_rows, read_batches, write_batches
 
 STATE = "status string, started_at timestamp_ntz, completed_at timestamp_ntz, result_path string, error_message string"
@@ -121,7 +124,7 @@ def latest_job_state(spark, path: str) -> DataFrame:
 
 
 def stream_convert(files: DataFrame, path: str, checkpoint: str, available_now: bool = True,
-                   **options) -> StreamingQuery:
+                   interval: str = "10 seconds", **options) -> StreamingQuery:
     """Converts a stream of files with `convert_corpus`. Bad files are FAILED
     rows; they do not stop the stream.
 
@@ -130,29 +133,58 @@ def stream_convert(files: DataFrame, path: str, checkpoint: str, available_now:
     state of the stream, kept on the executors by their hash, so a batch looks
     up its own files and reads nothing of what was written before."""
     outcomes = convert_corpus(files, **options).dropDuplicates(["path", "source_hash"])
-    return write_batches(outcomes, path, checkpoint, available_now=available_now)
+    return write_batches(outcomes, path, checkpoint, available_now=available_now, interval=interval, drop_empty=True)
 
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 MANIFEST = "path string, size bigint, modified timestamp_ntz"
 
 
+def _local_path(spark: SparkSession, path: str) -> str | None:
+    """The path as the operating system has it; None for those of other stores."""
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    uri = store.makeQualified(location).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
+def _polled(spark: SparkSession, folder: str) -> tuple[str, str] | None:
+    """Folder and place of the listings, if executors can list and read it."""
+    if any(c in folder for c in "{}[]*?\\") or not ((inbox := _local_path(spark, folder)) and os.path.isdir(inbox)):
+        return None
+    try:
+        log = _local_path(spark, scratch_path(spark, "listings"))
+    except ValueError:
+        return None
+    return (inbox, log) if log else None
+
+
 def stream_files(spark: SparkSession, folder: str, manifests: str | None = None, glob: str | None = None,
                  recursive: bool = False, max_files: int | None = None) -> DataFrame:
     """The files that appear in a folder, as a stream of file rows ``path, size,
     modified, content``; each poll gives the new ones, ``max_files`` at most.
 
+    A folder of a file system that all machines mount is polled by
+    `stream_folder_files`, if the shared folder is on one too: the driver keeps
+    nothing of a file. Other stores, patterns of folders and ``max_files`` take
+    Spark's file source, for which the driver lists all files, remembers them
+    and plans with those of a poll: 300,000 new ones fill a heap of 750 MB. A
+    stream's checkpoint goes on with the source that it began with.
+
     Spark's reader never returns empty files and names that start with an
     underscore or a dot. They come from ``manifests``, a folder of Parquet files
     ``path, size, modified`` that is watched as well: the entries that the
     reader would leave out become rows with null content, the others are left
     to the reader, so a file is not told twice. An entry listed again is."""
-    reader = spark.readStream.format("binaryFile").schema(FILES)
-    for name, value in (("pathGlobFilter", glob), ("recursiveFileLookup", recursive and "true"), ("maxFilesPerTrigger", max_files)):
-        if value:
-            reader = reader.option(name, str(value))
-    found = reader.load(folder).select(
-        "path", F.col("length").alias("size"), F.col("modificationTime").cast("timestamp_ntz").alias("modified"), "content")
+    if max_files is None and (polled := _polled(spark, folder)):
+        found = stream_folder_files(spark, *polled, glob, recursive)
+    else:
+        reader = spark.readStream.format("binaryFile").schema(FILES)
+        for name, value in (("pathGlobFilter", glob), ("recursiveFileLookup", recursive and "true"), ("maxFilesPerTrigger", max_files)):
+            if value:
+                reader = reader.option(name, str(value))
+        found = reader.load(folder).select(
+            "path", F.col("length").alias("size"), F.col("modificationTime").cast("timestamp_ntz").alias("modified"), "content")
     if manifests is None:
         return found
     listed = spark.readStream.schema(MANIFEST).parquet(manifests).withColumn("path", qualified_path(spark, F.col("path")))

@@ -10,26 +10,36 @@ from pyspark.sql.streaming import StreamingQuery
 from docpipe.session import STATE_STORE
 
 STATE_STORE_KEY = "spark.sql.streaming.stateStore.providerClass"
+#: A stream has a store for each shuffle partition and step with state; space
+#: set aside for each is more than what most of them hold.
+SET_ASIDE = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
 
 
 def write_batches(
     stream: DataFrame, path: str, checkpoint: str, output_mode: str = "append",
     transform: Callable[[DataFrame], DataFrame] | None = None, available_now: bool = True,
     interval: str = "10 seconds", compact_every: int | None = None, keys: Sequence[str] | None = None,
+    drop_empty: bool = False,
 ) -> StreamingQuery:
     """Writes each micro-batch to ``path/batch=N``, replacing what an earlier
     try of the same batch left there: a replayed batch changes nothing. What
     is written is not read again, unless every ``compact_every`` batches by
-    `compact_batches`."""
+    `compact_batches`. With ``drop_empty`` a batch without rows leaves no folder
+    beside others."""
     spark = stream.sparkSession
     spark.conf.set(STATE_STORE_KEY, STATE_STORE)
+    spark.conf.set(SET_ASIDE, "false")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         snapshot, _ = _written(batch.sparkSession, path)
         if snapshot is not None and batch_id <= snapshot:
             return
         rows = transform(batch) if transform is not None else batch
-        rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+        target = f"{path.rstrip('/')}/batch={batch_id}"
+        rows.write.mode("overwrite").parquet(target)
+        if drop_empty and len(_written(batch.sparkSession, path)[1]) > 1 and batch.sparkSession.read.parquet(target).isEmpty():
+            location, store = _folder(batch.sparkSession, target)
+            store.delete(location, True)
         if compact_every and batch_id % compact_every == compact_every - 1:
             compact_batches(batch.sparkSession, path, keys)
 

@@ -2,9 +2,11 @@
 
 import random
 import shutil
+import time
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Row, functions as F
 
 from docpipe.fixtures import Inputs
@@ -152,6 +154,95 @@ def test_folder_of_files(spark, tmp_path):
     assert {r.batch for r in found.values()} >= {0, 1, 2}
 
 
+def poll_folder(spark, folder, path, **options):
+    """One poll; what it found, and the bytes that the driver keeps of the poll."""
+    stream = stream_files(spark, str(folder), **options)
+    write_batches(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    kept = [f for name in ("offsets", "sources") for f in (path / "checkpoint" / name).rglob("*") if f.is_file() and f.suffix != ".crc"]
+    return read_batches(spark, f"{path}/out").drop("batch"), sum(f.stat().st_size for f in kept)
+
+
+def test_driver_keeps_nothing_of_a_file(spark, tmp_path):
+    kept = {}
+    for count in (3, 300):
+        inbox = tmp_path / f"in{count}"
+        inbox.mkdir()
+        for i in range(count):
+            (inbox / f"{i:03}.pdf").write_bytes(b"%PDF-")
+        found, kept[count] = poll_folder(spark, inbox, tmp_path / f"run{count}", glob="*.pdf")
+        assert found.count() == count
+    assert kept[300] < kept[3] + 50
+
+
+def test_folder_as_spark_reads_it(spark, tmp_path):
+    inbox = tmp_path / "in box"
+    contents = {"a.pdf": b"%PDF-a", "a%20b c.pdf": b"%PDF-b", "_c.pdf": b"%PDF-c", "_d=1.pdf": b"%PDF-d", ".e.pdf": b"%PDF-e", "f.pdf": b"",
+                "_metadata.pdf": b"%PDF-g", "h.txt": b"no", "\u00fc.md": b"%PDF-h\n\xff", "sub/i.pdf": b"%PDF-i", "_sub/j.pdf": b"%PDF-j",
+                "sub/deep/k.pdf": b"%PDF-k" * 1000, "l.pdf._COPYING_": b"%PDF-l", "sub/[m].pdf": b"%PDF-m"}
+    for name, content in contents.items():
+        (inbox / name).parent.mkdir(parents=True, exist_ok=True)
+        (inbox / name).write_bytes(content)
+    for i, options in enumerate([{}, {"glob": "*.{pdf,md}"}, {"recursive": True, "glob": "[!a]*.pdf"}]):
+        got, _ = poll_folder(spark, inbox, tmp_path / f"own{i}", **options)
+        # Spark's own source takes the limit on files.
+        want, _ = poll_folder(spark, inbox, tmp_path / f"spark{i}", max_files=100, **options)
+        assert got.schema == want.schema
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and want.count() > 3
+
+
+def test_polls_tell_a_path_once(spark, tmp_path):
+    inbox, told = tmp_path / "in", set()
+    inbox.mkdir()
+    for step in range(3):
+        for i in range(20 * step, 20 * step + 20):
+            (inbox / f"{i}.pdf").write_bytes(b"%%PDF-%d" % i)
+            told.add(f"file:{inbox}/{i}.pdf")
+        (inbox / "0.pdf").write_bytes(b"%%PDF-again-%d" % step)
+        (inbox / f"{20 * step + 1}.pdf").unlink()
+        told.discard(f"file:{inbox}/{20 * step + 1}.pdf")
+        found, _ = poll_folder(spark, inbox, tmp_path)
+        assert sorted(r.path for r in found.collect()) == sorted(told)
+    # A name that is no UTF-8 is read as well.
+    with open(b"%s/\xe9.pdf" % str(inbox).encode(), "wb") as file:
+        file.write(b"%PDF-latin")
+    found, _ = poll_folder(spark, inbox, tmp_path)
+    assert [bytes(r.content) for r in found.where("path LIKE '%\ufffd.pdf'").collect()] == [b"%PDF-latin"]
+
+
+def test_broken_poll_is_done_again(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    for i in range(5):
+        (inbox / f"{i}.pdf").write_bytes(b"%PDF-")
+    target = tmp_path / "out"
+    target.write_text("not a folder, so that the batch fails")
+    with pytest.raises(StreamingQueryException):
+        poll_folder(spark, inbox, tmp_path)
+    target.unlink()
+    (inbox / "late.pdf").write_bytes(b"%PDF-")
+    poll_folder(spark, inbox, tmp_path)
+    paths = sorted(r.path.rsplit("/", 1)[1] for r in read_batches(spark, str(target)).collect())
+    assert paths == [*(f"{i}.pdf" for i in range(5)), "late.pdf"]
+
+
+def test_idle_polls_leave_no_folders(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    files = stream_files(spark, str(inbox))
+    stream = stream_convert(files, f"{tmp_path}/out", f"{tmp_path}/checkpoint", available_now=False, interval="0 seconds", output_format="text")
+    try:
+        for count in (1, 2):
+            (inbox / f"{count}.pdf").write_bytes(b"%PDF-")
+            polls = stream.lastProgress["batchId"] if stream.lastProgress else 0
+            until = time.time() + 60
+            while time.time() < until and (not stream.lastProgress or stream.lastProgress["batchId"] < polls + 4):
+                time.sleep(0.2)
+        assert read_batches(spark, f"{tmp_path}/out").count() == 2
+        assert len(list((tmp_path / "out").glob("batch=*"))) <= 4
+    finally:
+        stream.stop()
+
+
 def test_compaction_bounds_the_files(spark, tmp_path):
     schema = ("job_id string, seq bigint, event_time timestamp_ntz, event string, result_path string, "
               "error_message string")
