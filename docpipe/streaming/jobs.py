@@ -169,7 +169,7 @@ def stream_files(spark: SparkSession, folder: str, manifests: str | None = None,
     nothing of a file. Other stores, patterns of folders and ``max_files`` take
     Spark's file source, for which the driver lists all files, remembers them
     and plans with those of a poll: 300,000 new ones fill a heap of 750 MB. A
-    stream's checkpoint goes on with the source that it began with.
+    checkpoint of one of the two sources can't be continued with the other.
 
     Spark's reader never returns empty files and names that start with an
     underscore or a dot. They come from ``manifests``, a folder of Parquet files
